@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strata.llm.html_extract import extract
+from strata.llm.language import document_languages, page_languages
 from strata.llm.line_dedup import dedup_lines
+from strata.llm.media import media_columns
+from strata.llm.mixing import MIX_SQL, mix
+from strata.llm.mtree import TOP_SQL, top_products
 from strata.llm.packing import pack_documents
 from strata.llm.simhash import near_duplicates
 from strata.llm.substring_dedup import remove_repeats
+from strata.llm.url_filter import RULES, filter_urls, seed_labels
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -22,10 +29,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(_table(spark, sf_dir, "documents"), keep_draw=True)
+    return mixed.select("doc_id", "source", F.round("rate", 6).alias("rate"), "n_copies", "copy", "shuffle_key")
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return filter_urls(pages, RULES, seed_labels(pages))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -34,6 +59,18 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_languages(_table(spark, sf_dir, "documents"))
+
+
+def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_languages(_table(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"))
 
@@ -50,9 +87,16 @@ SELECT d.doc_id, g.n_lines, g.n_dropped, sha256(g.kept) AS kept_sha256 FROM d JO
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_array_dedup, op6_simhash_near_dedup, op7_best_fit_packing, op10_line_dedup)}
+    own = (op1_source_mixing, op2_suffix_array_dedup, op3_url_filter, op4_html_extraction, op5_media_columns, op6_simhash_near_dedup, op7_best_fit_packing, op8_exact_top_k, op9_language_id, op10_line_dedup, page_language_id, pipeline)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": LINE_SQL}
+    return {"op1_source_mixing": MIX_SQL, "op8_exact_top_k": TOP_SQL, "op10_line_dedup": LINE_SQL}
