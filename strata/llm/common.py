@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import sys
 import tempfile
 import types
@@ -58,6 +59,11 @@ class Scratch:
         for t in tables:
             delete_path(self.spark, t._strata_path)
 
+    def sweep(self) -> None:
+        """Lets Spark's cleaner remove the shuffle files of steps whose results are written and whose DataFrames are gone."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def _end(self) -> None:
         try:
             delete_path(self.spark, self.root)

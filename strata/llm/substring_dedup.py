@@ -8,8 +8,8 @@ across executors and nothing is sorted globally. Only the buckets' smallest
 identifier in every stretch of ``length`` bytes (an anchor) is followed: equal
 stretches have equal anchors at equal offsets, so no repeat is lost.
 
-Buckets are then refined in three rounds over the stretches around the anchor,
-dealt by offset: 336 at once, 21, then 1. A node (a run of offsets) whose core,
+Buckets are then refined in rounds over the stretches around the anchor, dealt by
+offset: 192 at once, 48, 12, 3, then 1. A node (a run of offsets) whose core,
 the bytes common to all its stretches, is alone in its bucket holds no repeat; a
 node whose union, all bytes its stretches touch, has a partner holds nothing but
 repeats; any other is split, and its parts inherit the bucket identifier, refined
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import Scratch, as_bytes
 
-Q, SPAN, WIDTHS = 64, 336, (336, 21, 1)  # q; offsets an anchor answers for; offsets of a node by round
+Q, SPAN, WIDTHS = 208, 192, (192, 48, 12, 3, 1)  # q; offsets an anchor answers for; offsets of a node by round
 PIECE = 1 << 20
 
 
@@ -47,8 +47,11 @@ def bucket_ids(data: np.ndarray) -> np.ndarray:
     for depth in (1, 2, 4):  # exact up to 8 bytes
         ids = ids[:-depth] | (ids[depth:] << np.uint64(8 * depth))
     ids = _mix(ids * np.uint64(0x9E3779B97F4A7C15))
-    for depth in (8, 16, 32):  # to 64
-        ids = _mix(ids[:-depth] * np.uint64(0x9E3779B97F4A7C15) + ids[depth:])
+    depth = 8
+    while depth < Q:
+        step = min(depth, Q - depth)
+        ids = _mix(ids[:-step] * np.uint64(0x9E3779B97F4A7C15) + ids[step:])
+        depth += step
     return ids
 
 
@@ -213,35 +216,35 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     open_nodes = state.where(F.col("open").isNotNull()).select("key", F.length("text").cast("long").alias("size"), "text", F.explode("open").alias("o"))
     open_nodes = scratch.put(open_nodes.select(F.monotonically_increasing_id().alias("tag"), "key", "size", "o.*", begin.alias("begin"), near.alias("near")))
     twins = scratch.put(_twins(open_nodes))
-    marked = open_nodes.join(twins, ["core", "union"], "left")
-    whole = F.struct(F.greatest(F.lit(0).cast("long"), F.col("place") - reach).alias("first"), F.least(F.col("size"), F.col("place") + length).alias("end"))
-    settled = [marked.where("one is not null").select("key", whole.alias("span"))]
-    now = marked.where("one is null or one = tag").select("tag", "key", "size", "place", "begin", "near", "core", F.lit(0).alias("low"))
+    marked = open_nodes.select("tag", "key", "size", "place", "core", "union").join(twins, ["core", "union"], "left")
+    whole = [F.greatest(F.lit(0).cast("long"), F.col("place") - reach).alias("first"), F.least(F.col("size"), F.col("place") + length).alias("end")]
+    spans = scratch.put(marked.where("one is not null").select("key", *whole))
+    now = scratch.put(marked.where("one is null or one = tag").select("tag", "core", F.lit(0).alias("low")))
+    around = open_nodes.select("tag", "key", "size", "place", "begin", "near")
+    scratch.sweep()
     for wide, width in zip(WIDTHS, WIDTHS[1:]):
-        parts = now.withColumn("low", F.explode(F.sequence("low", F.col("low") + wide - width, F.lit(width)))).withColumn("high", F.col("low") + width - 1)
+        parts = now.join(around, "tag").withColumn("low", F.explode(F.sequence("low", F.col("low") + wide - width, F.lit(width)))).withColumn("high", F.col("low") + width - 1)
         # some stretch lies in the text; all of them do
         parts = parts.where((F.col("low") <= F.col("place")) & (F.col("place") - F.col("high") + length <= F.col("size")))
-        parts = parts.withColumn("inside", (F.col("high") <= F.col("place")) & (F.col("place") - F.col("low") + length <= F.col("size")))
+        inside = (F.col("high") <= F.col("place")) & (F.col("place") - F.col("low") + length <= F.col("size"))
         parts = parts.withColumn("core", _bytes_id(F.col("place") - F.col("low") - F.col("begin"), length - (width - 1)))
         union = _bytes_id(F.col("place") - F.col("high") - F.col("begin"), length + width - 1)
-        parts = parts.withColumn("union", F.when(F.col("inside"), union).otherwise(F.xxhash64("key", "place", "low", F.lit("open"))) if width > 1 else F.col("core"))
-        parts = scratch.put(parts.select(F.monotonically_increasing_id().alias("node"), "tag", "key", "size", "place", "low", "high", "core", "union", "inside"))
-        cand = parts.join(scratch.put(_shared(parts)), "core")
-        span = F.struct(F.greatest(F.lit(0).cast("long"), F.col("place") - F.col("high")).alias("first"), F.least(F.col("size"), F.col("place") - F.col("low") + length).alias("end"))
+        parts = parts.withColumn("union", F.when(inside, union) if width > 1 else F.col("core"))  # null: not all of its stretches lie in the text
+        bounds = [F.greatest(F.lit(0).cast("long"), F.col("place") - F.col("high")).alias("first"), F.least(F.col("size"), F.col("place") - F.col("low") + length).alias("end")]
+        parts = scratch.put(parts.select("tag", "key", "low", "core", "union", *bounds))
+        shared = scratch.put(_shared(parts))
+        cand = parts.join(shared, "core")
         if width == 1:
-            settled.append(cand.select("key", span.alias("span")))
+            spans = scratch.put(spans.unionByName(cand.select("key", "first", "end")))
             break
-        cand = scratch.put(cand)
-        settled.append(cand.where("inside and least = most").select("key", span.alias("span")))
-        mixed = cand.where("not (inside and least = most)")
-        twins = scratch.put(_twins(mixed.where("inside").withColumnRenamed("tag", "anchor").withColumnRenamed("node", "tag")))
-        marked = mixed.join(twins, ["core", "union"], "left")
-        settled.append(marked.where("one is not null").select("key", span.alias("span")))
-        now = marked.where("one is null or one = node").select("tag", "key", "size", "place", "low", "core").join(open_nodes.select("tag", "begin", "near"), "tag")
-    spans = settled[0]
-    for more in settled[1:]:
-        spans = spans.unionByName(more)
-    per_row = spans.groupBy("key").agg(F.collect_set("span").alias("more"))  # bounded by the text's own anchors
+        cand = scratch.put(cand.select("tag", "key", "low", "core", "union", "first", "end", F.expr("least = most and members = n").alias("same"), F.monotonically_increasing_id().alias("node")))
+        twins = scratch.put(_twins(cand.where("not same and union is not null"), "node"))
+        marked = cand.where("not same").join(twins, ["core", "union"], "left")
+        spans = scratch.put(spans.unionByName(cand.where("same").select("key", "first", "end")).unionByName(marked.where("one is not null").select("key", "first", "end")))
+        now = scratch.put(marked.where("one is null or one = node").select("tag", "core", "low"))
+        scratch.drop(parts, shared, cand, twins)
+        scratch.sweep()
+    per_row = spans.groupBy("key").agg(F.collect_set(F.struct("first", "end")).alias("more"))  # bounded by the text's own anchors
     finished = state.where(F.col("open").isNull()).select("doc_id", *(x.split()[0] for x in RESULT.split(", ")), *(["kept"] if keep_text else []))
     rest = state.where(F.col("open").isNotNull()).select("doc_id", "key", "text", "spans").join(per_row, "key", "left").select("doc_id", "text", "spans", "more")
 
@@ -258,13 +261,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
-    """(core, least, most): buckets of more than one node, with their smallest and largest union identifier."""
-    return nodes.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("union").alias("least"), F.max("union").alias("most")).where("n > 1").select("core", "least", "most")
+    """(core, least, most, n, members): buckets of more than one node, their smallest and largest union identifier, and how many have one."""
+    return nodes.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.count("union").alias("members"), F.min("union").alias("least"), F.max("union").alias("most")).where("n > 1")
 
 
-def _twins(nodes: DataFrame) -> DataFrame:
+def _twins(nodes: DataFrame, tag: str = "tag") -> DataFrame:
     """(core, union, one): unions of several nodes in a bucket, and the smallest tag among them."""
-    return nodes.groupBy("core", "union").agg(F.count(F.lit(1)).alias("n"), F.min("tag").alias("one")).where("n > 1").select("core", "union", "one")
+    return nodes.groupBy("core", "union").agg(F.count(F.lit(1)).alias("n"), F.min(tag).alias("one")).where("n > 1").select("core", "union", "one")
 
 
 def _bytes_id(first, size: int):
