@@ -43,7 +43,6 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/strata-{name}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
         atexit.register(self._end)
 
     def put(self, df: DataFrame) -> DataFrame:
@@ -51,7 +50,6 @@ class Scratch:
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._strata_path = path
         return out
 
@@ -80,9 +78,22 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.to_pylist()]
 
 
-def row_key(*columns: Column) -> list[Column]:
-    """Two independent 64-bit hashes over the columns' values."""
-    return [F.xxhash64(F.lit(0), *columns), F.xxhash64(F.lit(1), *columns)]
+class Renamed:
+    """A DataFrame whose columns are named c0, c1, ... so that any names of an operator's own are free.
+
+    ``more`` are further columns by name, resolved on the original. ``back`` gives
+    the original names again; columns named in ``give_way`` are left out.
+    """
+
+    def __init__(self, docs: DataFrame, **more: Column):
+        self.names = docs.columns
+        self.df = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(self.names)), *(c.alias(n) for n, c in more.items()))
+
+    def __getitem__(self, name: str) -> str:
+        return f"c{self.names.index(name)}"
+
+    def back(self, give_way: tuple[str, ...] = ()) -> list[Column]:
+        return [F.col(f"c{i}").alias(n) for i, n in enumerate(self.names) if n not in give_way]
 
 
 def worker_cache(name: str) -> dict:

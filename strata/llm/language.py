@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.common import as_bytes
+from strata.llm.common import Renamed, Scratch, as_bytes
 
 BUCKETS, CHUNK = 1 << 14, 1 << 22
 UNKNOWN = "und"
@@ -80,8 +80,8 @@ def fit(docs: DataFrame, text: str, declared: Column, languages: tuple[str, ...]
 
 
 def _with_evidence(docs: DataFrame, text: str, model: TextModel) -> DataFrame:
-    """docs with __ll (log likelihood by class) and __letters."""
-    schema = T.StructType(list(docs.schema.fields)).add("__ll", T.ArrayType(T.DoubleType())).add("__letters", "boolean")
+    """docs with ll (log likelihood by class) and letters."""
+    schema = T.StructType(list(docs.schema.fields)).add("ll", T.ArrayType(T.DoubleType())).add("letters", "boolean")
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,38 +107,40 @@ def identify(
     docs: DataFrame, text: str = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, languages: tuple[str, ...] = ("en", "fr", "de", "es"),
     most_labelled: int = 4_000, temper: float = 0.3, strength: float = 20.0, unknown: float = 0.01, least: float = 0.5,
 ) -> DataFrame:
-    """docs with __language, __posterior and __keep (a language, and its posterior at least ``least``)."""
-    none = F.lit(None).cast("string")
-    declared, host, suffix = (F.lower(c.cast("string")) if c is not None else none for c in (declared, host, suffix))
-    model = fit(docs, text, declared, languages, most_labelled, temper)
+    """docs with __language, __posterior and __keep (a language, and its posterior at least ``least``); columns of these names give way."""
+    lower = lambda c: F.lower(c.cast("string")) if c is not None else F.lit(None).cast("string")
+    scratch = Scratch(docs.sparkSession, "language")
+    model = fit(docs, text, lower(declared), languages, most_labelled, temper)
     m, classes = len(languages), [*languages, UNKNOWN]
-    marked = docs.withColumns({"__declared": F.coalesce(declared, F.lit("")), "__host": F.coalesce(host, F.lit("")), "__suffix": F.coalesce(suffix, F.lit(""))})
+    named = Renamed(docs, declared=F.coalesce(lower(declared), F.lit("")), host=F.coalesce(lower(host), F.lit("")), suffix=F.coalesce(lower(suffix), F.lit("")))
+    what = named[text]
 
     # Grouped sums of text posteriors over all rows, from the finest level up.
-    narrow = _with_evidence(marked.select("__declared", "__host", "__suffix", F.col(text)), text, model).where("__letters")
+    narrow = _with_evidence(named.df.select("declared", "host", "suffix", what), what, model).where("letters")
     flat = F.array(*(F.lit((1 - unknown) / m) for _ in languages), F.lit(unknown))
-    soft = narrow.withColumn("p", _normal(F.zip_with("__ll", flat, lambda a, b: a + F.log(b))))
-    sums = lambda: [F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(m + 1)]
-    fine = soft.groupBy("__suffix", "__host", "__declared").agg(*sums())
+    soft = narrow.withColumn("p", _normal(F.zip_with("ll", flat, lambda a, b: a + F.log(b))))
+    fine = soft.groupBy("suffix", "host", "declared").agg(*(F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(m + 1)))
+    fine = scratch.put(fine)
     up = lambda *by: fine.groupBy(*by).agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(m + 1)))
     whole = up().first()  # one row
     overall = np.array([whole[i] or 0.0 for i in range(m + 1)]) + 1.0
     overall = overall / overall.sum()
     share = lambda parent: F.array(*((F.col(f"s{i}") + strength * parent[i]) / (sum(F.col(f"s{j}") for j in range(m + 1)) + strength) for i in range(m + 1)))
-    suffixes = up("__suffix").select(F.col("__suffix"), share([F.lit(float(x)) for x in overall]).alias("__parent"))
-    hosts = up("__suffix", "__host").join(suffixes, "__suffix").select("__suffix", "__host", share([F.col("__parent")[i] for i in range(m + 1)]).alias("__prior"))
+    suffixes = up("suffix").select("suffix", share([F.lit(float(x)) for x in overall]).alias("parent"))
+    hosts = up("suffix", "host").join(suffixes, "suffix").select("suffix", "host", share([F.col("parent")[i] for i in range(m + 1)]).alias("prior"))
     totals = [max(1e-9, float(whole[i] or 0.0)) for i in range(m + 1)]
-    spoken = up("__declared").select("__declared", F.array(*((F.col(f"s{i}") + 1.0) / (totals[i] + 10.0) for i in range(m + 1))).alias("__said"))
-
-    own = _with_evidence(marked, text, model).join(hosts, ["__suffix", "__host"], "left").join(spoken, "__declared", "left")
-    prior = F.coalesce("__prior", F.array(*(F.lit(float(x)) for x in overall)))
-    said = F.coalesce("__said", F.array(*(F.lit(1.0) for _ in classes)))
-    own = own.withColumn("__p", _normal(F.zip_with(F.zip_with("__ll", prior, lambda a, b: a + F.log(b)), said, lambda a, b: a + F.log(b))))
-    best = F.array_position("__p", F.array_max("__p")).cast("int")
-    language = F.when(F.col("__letters"), F.element_at(F.array(*(F.lit(c) for c in classes)), best)).otherwise(F.lit(UNKNOWN))
-    own = own.withColumn("__language", language).withColumn("__posterior", F.when(F.col("__letters"), F.array_max("__p")).otherwise(F.lit(1.0)))
+    spoken = up("declared").select("declared", F.array(*((F.col(f"s{i}") + 1.0) / (totals[i] + 10.0) for i in range(m + 1))).alias("said"))
+
+    own = _with_evidence(named.df, what, model).join(hosts, ["suffix", "host"], "left").join(spoken, "declared", "left")
+    prior = F.coalesce("prior", F.array(*(F.lit(float(x)) for x in overall)))
+    said = F.coalesce("said", F.array(*(F.lit(1.0) for _ in classes)))
+    own = own.withColumn("p", _normal(F.zip_with(F.zip_with("ll", prior, lambda a, b: a + F.log(b)), said, lambda a, b: a + F.log(b))))
+    best = F.array_position("p", F.array_max("p")).cast("int")
+    language = F.when(F.col("letters"), F.element_at(F.array(*(F.lit(c) for c in classes)), best)).otherwise(F.lit(UNKNOWN))
+    own = own.withColumn("__language", language).withColumn("__posterior", F.when(F.col("letters"), F.array_max("p")).otherwise(F.lit(1.0)))
     own = own.withColumn("__keep", (F.col("__language") != UNKNOWN) & (F.col("__posterior") >= least))
-    return own.select(*(F.col(f"`{c}`") for c in docs.columns), "__language", "__posterior", "__keep")
+    added = ("__language", "__posterior", "__keep")
+    return own.select(*named.back(added), *added)
 
 
 def document_languages(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import Scratch, as_bytes, null_mask, with_text, worker_cache
+from strata.llm.common import Renamed, Scratch, as_bytes, null_mask, with_text, worker_cache
 
 GAMMA, LEVELS = 2.0, 40
 SHARD_KEYS = 1 << 16
@@ -271,18 +271,20 @@ def _routed(docs: DataFrame, text: str, id_column: str, index: DataFrame, shards
     packed = docs.select(key.alias("k"), F.col(text)).mapInArrow(pack, "shard long, probes binary")
     hits = packed.join(index, "shard").select("shard", "probes", "blob").mapInArrow(probe, "__row long, __line long")
     per_row = hits.groupBy("__row").agg(F.collect_set("__line").alias("__lines"))  # bounded by a document's own lines
-    joined = docs.withColumn("__row", key).join(per_row, "__row", "left").drop("__row")
+    named = Renamed(docs, __row=key)
+    joined = named.df.join(per_row, "__row", "left").drop("__row")
     schema = docs.schema
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, found, out = as_bytes(batch.column(text)), batch.column("__lines").to_pylist(), []
+            found, out = batch.column("__lines").to_pylist(), []
+            batch = pa.RecordBatch.from_arrays(batch.columns[: len(schema)], names=schema.names)
+            texts = as_bytes(batch.column(text))
             for t, lines in zip(texts, found):
                 gone = np.array(lines or [], np.int64)
                 out += _dropper(lambda h, gone=gone: np.isin(h[:, 0].view(np.int64), gone))([t])
             if as_documents:
-                bare = pa.RecordBatch.from_arrays([batch.column(n) for n in schema.names], names=schema.names)
-                yield with_text(bare, text, [None if gone else kept for gone, (_, _, kept) in zip(null_mask(batch.column(text)), out)])
+                yield with_text(batch, text, [None if gone else kept for gone, (_, _, kept) in zip(null_mask(batch.column(text)), out)])
             else:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(id_column), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in out], pa.string())],

@@ -2,9 +2,9 @@
 
 HTML is read into one ordered array of structs per document, text and media
 references in page order, each reference with its digest and caption. Payloads
-lie in a media table, one row per digest; references find them by a join on the
-digest, so positions and captions stay with the document and a payload that many
-documents share is stored and examined once.
+lie in a media table under their digests; references find what is known of them by
+a join on the digest, so positions and captions stay with the document, and only
+small rows are shuffled.
 
 Media are 8-bit greyscale PNG images, 192 samples a row, losslessly compressed.
 
@@ -59,9 +59,9 @@ def from_png(media: bytes) -> bytes:
         raise ValueError("no PNG signature")
     at, data, size = 8, [], None
     while at < len(media):
-        (n,), kind = struct.unpack_from(">I", media, at), media[at + 4 : at + 8]
+        n, kind = int.from_bytes(media[at : at + 4], "big"), media[at + 4 : at + 8]
         body = media[at + 8 : at + 8 + n]
-        if struct.unpack_from(">I", media, at + 8 + n)[0] != zlib.crc32(kind + body):
+        if int.from_bytes(media[at + 8 + n : at + 12 + n], "big") != zlib.crc32(kind + body) or at + 12 + n > len(media):
             raise ValueError("PNG chunk is damaged")
         if kind == b"IHDR":
             size = struct.unpack(">IIBBBBB", body)
@@ -132,22 +132,14 @@ def _figure(x: Node) -> Node | None:
 
 def _caption(x: Node) -> str | None:
     figure = _figure(x)
-    parts, stack = [], [c for c in reversed(figure.items)] if figure else []
+    parts, stack = [], [(c, False) for c in reversed(figure.items)] if figure else []
     while stack:
-        c = stack.pop()
-        if isinstance(c, Node):
-            if c.tag == "figcaption" or _in_caption(c, figure):
-                parts += [s for s in c.items if isinstance(s, str)]
-            stack += reversed([k for k in c.items if isinstance(k, Node)])
-    return squeeze(unescape(" ".join(parts))) or squeeze(x.attrs.get("alt", "")) or None
-
-
-def _in_caption(c: Node, figure: Node) -> bool:
-    while c.parent is not None and c.parent is not figure:
-        c = c.parent
-        if c.tag == "figcaption":
-            return True
-    return False
+        c, inside = stack.pop()
+        if isinstance(c, str):
+            parts += [c] * inside
+        else:
+            stack += [(k, inside or c.tag == "figcaption") for k in reversed(c.items)]
+    return squeeze(unescape("".join(parts))) or squeeze(x.attrs.get("alt", "")) or None
 
 
 def interleave(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:

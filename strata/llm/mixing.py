@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.common import Renamed
+
 CHUNK, TERMS_PAST = 100, 200  # largest mean of one draw; entries of its distribution, far past the last that 52 bits can reach
 
 
@@ -60,19 +62,21 @@ def mix(docs: DataFrame, source: str = "source", id_column: str = "doc_id", text
     """Documents replicated to their sources' rates and shuffled; ``factor`` scales the total size.
 
     Returns the columns of ``docs``, and with ``keep_draw`` also rate, n_copies,
-    copy (from 0) and shuffle_key.
+    copy (from 0) and shuffle_key, to which columns of the same names give way.
     """
-    size = F.coalesce(F.length(text), F.lit(0)).cast("double")
-    by = rates(docs, source, size, temperature, weights, factor)
-    own = docs.join(by, F.col(source).eqNullSafe(F.col("__source")), "left")
-    draws = F.transform(F.sequence(F.lit(1), F.col("__draws")), lambda k: draw(F.lit(seed), k, F.col(id_column)))
+    named = Renamed(docs)
+    own, where, who, what = named.df, named[source], named[id_column], named[text]
+    by = rates(own, where, F.coalesce(F.length(what), F.lit(0)).cast("double"), temperature, weights, factor)
+    own = own.join(by, F.col(where).eqNullSafe(F.col("__source")), "left")
+    draws = F.transform(F.sequence(F.lit(1), F.col("__draws")), lambda k: draw(F.lit(seed), k, F.col(who)))
     each = F.transform(draws, lambda u: F.size(F.filter("__cdf", lambda c: c <= u)))
-    own = own.withColumn("__copies", F.aggregate(each, F.lit(0), lambda a, b: a + b)).where("__copies > 0").drop("__cdf", "__draws", "__source")
-    own = own.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
-    own = own.withColumn("__key", F.md5(F.concat_ws(":", F.lit(f"{seed} shuffle"), F.coalesce(F.col(id_column).cast("string"), F.lit("null")), F.col("__copy").cast("string"))))
-    shuffled = own.repartition("__key", F.xxhash64(text)).sortWithinPartitions("__key")
-    extra = [F.col("__rate").alias("rate"), F.col("__copies").alias("n_copies"), F.col("__copy").alias("copy"), F.col("__key").alias("shuffle_key")] if keep_draw else []
-    return shuffled.select(*(docs[c] for c in docs.columns), *extra)
+    own = own.withColumn("n_copies", F.aggregate(each, F.lit(0), lambda a, b: a + b)).where("n_copies > 0").drop("__cdf", "__draws", "__source")
+    own = own.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
+    key = F.md5(F.concat_ws(":", F.lit(f"{seed} shuffle"), F.coalesce(F.col(who).cast("string"), F.lit("null")), F.col("copy").cast("string")))
+    own = own.withColumn("shuffle_key", key).withColumn("__deal", F.xxhash64("shuffle_key", what))  # ids that many rows share are spread by their texts
+    shuffled = own.repartition("__deal").sortWithinPartitions("shuffle_key").withColumnRenamed("__rate", "rate")
+    extra = ("rate", "n_copies", "copy", "shuffle_key") if keep_draw else ()
+    return shuffled.select(*named.back(extra), *extra)
 
 
 #: The same in DuckDB for the query's parameters; rates are rounded on both sides.

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import Scratch, as_bytes
+from strata.llm.common import Renamed, Scratch, as_bytes
 from strata.llm.components import components
 
 BITS = 64
@@ -145,10 +145,11 @@ def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id", rad
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     whole = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    fps = scratch.put(fingerprints(docs, [F.col(id_column).alias("__id"), whole.alias("__hash")], text, words_per_shingle))
-    row = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__hash").alias("hash"))
+    fps = scratch.put(fingerprints(docs, [F.col(id_column).alias("id"), whole.alias("hash")], text, words_per_shingle))
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
     best = fps.groupBy("fp").agg(F.min(row).alias("best")).join(near_groups(fps, scratch, radius), "fp").groupBy("comp").agg(F.min("best").alias("best"))
-    stay = scratch.put(best.select(F.col("best.id").alias("__id"), F.col("best.hash").alias("__hash")))
-    rows = docs.withColumn("__hash", whole).join(stay.withColumnRenamed("__hash", "__h"), (F.col("__hash") == F.col("__h")) & F.col(id_column).eqNullSafe(F.col("__id")), "left_semi").drop("__hash")
-    repeated = fps.groupBy("__id", "__hash").count().where("count > 1").limit(1).count()
+    stay = scratch.put(best.select("best.id", "best.hash"))
+    named = Renamed(docs, hash=whole)
+    rows = named.df.join(stay, (named.df["hash"] == stay["hash"]) & named.df[named[id_column]].eqNullSafe(stay["id"]), "left_semi").select(named.back())
+    repeated = fps.groupBy("id", "hash").count().where("count > 1").limit(1).count()
     return rows.distinct() if repeated else rows

@@ -124,7 +124,7 @@ P1, P2 = "First paragraph, with commas, and enough text to count as prose.", "Se
         (None, ""),
         ("<p></p><div> \n </div>", ""),
         (f"<!-- <p>{P1}</p> --><article><p>{P2}</p><!-- open", P2),
-        ("<" * 50 + "p>x</p", "<" * 49 + "x</p"),
+        ("<" * 50 + "p>x</p", "<" * 49 + "\nx</p"),
         ("<div>" * 3000 + P1 + "</div>" * 3000, P1),
     ],
 )
