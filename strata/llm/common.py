@@ -33,6 +33,16 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+ROWS_PER_BATCH = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts are long: a session with Spark's own batch size hands fewer rows at once to Python workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > ROWS_PER_BATCH:
+        spark.conf.set(name, ROWS_PER_BATCH)
+
+
 class Scratch:
     """Written tables that cut lineage and outlive lost executors.
 
@@ -43,6 +53,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/strata-{name}-{uuid.uuid4().hex}", 0
+        bounded_batches(spark)
         atexit.register(self._end)
 
     def put(self, df: DataFrame) -> DataFrame:
@@ -97,9 +108,11 @@ class Renamed:
 
 
 def worker_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker process."""
-    module = sys.modules.setdefault("_strata_worker_cache", types.ModuleType("_strata_worker_cache"))
-    return module.__dict__.setdefault(name, {})
+    """A dict that lives in the Python worker process until an operator asks for another; one is held at a time."""
+    held = sys.modules.setdefault("_strata_worker_cache", types.ModuleType("_strata_worker_cache")).__dict__.setdefault("held", {})
+    for other in [n for n in held if n != name]:
+        del held[other]
+    return held.setdefault(name, {})
 
 
 def with_text(batch: pa.RecordBatch, name: str, texts: list[bytes | None], n_chars: str = "n_chars") -> pa.RecordBatch:

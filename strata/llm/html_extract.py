@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.common import bounded_batches
 from strata.llm.html_tree import BLOCK, Node, parse, squeeze
 
 # Names of parts that aren't the article; fixed values.
@@ -160,6 +161,7 @@ def main_text(html: str) -> str:
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns ``keep``, text and n_chars of every page."""
+    bounded_batches(pages.sparkSession)
     own = pages.select(*keep, F.col(html).alias("__html"))
     schema = pages.select(*keep).schema.add("text", "string").add("n_chars", "long")
     names = schema.names

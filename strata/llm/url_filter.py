@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.common import bounded_batches
+
 SPLIT = re.compile(r"^(.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$", re.S)
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DIGITS = re.compile(r"[0-9]")
@@ -164,6 +166,7 @@ def labelled_sample(labelled: DataFrame, most_labelled: int) -> tuple[list[str],
 
 def filter_urls(pages: DataFrame, rules: list[Rule], labelled: DataFrame, url: str = "url", id_column: str = "page_id", most_labelled: int = 20_000, threshold: float = 0.5) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) per row; labelled has url and label (1: block)."""
+    bounded_batches(pages.sparkSession)
     model = fit(*labelled_sample(labelled, most_labelled))
     book, least = Rules(rules), math.log(threshold / (1 - threshold))
     kind = pages.schema[id_column].dataType.simpleString()
