@@ -89,6 +89,17 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.to_pylist()]
 
 
+def bounded_sample(rows: DataFrame, key: Column, most: int) -> DataFrame:
+    """At most so many rows: all of them, or those whose key falls in a share of its range that their count sets.
+
+    No task holds more than its own share, however many tasks there are.
+    """
+    n = rows.count()
+    if n > most:
+        rows = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(0.95 * most / n * (1 << 40)))
+    return rows.limit(most)
+
+
 class Renamed:
     """A DataFrame whose columns are named c0, c1, ... so that any names of an operator's own are free.
 

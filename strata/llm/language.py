@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.common import Renamed, Scratch, as_bytes
+from strata.llm.common import Renamed, Scratch, as_bytes, bounded_sample
 
 BUCKETS, CHUNK = 1 << 14, 1 << 22
 UNKNOWN = "und"
@@ -63,8 +63,9 @@ def trigrams(text: bytes) -> tuple[np.ndarray, bool]:
 
 
 def fit(docs: DataFrame, text: str, declared: Column, languages: tuple[str, ...], most_labelled: int, temper: float) -> TextModel:
-    """Trigram models of the languages from at most so many rows that declare one: those with the smallest hashes of their texts."""
-    sample = docs.select(declared.alias("lang"), F.col(text).alias("text")).where(F.col("lang").isin(*languages) & F.col("text").isNotNull()).orderBy(F.xxhash64("text"), "text").limit(most_labelled)
+    """Trigram models of the languages from at most so many rows that declare one, sampled by the hashes of their texts."""
+    named = docs.select(declared.alias("lang"), F.col(text).alias("text")).where(F.col("lang").isin(*languages) & F.col("text").isNotNull())
+    sample = bounded_sample(named, F.col("text"), most_labelled)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(languages), BUCKETS))
@@ -74,7 +75,7 @@ def fit(docs: DataFrame, text: str, declared: Column, languages: tuple[str, ...]
                 sums[languages.index(lang)] += c / max(1.0, c.sum() / 3000)  # a very long text counts as a long one
         yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
 
-    sums = sum((np.frombuffer(r.sums, np.float64).reshape(len(languages), BUCKETS) for r in sample.coalesce(1).mapInArrow(count, "sums binary").collect()), np.zeros((len(languages), BUCKETS)))  # one row
+    sums = sum((np.frombuffer(r.sums, np.float64).reshape(len(languages), BUCKETS) for r in sample.repartition(1).mapInArrow(count, "sums binary").collect()), np.zeros((len(languages), BUCKETS)))  # one row
     log = np.log((sums + 0.05) / (sums + 0.05).sum(1, keepdims=True))
     return TextModel(languages, np.vstack([log, np.full(BUCKETS, -np.log(BUCKETS))]), temper)
 

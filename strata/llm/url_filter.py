@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import bounded_batches
+from strata.llm.common import bounded_batches, bounded_sample
 
 SPLIT = re.compile(r"^(.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$", re.S)
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -159,9 +159,10 @@ def fit(urls: list[str], labels: list[int], trees: int = 40, depth: int = 3, rat
 
 
 def labelled_sample(labelled: DataFrame, most_labelled: int) -> tuple[list[str], list[int]]:
-    """Distinct (url, label) rows, those with the smallest hashes, at most so many."""
-    rows = labelled.where("url is not null and label is not null").select("url", F.col("label").cast("int").alias("label")).distinct().orderBy(F.xxhash64("url"), "url", "label").limit(most_labelled).collect()
-    return [r.url for r in rows], [r.label for r in rows]
+    """(URLs, labels) of at most so many labelled rows, sampled by the hashes of their URLs."""
+    known = labelled.where("url is not null and label is not null").select("url", F.col("label").cast("int").alias("label"))
+    rows = sorted((r.url, r.label) for r in bounded_sample(known, F.col("url"), most_labelled).collect())
+    return [u for u, _ in rows], [v for _, v in rows]
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], labelled: DataFrame, url: str = "url", id_column: str = "page_id", most_labelled: int = 20_000, threshold: float = 0.5) -> DataFrame:
