@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,60 +18,35 @@ def exact_matches(new: DataFrame, files: DataFrame) -> DataFrame:
     return new.select("id", "sha256").join(first, "sha256").where("original < id").select("id", "original")
 
 
-def duplicate_roots(files: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(id, root) of live duplicates: duplicate_of is followed to the last live row; in a cycle everyone is their own root.
-
-    Pointers double in reach each round, so chains of any length take as many
-    rounds as their length has bits; the rounds end when nothing moves.
-    """
-    spark = files.sparkSession
+def duplicate_roots(files: DataFrame) -> DataFrame:
+    """(id, root) of live duplicates: duplicate_of is followed to the last live row; in a cycle everyone is their own root, and a chain that runs into one ends where it meets it."""
     own = live(files).select("id", F.when(F.col("duplicate_of") != 0, F.col("duplicate_of")).alias("dup"))
-    alive = own.select(F.col("id").alias("dup"))
-    step = own.join(alive.withColumn("alive", F.lit(True)), "dup", "left").select("id", F.when(F.col("alive"), F.col("dup")).alias("dup"), F.col("dup").isNotNull().alias("is_dup"))
-    start = step.select("id", F.coalesce("dup", "id").alias("to"), F.col("is_dup").alias("is_dup"), F.col("dup").isNull().alias("ends"))
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(_dir(spark))
-    now = start.select("id", "to", "is_dup", "ends").checkpoint()
-    for _ in range(most_rounds):
-        ahead = now.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("ends").alias("done"))
-        new = now.join(ahead, "to").select("id", F.col("next").alias("to"), "is_dup", F.col("done").alias("ends")).checkpoint()
-        moved = new.join(now.select("id", F.col("to").alias("was")), "id").where("`to` <> was and not ends").limit(1).count()
-        now = new
-        if not moved:
-            break
-    # who hasn't come to an end walks into a cycle: a walk stops at the first row it meets again
-    ring = now.where("not ends").select(F.col("to").alias("id")).distinct()
-    members = _ring_members(start, ring, most_rounds)
-    entry = _entries(start, members)
-    return now.where("is_dup").join(entry, "id", "left").select("id", F.when(F.col("ends"), F.col("to")).otherwise(F.col("entry")).alias("root"))
-
-
-def _dir(spark) -> str:
-    import tempfile
-
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strata-")
-
-
-def _ring_members(start: DataFrame, ring: DataFrame, rounds: int) -> DataFrame:
-    """Rows on cycles: those reached from rows that are certainly on one."""
-    step, found = start.select(F.col("id"), F.col("to")), ring
+    alive = own.select(F.col("id").alias("dup"), F.lit(True).alias("alive"))
+    start = own.join(alive, "dup", "left").select("id", F.when(F.col("alive"), F.col("dup")).alias("to"), F.col("dup").isNotNull().alias("is_dup"))
+    start = start.select("id", F.coalesce("to", "id").alias("to"), "is_dup", F.col("to").isNull().alias("ends"))
+    spark = files.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strata-"))
+    start = start.checkpoint()
+    rounds = max(1, start.where("is_dup").count()).bit_length()
+    now = _follow(start, rounds)
+    # walks without an end have come to rest on cycles, and those of a cycle's rows on all of its rows
+    ring = now.where("not ends").select(F.col("to").alias("id"), F.lit(True).alias("ring")).distinct()
+    if ring.limit(1).count():
+        stop = start.join(ring, "id", "left").select("id", F.when(F.col("ring"), F.col("id")).otherwise(F.col("to")).alias("to"), "is_dup", (F.col("ends") | F.coalesce("ring", F.lit(False))).alias("ends"))
+        now = _follow(stop.checkpoint(), rounds)
+    return now.where("is_dup").select("id", F.col("to").alias("root"))
+
+
+def _follow(step: DataFrame, rounds: int) -> DataFrame:
+    """Pointers (id, to, is_dup, ends) after 2^rounds steps: each round doubles their reach, and stops when all have come to an end."""
+    now = step
     for _ in range(rounds):
-        more = found.join(step, "id").select(F.col("to").alias("id")).union(found).distinct().checkpoint()
-        if more.count() == found.count():
-            return more
-        found = more
-    return found
-
-
-def _entries(start: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, entry): for each row that leads into a cycle, the cycle's row that it meets first; members meet themselves."""
-    known = members.select("id", F.col("id").alias("entry")).checkpoint()
-    step = start.where("not ends").select("id", "to")
-    while True:
-        ahead = known.select(F.col("id").alias("to"), "entry")
-        more = known.union(step.join(known.select("id"), "id", "left_anti").join(ahead, "to").select("id", "entry")).checkpoint()
-        if more.count() == known.count():
-            return more
-        known = more
+        if not now.where("not ends").limit(1).count():
+            break
+        ahead = now.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("ends").alias("done"))
+        now = now.join(ahead, "to").select("id", F.col("next").alias("to"), "is_dup", F.col("done").alias("ends")).checkpoint()
+    return now
 
 
 def duplicate_groups(files: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import struct
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.functions.text import kind_of
 
@@ -76,13 +77,13 @@ def creation_seconds(moov: bytes | None) -> int | None:
     return None
 
 
-@F.pandas_udf("struct<moov:binary,created:long>")
+@F.pandas_udf(T.StructType([T.StructField("moov", T.BinaryType()), T.StructField("created", T.LongType())]))
 def video_facts(content: pd.Series) -> pd.DataFrame:
     """The header of each video and its creation time."""
     moov = [movie_header(c) for c in content]
     return pd.DataFrame({"moov": moov, "created": pd.array([creation_seconds(m) for m in moov], "Int64")})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def plain_text(content: pd.Series) -> pd.Series:
     return content.map(decode_text)
