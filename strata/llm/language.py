@@ -31,6 +31,7 @@ from strata.llm.common import Renamed, Scratch, as_bytes, bounded_sample
 
 BUCKETS, CHUNK = 1 << 14, 1 << 22
 UNKNOWN = "und"
+LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 @dataclass
@@ -53,9 +54,12 @@ class TextModel:
 
 
 def trigrams(text: bytes) -> tuple[np.ndarray, bool]:
-    """Counts of the hashed trigrams of the lower-cased text, white space as one kind; whether it has a letter."""
-    x = np.frombuffer(b" " + b" ".join(text.lower().split()) + b" ", np.uint8)
-    letters = bool(((x >= 97) & (x <= 122) | (x >= 128)).any())
+    """Counts of the hashed trigrams of the lower-cased words, which are what stands between bytes that are no letters; whether there is one."""
+    words = text.lower().translate(LETTERS).split()
+    letters = bool(words)
+    x = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+    if not letters:
+        return np.zeros(BUCKETS, np.int64), False
     y = x.astype(np.uint32)
     h = (y[:-2] * np.uint32(0x9E3779B1)) ^ (y[1:-1] * np.uint32(0x85EBCA77)) ^ (y[2:] * np.uint32(0xC2B2AE3D))
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)

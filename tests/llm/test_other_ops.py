@@ -235,12 +235,12 @@ def test_languages(spark):
         lang = r.choice(list(WORDS))
         truth[i] = lang
         rows.append((i, prose(r, lang, r.randint(3, 200)), r.choice(list(WORDS)) if i % 10 == 0 else lang, f"s{lang if i % 3 else ''}"))
-    rows += [(500, None, "en", "s"), (501, "", "fr", "s"), (502, "123 456 !!", "de", "s"), (503, prose(r, "de", 50), None, None), (504, prose(r, "es", 50000), "es", "s")]
+    rows += [(500, None, "en", "s"), (501, "", "fr", "s"), (502, "123 456 !!", "de", "s"), (503, prose(r, "de", 50), None, None), (504, prose(r, "es", 50000), "es", "s"), (505, " ".join("".join(r.choice("bcdfghjkqvwxz") for _ in range(7)) for _ in range(60)), "en", "s")]
     got = {x.doc_id: x for x in language.identify(docs(spark, rows), declared=spark_col("lang"), host=spark_col("source")).collect()}
     right = [got[i]["__language"] == truth[i] for i in truth]
     assert sum(right) / len(right) > 0.97
     assert all(got[i]["__keep"] for i in truth if got[i]["__language"] == truth[i] and len(rows[i][1]) > 60)
-    assert [got[i]["__keep"] for i in (500, 501, 502)] == [False] * 3 and [got[i]["__language"] for i in (500, 503, 504)] == ["und", "de", "es"]
+    assert [got[i]["__keep"] for i in (500, 501, 502)] == [False] * 3 and [got[i]["__language"] for i in (500, 503, 504, 505)] == ["und", "de", "es", "und"]
     assert language.identify(docs(spark, []), declared=spark_col("lang"), host=spark_col("source")).collect() == []
 
 
