@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import Renamed
+from strata.llm.common import Renamed, Scratch
 
 CHUNK, TERMS_PAST = 100, 200  # largest mean of one draw; entries of its distribution, far past the last that 52 bits can reach
 
@@ -66,7 +66,8 @@ def mix(docs: DataFrame, source: str = "source", id_column: str = "doc_id", text
     """
     named = Renamed(docs)
     own, where, who, what = named.df, named[source], named[id_column], named[text]
-    by = rates(own, where, F.coalesce(F.length(what), F.lit(0)).cast("double"), temperature, weights, factor)
+    # written first, so that Spark knows its size when it plans the join: small, it is broadcast and no text moves
+    by = Scratch(docs.sparkSession, "mixing").put(rates(own, where, F.coalesce(F.length(what), F.lit(0)).cast("double"), temperature, weights, factor))
     own = own.join(by, F.col(where).eqNullSafe(F.col("__source")), "left")
     draws = F.transform(F.sequence(F.lit(1), F.col("__draws")), lambda k: draw(F.lit(seed), k, F.col(who)))
     each = F.transform(draws, lambda u: F.size(F.filter("__cdf", lambda c: c <= u)))
