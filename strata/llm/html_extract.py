@@ -35,8 +35,8 @@ KEPT_WHOLE = frozenset("article main body html #root".split())
 TEXT_LEAST, SIBLING_SHARE, SIBLING_LEAST = 25, 0.2, 10.0
 
 
-def dropped(x: Node) -> bool:
-    """Whether the node is boilerplate by what it calls itself."""
+def dropped(x: Node, names: bool = True) -> bool:
+    """Whether the node is boilerplate by what it calls itself; without ``names``, by tags and roles alone."""
     if x.tag in KEPT_WHOLE:
         return False
     if x.tag in DROP_TAGS:
@@ -48,7 +48,18 @@ def dropped(x: Node) -> bool:
     a = x.attrs
     if a.get("role", "").lower() in DROP_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
-    return bool(UNLIKELY.search(f"{a.get('class', '')} {a.get('id', '')}")) and x.tag not in ("p", "h1")
+    return names and x.tag not in ("p", "h1") and bool(UNLIKELY.search(f"{a.get('class', '')} {a.get('id', '')}")) and not _holds_article(x)
+
+
+def _holds_article(x: Node) -> bool:
+    """A wrapper that is named after a part of the page, such as has-sidebar, isn't that part."""
+    stack = [c for c in x.items if isinstance(c, Node)]
+    while stack:
+        c = stack.pop()
+        if c.tag in ("main", "article") and not any(p.tag in ("aside", "footer", "nav") for p in _above(c)):
+            return not any("comment" in p.attrs.get("class", "").lower() + p.attrs.get("id", "").lower() for p in _above(c) if p.raw)
+        stack += [k for k in c.items if isinstance(k, Node)]
+    return False
 
 
 def _above(x: Node) -> Iterator[Node]:
@@ -57,7 +68,7 @@ def _above(x: Node) -> Iterator[Node]:
         yield x
 
 
-def score(root: Node) -> tuple[dict[Node, float], dict[Node, tuple[int, int]]]:
+def score(root: Node, names: bool = True) -> tuple[dict[Node, float], dict[Node, tuple[int, int]]]:
     """Points of the containers, discounted by link density; characters and linked characters of every node."""
     points: dict[Node, float] = {}
     chars: dict[Node, tuple[int, int]] = {}
@@ -66,7 +77,7 @@ def score(root: Node) -> tuple[dict[Node, float], dict[Node, tuple[int, int]]]:
     while stack:
         x = stack.pop()
         order.append(x)
-        stack += [c for c in x.items if isinstance(c, Node) and not dropped(c)]
+        stack += [c for c in x.items if isinstance(c, Node) and not dropped(c, names)]
     commas: dict[Node, int] = {}
     for x in reversed(order):
         n = linked = comma = 0
@@ -100,9 +111,9 @@ def _first(x: Node) -> float:
     return base + (5.0 if x.raw and LIKELY.search(f"{x.attrs.get('class', '')} {x.attrs.get('id', '')}") else 0.0)
 
 
-def chosen(root: Node) -> list[Node]:
+def chosen(root: Node, names: bool = True) -> list[Node]:
     """The best container and those of its siblings that belong to it, in page order."""
-    points, chars = score(root)
+    points, chars = score(root, names)
     if not points:
         return [root]
     best = max(points, key=lambda x: points[x])
@@ -114,7 +125,7 @@ def chosen(root: Node) -> list[Node]:
     least = max(SIBLING_LEAST, SIBLING_SHARE * points.get(best, 0.0))
     out = []
     for x in best.parent.items:
-        if not isinstance(x, Node) or dropped(x):
+        if not isinstance(x, Node) or dropped(x, names):
             continue
         n, linked = chars.get(x, (0, 0))
         same = best.raw.strip() and x.raw.strip() == best.raw.strip() and x.tag == best.tag
@@ -127,7 +138,7 @@ def chosen(root: Node) -> list[Node]:
     return out
 
 
-def blocks(nodes: list[Node]) -> list[str]:
+def blocks(nodes: list[Node], names: bool = True) -> list[str]:
     """Text blocks in page order: white space single, character references decoded, empty ones left out."""
     out, parts = [], []
 
@@ -145,7 +156,7 @@ def blocks(nodes: list[Node]) -> list[str]:
             flush()
         elif isinstance(x, str):
             parts.append(x)
-        elif not dropped(x):
+        elif not dropped(x, names):
             if x.tag in BLOCK:
                 flush()
                 stack.append(None)
@@ -156,7 +167,9 @@ def blocks(nodes: list[Node]) -> list[str]:
 
 def main_text(html: str) -> str:
     """The article's blocks joined by line ends; empty if there is none."""
-    return "\n".join(blocks(chosen(parse(html))))
+    root = parse(html)
+    found = blocks(chosen(root))
+    return "\n".join(found or blocks(chosen(root, False), False))  # a page that is nothing but named parts is judged without the names
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -119,6 +119,9 @@ P1, P2 = "First paragraph, with commas, and enough text to count as prose.", "Se
         (f"<article><p>a &lt;b&gt; &amp;amp; &#233;,\n  {P1}<br>next <b>bold</b>line</p><form><p>{P2}</p></form><script>var x = '</p>';</script><p>{P2}</article>", f"a <b> &amp; é, {P1}\nnext boldline\n{P2}"),
         (f"<article><p><b>{P1}<br><p>{P2}</p></article>", f"{P1}\n{P2}"),
         (f"<article><div class='cookie-notice'>{P1}</div><p>{P2}</p><ul><li>one</li><li>two</li></ul><div class=ad>{P1}</div></article>", f"{P2}\none\ntwo"),
+        (f"<div class='has-sidebar'><article><p>{P1}</p><p>{P2}</p></article></div>", f"{P1}\n{P2}"),
+        (f"<div id='page' class='with-menu'><div><p>{P1}</p><p>{P2}</p></div></div>", f"{P1}\n{P2}"),
+        (f"<main><p>{P1}</p></main><section id='comments'><article><p>{P2}</p></article></section>", P1),
         ("just text &amp; no tags", "just text & no tags"),
         ("", ""),
         (None, ""),
