@@ -90,11 +90,11 @@ t AS (SELECT source, rate, k, exp(-rate) * product(rate / k) OVER (PARTITION BY
 c AS (SELECT source, 0 AS k, exp(-rate) AS cdf FROM r UNION ALL
       SELECT source, k, exp(-rate) + sum(p) OVER (PARTITION BY source ORDER BY k) FROM t),
 l AS (SELECT source, list(cdf ORDER BY k) AS cdf FROM c GROUP BY source),
-u AS (SELECT d.doc_id, d.source, r.rate, l.cdf,
+u AS (SELECT d.doc_id, d.source, d.text, r.rate, l.cdf,
   ('0x' || substr(md5('17:1:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 AS u
   FROM documents d JOIN r ON r.source IS NOT DISTINCT FROM d.source JOIN l ON l.source IS NOT DISTINCT FROM d.source),
-n AS (SELECT doc_id, source, rate, len(list_filter(cdf, lambda x: x <= u))::INTEGER AS n_copies FROM u),
+n AS (SELECT doc_id, source, text, rate, len(list_filter(cdf, lambda x: x <= u))::INTEGER AS n_copies FROM u),
 e AS (SELECT *, unnest(generate_series(0, n_copies - 1))::INTEGER AS copy FROM n WHERE n_copies > 0)
-SELECT doc_id, source, round(rate, 6) AS rate, n_copies, copy,
+SELECT doc_id, source, text, round(rate, 6) AS rate, n_copies, copy,
   md5('17 shuffle:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy) AS shuffle_key FROM e
 """

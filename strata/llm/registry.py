@@ -31,7 +31,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(_table(spark, sf_dir, "documents"), keep_draw=True)
-    return mixed.select("doc_id", "source", F.round("rate", 6).alias("rate"), "n_copies", "copy", "shuffle_key")
+    return mixed.select("doc_id", "source", "text", F.round("rate", 6).alias("rate"), "n_copies", "copy", "shuffle_key")
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
