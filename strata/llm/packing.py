@@ -12,6 +12,7 @@ alone; repeated rows are packed each.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from strata.llm.common import Scratch, as_bytes, worker_cache
 
 CACHE_WORDS = 400_000
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # one piece where it stands together; the apostrophe may begin another
 
 
 class WordEncoder:
@@ -43,16 +45,19 @@ class WordEncoder:
         self.one, self.bytes = self.tokenizer.model.tokenize, ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
     def _encode(self, word: bytes) -> bytes:
-        """Words of Latin-1 letters, with a full stop or comma or without, take the model's direct way; others the tokenizer's."""
-        mark = word[-1:] if word[-1:] in (b",", b".") else b""
-        letters = (word[:-1] if mark else word).decode("utf-8", "replace")
-        if not letters.isalpha() or max(letters) > "\u00ff":
+        """Words of Latin-1 letters, with punctuation at their end or without, take the model's direct way; others the tokenizer's."""
+        bare = word.rstrip(PUNCTUATION)
+        if not bare:
+            return self._slow(word)
+        letters = bare.decode("utf-8", "replace")
+        if not letters.isalpha() or not bare.isascii() and max(letters) > "\u00ff":
             return self._slow(word)
         p = letters.lower()
         found = self.pieces.get(p)
         if found is None:
-            found = self.pieces[p] = np.array([t.id for t in self.one(p if p.isascii() else self.bytes(p)[0][0])], "<u4").tobytes()
-        return found + self._mark(mark) if mark else found
+            ids = [t.id for t in self.one(p if p.isascii() else self.bytes(p)[0][0])]
+            found = self.pieces[p] = struct.pack(f"<{len(ids)}I", *ids)
+        return found if len(bare) == len(word) else found + self._mark(word[len(bare) :])
 
     def _mark(self, mark: bytes) -> bytes:
         found = self.pieces.get(mark)
@@ -68,6 +73,7 @@ class WordEncoder:
         words, known = text.split(), self.words
         if len(known) > CACHE_WORDS:
             known.clear()
+        if len(self.pieces) > CACHE_WORDS:
             self.pieces.clear()
         for w in set(words).difference(known):
             known[w] = self._encode(w)
