@@ -16,7 +16,7 @@ from strata.llm.line_dedup import dedup_lines
 from strata.llm.mixing import mix
 from strata.llm.packing import pack_documents
 from strata.llm.registry import tokenizer_path
-from strata.llm.simhash import keep_one
+from strata.llm.similar import keep_one_similar
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies stays."""
-    return keep_one(docs)
+    """One document of each group of copies and near copies (0.8 of the five-word shingles) stays."""
+    return keep_one_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import Renamed, Scratch, as_bytes
@@ -146,8 +146,13 @@ def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id", rad
     scratch = Scratch(docs.sparkSession, "simhash")
     whole = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
     fps = scratch.put(fingerprints(docs, [F.col(id_column).alias("id"), whole.alias("hash")], text, words_per_shingle))
+    return stay_one(docs, id_column, whole, fps, near_groups(fps, scratch, radius), scratch)
+
+
+def stay_one(docs: DataFrame, id_column: str, whole: Column, fps: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of docs that stay, by fps (id, hash, fp) and groups (fp, comp); ``whole`` is the row hash."""
     row = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
-    best = fps.groupBy("fp").agg(F.min(row).alias("best")).join(near_groups(fps, scratch, radius), "fp").groupBy("comp").agg(F.min("best").alias("best"))
+    best = fps.groupBy("fp").agg(F.min(row).alias("best")).join(groups, "fp").groupBy("comp").agg(F.min("best").alias("best"))
     stay = scratch.put(best.select("best.id", "best.hash"))
     named = Renamed(docs, hash=whole)
     rows = named.df.join(stay, (named.df["hash"] == stay["hash"]) & named.df[named[id_column]].eqNullSafe(stay["id"]), "left_semi").select(named.back())

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from strata.llm import line_dedup, packing, simhash, substring_dedup
+from strata.llm import line_dedup, packing, similar, simhash, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, core string, key string"
 
@@ -164,6 +164,55 @@ def test_simhash_repeated_rows_and_null_ids(spark):
     assert simhash.near_duplicates(empty).collect() == [] and simhash.keep_one(empty).collect() == []
 
 
+def brute_shingles(text, k=5):
+    words = [w for w in "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in (text or "")).split(" ") if w]
+    words = ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in words]
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or {tuple(words)} - {()}
+
+
+def brute_similar(texts):
+    """The first text of each group linked by a five-word Jaccard similarity of at least 0.8."""
+    sets, label = [brute_shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return label
+
+
+def test_similar_texts(spark):
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(10**6)}"
+    texts = corpus(4, 20) + ["one", "ONE", "two words", "a b c d", "a  b\tc\nd", "a b c d e", "a b c d e f"]
+    for _ in range(60):  # copies with whole stretches changed: about 0.65 to 0.95, many bits apart
+        base = [word() for _ in range(r.randint(60, 300))]
+        for _ in range(2):
+            own, at = list(base), r.randrange(len(base))
+            own[at : at + int(len(base) * r.uniform(0.01, 0.18))] = [word() for _ in range(r.randint(0, 9))]
+            texts.append(" ".join(own))
+    base = [word() for _ in range(200)]
+    for k in range(25):  # each near the next, the ends far apart
+        base[7 * k : 7 * k + 7] = [word() for _ in range(7)]
+        texts.append(" ".join(base))
+    core = [word() for _ in range(160)]
+    texts += [" ".join(core + [word() for _ in range(n)]) for n in (20, 30, 30, 30, 36, 40)] + [" ".join(core)]  # linked through the last alone
+    nine = [word() for _ in range(12)]  # 8 shingles; 8 of 10 is just 0.8
+    texts += [" ".join(nine), " ".join(nine + [word(), word()]), " ".join(nine[:9] + [word() for _ in range(3)])]
+    label = brute_similar(texts)
+    kept = similar.keep_one_similar(table(spark, texts)).collect()
+    assert sorted(x.doc_id for x in kept) == sorted(set(label))
+    far = sum((brute_fingerprint(texts[i]) ^ brute_fingerprint(texts[g])).bit_count() > 4 for i, g in enumerate(label))
+    assert far > 20  # of these the fingerprints say nothing
+
+
+def test_similar_texts_repeated_rows_and_null_ids(spark):
+    rows = [(None, "a b c d e"), (None, "a b c d e"), (None, "a b c d e f"), (7, "q r s t"), (7, "q r s t"), (8, None), (9, "")]
+    kept = [(x.doc_id, x.text) for x in similar.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert Counter(kept) == Counter([(None, "a b c d e"), (None, "a b c d e f"), (7, "q r s t"), (8, None)])
+    assert similar.keep_one_similar(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
 @pytest.mark.parametrize("block", [4, 9])
 def test_balls_meet(block):
     r = np.random.default_rng(1)
