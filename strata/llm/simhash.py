@@ -1,6 +1,7 @@
 """SimHash near-dedup by meet-in-the-middle ball hashing.
 
-Two fingerprints within 2r bits share a variant within r bits of both, so every
+Two fingerprints within 2r bits share a variant within r bits of both (within 2r - 1,
+one within r bits of one and r - 1 of the other), so every
 distinct fingerprint stands for all its variants within half the radius, and
 equal variants meet. Variants are dealt by a block of their bits: what is
 shuffled is the fingerprint, once for each value that the block takes in its
@@ -72,7 +73,7 @@ def flips(bits: range, most: int) -> list[int]:
     return [sum(1 << b for b in chosen) for k in range(most + 1) for chosen in combinations(bits, k)]
 
 
-def shard_links(fps: np.ndarray, value: int, block: int, half: int) -> np.ndarray:
+def shard_links(fps: np.ndarray, value: int, block: int, half: int, radius: int | None = None) -> np.ndarray:
     """Links (n, 2) among the fingerprints whose balls reach into the block's value: smallest of a variant, other."""
     low = np.uint64((1 << block) - 1)
     fps = np.unique(fps)
@@ -99,23 +100,26 @@ def shard_links(fps: np.ndarray, value: int, block: int, half: int) -> np.ndarra
         who[done : done + k] = own[(hit[done : done + k] - first) // m]
         first, done = end, done + k
     least = np.full(len(twice), len(fps), np.int64)
-    np.minimum.at(least, at[hit], who)
+    radius = 2 * half if radius is None else radius
+    near = np.bitwise_count(v[hit] ^ fps[who]) <= radius - half  # of an odd radius, only these are within it of all that meet here
+    np.minimum.at(least, at[hit][near], who[near])
     pairs = np.unique(np.column_stack([least[at[hit]], who]), axis=0)
+    pairs = pairs[pairs[:, 0] < len(fps)]
     a, b = fps[pairs[:, 0]], fps[pairs[:, 1]]
-    ok = (a != b) & (np.bitwise_count(a ^ b) <= 2 * half)
+    ok = (a != b) & (np.bitwise_count(a ^ b) <= radius)
     return np.column_stack([a[ok], b[ok]])
 
 
 def links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
     """(a, b): links that connect every two fingerprints (column fp) within the radius, directly or through others that are linked."""
-    half = radius // 2
+    half = -(-radius // 2)
     ball = sum(math.comb(BITS, k) for k in range(half + 1))
     block = min(32, max(4, math.ceil(math.log2(max(1, n * ball / VARIANTS_PER_SHARD)))))
     masks = F.array(*(F.lit(m).cast("long") for m in flips(range(block), half)))
     dealt = distinct.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(F.lit((1 << block) - 1)).bitwiseXOR(m))).alias("shard"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = shard_links(group["fp"].to_numpy().view(np.uint64), int(group["shard"].iloc[0]), block, half)
+        found = shard_links(group["fp"].to_numpy().view(np.uint64), int(group["shard"].iloc[0]), block, half, radius)
         return pd.DataFrame({"a": found[:, 0].view(np.int64), "b": found[:, 1].view(np.int64)})
 
     return dealt.groupBy("shard").applyInPandas(run, "a long, b long").distinct()

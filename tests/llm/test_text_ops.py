@@ -230,6 +230,26 @@ def test_balls_meet(block):
     assert len(set(groups)) == len(set(label.values()))
 
 
+@pytest.mark.parametrize("radius", [1, 3, 4, 5])
+def test_links_reach_the_radius(spark, radius):
+    r = random.Random(radius)
+    fps = {0, (1 << radius) - 1, 1 << 40}  # just the radius, and one bit
+    for _ in range(12):
+        base = r.getrandbits(64)
+        fps |= {base ^ sum(1 << b for b in r.sample(range(64), r.randint(0, radius))) for _ in range(8)}
+    fps = sorted(fps)
+    own = spark.createDataFrame([(f - (f >> 63 << 64),) for f in fps], "fp long")
+    label = list(range(len(fps)))
+    for x in simhash.links(own, len(fps), radius).collect():
+        i, j = (fps.index(v % (1 << 64)) for v in (x.a, x.b))
+        assert (fps[i] ^ fps[j]).bit_count() <= radius
+        a, b = sorted((label[i], label[j]))
+        label = [a if k == b else k for k in label]
+    for i in range(len(fps)):
+        for j in range(i):
+            assert (fps[i] ^ fps[j]).bit_count() > radius or label[i] == label[j]
+
+
 def test_packing(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
