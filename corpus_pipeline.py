@@ -46,7 +46,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("simhash_near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
 
-#: SQL can express neither fitted models nor SimHash groups nor packing; tests hold the stages against brute force.
+#: SQL can express neither fitted models nor groups of near copies nor packing; tests of the whole check a few facts.
 ORACLE_SQL = None
 
 
