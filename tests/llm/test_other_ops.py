@@ -182,26 +182,41 @@ def test_sequences_keep_order_and_captions(spark):
 
 
 def brute_top(rows, k, step):
-    use = [(i, [math.floor(x * 256) for x in v]) for i, v in rows if i is not None and v is not None and len(v) == 3 and all(x is not None and math.isfinite(x) for x in v)]
-    out = []
-    for q, v in {(i, tuple(v)) for i, v in use if i % step == 0}:
-        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in use if i != q)[:k]
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    return sorted(out)
+    use = [(i, tuple(math.floor(x * 256) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    found = {}
+    for q, v in {(i, v) for i, v in use if i % step == 0}:
+        found.setdefault(q, []).extend((-sum(a * b for a, b in zip(v, w)), i) for i, w in use if i != q and len(w) == len(v))
+    return sorted((q, n + 1, i, -s) for q, best in found.items() for n, (s, i) in enumerate(sorted(best)[:k]))
 
 
-@pytest.mark.parametrize("tree_rows, block_rows", [(16_384, 1_024), (150, 3)])
-def test_top_products(spark, tree_rows, block_rows):
+@pytest.mark.parametrize("tree_rows, chunk", [(8_192, 8 << 20), (100, 8 << 20), (60, 100)])
+def test_top_products(spark, tree_rows, chunk, monkeypatch):
+    monkeypatch.setattr(mtree, "REGION_BYTES", chunk)
+    monkeypatch.setattr(mtree, "SLICE_ROWS", 5)
     r = np.random.default_rng(3)
     vs = r.normal(size=(600, 3)).astype(np.float32).tolist()
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vs)]
     rows += [(1000 + i, [0.5, 0.5, 0.5]) for i in range(300)]  # one common vector: ties
-    rows += [(None, [1.0, 1.0, 1.0]), (2000, None), (2001, [1.0, None, 0.0]), (2010, [float("nan"), 1.0, 0.0]), (2020, [float("inf"), 1.0, 0.0]), (2030, []), (2040, [1.0]), (7, [float(x) for x in vs[7]])]
+    rows += [(None, [1.0, 1.0, 1.0]), (2000, None), (2001, [1.0, None, 0.0]), (2010, [float("nan"), 1.0, 0.0]), (2020, [float("inf"), 1.0, 0.0]), (7, [float(x) for x in vs[7]])]
+    rows += [(3000 + i, []) for i in range(60)] + [(4000 + i, [float(x) for x in r.normal(size=2)]) for i in range(90)] + [(5000, [1.0])]  # other lengths
+    rows += [(50, [float(x) for x in r.normal(size=3)]) for _ in range(20)] + [(100, [9.0, 9.0, 9.0])] * 8 + [(150, [0.0, 0.0, 0.0])]  # ids of many rows
     table = spark.createDataFrame([(*x, "c") for x in rows], "vec_id long, embedding array<float>, v string").repartition(3)
-    got = mtree.top_products(table, 5, 50, tree_rows=tree_rows, block_rows=block_rows).collect()
+    got = mtree.top_products(table, 5, 50, tree_rows=tree_rows).collect()
     assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got) == brute_top(rows, 5, 50)
 
 
+def test_top_products_large_components(spark):
+    r = np.random.default_rng(4)
+    rows = [(0, [70000.0, 1.0]), (1, [70000.0, 0.0]), (2, [90000.0, 0.0]), (3, [-(2.0**26), 3.0]), (50, [1.0, 2.0**20]), (100, [0.0, 0.0])]
+    rows += [(200 + i, [float(x) for x in v]) for i, v in enumerate(r.normal(size=(200, 2)) * 10.0 ** r.integers(-2, 6, (200, 1)))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = mtree.top_products(table, 5, 50, tree_rows=50).collect()
+    assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got) == brute_top(rows, 5, 50)
+    for v in ([2.0**60, 1.0], [2.0**30, 0.0]):  # no long as a component; no long as a score
+        with pytest.raises(Exception, match="beyond 2\\^62|isn't a long"):
+            mtree.top_products(spark.createDataFrame([(0, v), (1, v)], "vec_id long, embedding array<double>")).collect()
+
+
 def test_top_products_few_rows(spark):
     kind = "vec_id long, embedding array<float>"
     assert mtree.top_products(spark.createDataFrame([], kind)).collect() == []
@@ -211,14 +226,15 @@ def test_top_products_few_rows(spark):
 
 def test_search_computes_few_distances_in_low_dimensions():
     r = np.random.default_rng(5)
-    v = np.floor(256 * r.normal(size=(4000, 2)) / 4)
-    tree = mtree.Tree(np.arange(4000), v)
+    v = np.floor(256 * r.normal(size=(4000, 2)) / 4).astype(np.int64)
+    tree = mtree.Tree(np.arange(4000), v, page=64)
     again = mtree.Tree.load(tree.dump())
     seen = 0
     for q in range(0, 4000, 400):
         want = sorted((-int(v[q] @ v[i]), i) for i in range(4000) if i != q)[:5]
         assert again.search(q, v[q], 5) == [(-s, i) for s, i in want]
         seen += again.computed
+        assert again.search(q, v[q], 5, -want[4][0]) == [(-s, i) for s, i in want] and again.search(q, v[q], 5, 1 - want[0][0]) == []
     assert seen < 10 * 4000 / 2
 
 
