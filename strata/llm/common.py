@@ -8,22 +8,23 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    folder of this machine's own where that is unset (tests, single machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session
+    on one machine gets a folder of its own; a cluster has to name one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        made = spark.sparkContext.getCheckpointDir()
-        if not made:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strata-"))
-            made = spark.sparkContext.getCheckpointDir()
-        found = made
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strata-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -33,14 +34,22 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-ROWS_PER_BATCH = 1_000
+BYTES_AT_ONCE = 16 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Texts are long: a session with Spark's own batch size hands fewer rows at once to Python workers."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > ROWS_PER_BATCH:
-        spark.conf.set(name, ROWS_PER_BATCH)
+def slices(batches: Iterator[pa.RecordBatch], column: int | str) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts are at most BYTES_AT_ONCE together, or one row: what a worker
+    holds several times over is bounded by bytes, however many rows Spark hands it."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        first, held = 0, 0
+        for i, n in enumerate(lengths.tolist()):
+            if held and held + n > BYTES_AT_ONCE:
+                yield batch.slice(first, i - first)
+                first, held = i, 0
+            held += n
+        if first < batch.num_rows:
+            yield batch.slice(first)
 
 
 class Scratch:
@@ -53,7 +62,6 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/strata-{name}-{uuid.uuid4().hex}", 0
-        bounded_batches(spark)
         atexit.register(self._end)
 
     def put(self, df: DataFrame) -> DataFrame:
@@ -89,15 +97,24 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.to_pylist()]
 
 
-def bounded_sample(rows: DataFrame, key: Column, most: int) -> DataFrame:
-    """At most so many rows: all of them, or those whose key falls in a share of its range that their count sets.
+def bounded_sample(rows: DataFrame, key: Column, most: int, by: Column | None = None, classes: tuple = (None,)) -> DataFrame:
+    """At most so many rows with distinct keys: all of them, or those whose key's hash falls in a share of its range
+    that the number of distinct keys sets. A group of equal keys counts once, however large it is.
 
-    No task holds more than its own share, however many tasks there are.
+    With ``by`` every class gets an equal part of ``most``. No task holds more than its own share.
     """
-    n = rows.count()
-    if n > most:
-        rows = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(0.95 * most / n * (1 << 40)))
-    return rows.limit(most)
+    held = rows.withColumn("__hash", F.xxhash64(key)).withColumn("__class", F.lit(None).cast("string") if by is None else by)
+    counts = {r["__class"]: r["n"] for r in held.groupBy("__class").agg(F.approx_count_distinct("__hash", 0.02).alias("n")).collect()}  # a row per class
+    quota, parts = most // len(classes), []
+    for c in classes:
+        own = held.where(F.col("__class").eqNullSafe(F.lit(c)))
+        if counts.get(c, 0) > 0.9 * quota:
+            own = own.where(F.pmod("__hash", F.lit(1 << 40)) < int(0.9 * quota / counts[c] * (1 << 40)))
+        parts.append(own.dropDuplicates(["__hash"]).orderBy("__hash").limit(quota))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.drop("__hash", "__class")
 
 
 class Renamed:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import bounded_batches
+from strata.llm.common import Renamed, slices
 from strata.llm.html_tree import BLOCK, Node, parse, squeeze
 
 # Names of parts that aren't the article; fixed values.
@@ -173,15 +173,14 @@ def main_text(html: str) -> str:
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The columns ``keep``, text and n_chars of every page."""
-    bounded_batches(pages.sparkSession)
-    own = pages.select(*keep, F.col(html).alias("__html"))
-    schema = pages.select(*keep).schema.add("text", "string").add("n_chars", "long")
-    names = schema.names
+    """The columns ``keep``, text and n_chars of every page; kept columns of these two names give way."""
+    named = Renamed(pages.select(*(F.col(f"`{c}`") for c in keep if c not in ("text", "n_chars"))))
+    own = pages.select(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(named.names)), F.col(html).alias("html"))
+    schema = named.df.schema.add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(h or "") for h in batch.column("__html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=names)
+        for batch in slices(batches, "html"):
+            texts = [main_text(h or "") for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(run, schema).select(*named.back(), "text", "n_chars")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import Renamed, Scratch, as_bytes, null_mask, with_text, worker_cache
+from strata.llm.common import Renamed, Scratch, as_bytes, null_mask, slices, with_text, worker_cache
 
 GAMMA, LEVELS = 2.0, 40
 SHARD_KEYS = 1 << 16
@@ -126,7 +126,7 @@ def line_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(a, b, n): the hash of each distinct non-blank line key and its number of documents."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             keys: list[bytes] = []
             for t in as_bytes(batch.column(0)):
                 own = set(map(line_key, t.split(b"\n")))
@@ -180,7 +180,7 @@ def _apply(docs: DataFrame, text: str, make_run, as_documents: bool, id_column:
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             run = make_run()
-            for batch in batches:
+            for batch in slices(batches, text):
                 nulls = null_mask(batch.column(text))
                 done = run(as_bytes(batch.column(text)))
                 yield with_text(batch, text, [None if gone else kept for gone, (_, _, kept) in zip(nulls, done)])
@@ -189,7 +189,7 @@ def _apply(docs: DataFrame, text: str, make_run, as_documents: bool, id_column:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = make_run()
-        for batch in batches:
+        for batch in slices(batches, 1):
             done = run(as_bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in done], pa.string())],

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import Scratch, as_bytes, worker_cache
+from strata.llm.common import Renamed, Scratch, as_bytes, slices, worker_cache
 
 CACHE_WORDS = 400_000
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # one piece where it stands together; the apostrophe may begin another
@@ -94,7 +94,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", id_column:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches, 1):
             take, piece, start, length, crc = [], [], [], [], []
             for row, t in enumerate(as_bytes(batch.column(1))):
                 ids = enc.encode(t) + tail
@@ -142,24 +142,26 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, shard_rows: int = 50_000) -> DataFrame:
-    """pieces (any columns, among them length) with sequence_id and offset; whole sequences need no partner."""
+    """pieces (any columns, among them length) with sequence_id and offset, to which columns of these names give way; whole sequences need no partner."""
     scratch = Scratch(pieces.sparkSession, "packing")
-    own = scratch.put(pieces.withColumn("__tag", F.monotonically_increasing_id()))
-    part = own.where(F.col("length") < capacity)
+    named = Renamed(pieces, tag=F.monotonically_increasing_id())
+    size, given = named["length"], [f"c{i}" for i in range(len(named.names))]
+    own = scratch.put(named.df)
+    part = own.where(F.col(size) < capacity)
     shards = max(1, round(part.count() / shard_rows))
-    dealt = part.withColumn("__shard", F.pmod(F.xxhash64("__tag"), F.lit(shards)))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    names = schema.names
+    dealt = part.withColumn("shard", F.pmod(F.xxhash64("tag"), F.lit(shards)))
+    schema = own.select(given).schema.add("sequence_id", "long").add("offset", "long")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "__tag"], ascending=[False, True], kind="stable")
-        sequence, offset = sum_of_squares(group["length"].to_numpy(), capacity)
-        group["sequence_id"], group["offset"] = sequence + (group["__shard"].to_numpy() << 32), offset
-        return group[names]
-
-    packed = dealt.groupBy("__shard").applyInPandas(run, schema)
-    full = own.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.col("__tag")).withColumn("offset", F.lit(0).cast("long")).select(names)
-    return packed.unionByName(full)
+        group = group.sort_values([size, "tag"], ascending=[False, True], kind="stable")
+        sequence, offset = sum_of_squares(group[size].to_numpy(), capacity)
+        group["sequence_id"], group["offset"] = sequence + (group["shard"].to_numpy() << 32), offset
+        return group[schema.names]
+
+    packed = dealt.groupBy("shard").applyInPandas(run, schema)
+    full = own.where(F.col(size) >= capacity).withColumn("sequence_id", -1 - F.col("tag")).withColumn("offset", F.lit(0).cast("long")).select(schema.names)
+    added = ("sequence_id", "offset")
+    return packed.unionByName(full).select(*named.back(added), *added)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", id_column: str = "doc_id", capacity: int = 2048, end: int = 0, shard_rows: int = 50_000) -> DataFrame:

@@ -16,7 +16,7 @@ from strata.llm.mtree import TOP_SQL, top_products
 from strata.llm.packing import pack_documents
 from strata.llm.simhash import near_duplicates
 from strata.llm.substring_dedup import remove_repeats
-from strata.llm.url_filter import RULES, filter_urls, seed_labels
+from strata.llm.url_filter import RULES, filter_urls, blocklist_labels
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -40,7 +40,7 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    return filter_urls(pages, RULES, seed_labels(pages))
+    return filter_urls(pages, RULES, blocklist_labels(pages))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

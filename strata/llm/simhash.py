@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import Renamed, Scratch, as_bytes
+from strata.llm.common import Renamed, Scratch, as_bytes, slices
 from strata.llm.components import components
 
 BITS = 64
@@ -55,15 +55,15 @@ def fingerprint(text: bytes, words_per_shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, keep: list, text: str = "text", words_per_shingle: int = 4) -> DataFrame:
-    """The columns ``keep`` and fp long (the fingerprint's bits)."""
-    chosen = docs.select(*keep, F.col(text).alias("__text"))
+    """The columns ``keep``, none of them named fp, and fp long (the fingerprint's bits)."""
     schema = docs.select(*keep).schema.add("fp", "long")
-    names = schema.names
+    last = len(schema) - 1
+    chosen = docs.select(*keep, F.col(text)).toDF(*(f"c{i}" for i in range(last + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = np.array([fingerprint(t, words_per_shingle) for t in as_bytes(batch.column("__text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names) - 1)), pa.array(fp.view(np.int64))], names=names)
+        for batch in slices(batches, last):
+            fp = np.array([fingerprint(t, words_per_shingle) for t in as_bytes(batch.column(last))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(fp.view(np.int64))], names=schema.names)
 
     return chosen.mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.common import Renamed, Scratch, as_bytes
+from strata.llm.common import Renamed, Scratch, as_bytes, slices
 from strata.llm.components import components
 from strata.llm.simhash import stay_one
 
@@ -75,7 +75,7 @@ def marks(docs: DataFrame, keep: list, text: str, words_per_shingle: int) -> Dat
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "__text"):
             sets = [shingles(t, words_per_shingle) for t in as_bytes(batch.column("__text"))]
             fp = np.array([set_key(s) for s in sets], np.uint64).view(np.int64)
             bands = [band_keys(s).view(np.int64) for s in sets]
@@ -90,7 +90,7 @@ def sets_of(rows: DataFrame, words_per_shingle: int) -> DataFrame:
     """(fp, own): the shingle hashes of the texts in column text, once for each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             sets = [shingles(t, words_per_shingle) for t in as_bytes(batch.column(0))]
             fp = np.array([set_key(s) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "own"])

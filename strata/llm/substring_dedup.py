@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import Scratch, as_bytes
+from strata.llm.common import Scratch, as_bytes, slices
 
 Q, SPAN, WIDTHS = 208, 192, (192, 48, 12, 3, 1)  # q; offsets an anchor answers for; offsets of a node by round
 PIECE = 1 << 20
@@ -167,7 +167,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     base = docs.select(F.col(id_column).alias("doc_id"), F.col(text).cast("binary").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             texts, keys = as_bytes(batch.column("text")), batch.column("key").to_numpy()
             row, place, bucket = text_anchors(texts, length)
             union = np.empty(len(row), np.uint64)
@@ -188,7 +188,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts without an open node are finished here; the others go on."""
         names = [x.name for x in out_fields]
-        for batch in batches:
+        for batch in slices(batches, "text"):
             texts = as_bytes(batch.column("text"))
             spans, open_, finished = [], [], []
             for t, own in zip(texts, batch.column("anchors").to_pylist()):
@@ -249,7 +249,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     rest = state.where(F.col("open").isNotNull()).select("doc_id", "key", "text", "spans").join(per_row, "key", "left").select("doc_id", "text", "spans", "more")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             texts, spans = as_bytes(batch.column("text")), []
             for known, more in zip(as_bytes(batch.column("spans")), batch.column("more").to_pylist()):
                 extra = np.array([(x["first"], x["end"]) for x in more or ()], np.int64).reshape(-1, 2)

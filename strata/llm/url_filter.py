@@ -3,12 +3,15 @@
 The trees are fitted on the driver from a sample of labelled URLs whose size is
 the parameter ``most_labelled``; every URL is then judged by rules and trees in
 one pass. Features: lengths of the parts, path depth, digit ratios, character
-entropies, hyphens and labels of the host, parameter counts, and the smoothed share
-of blocked URLs by suffix (last label, last two labels) in the sample.
+entropies, parameter counts, and the smoothed share of blocked URLs by suffix (last
+label, last two labels) in the sample. No feature sees a word, so the trees can't
+read labels off the terms that a labelled list was made by.
 
 Defined results: a null URL, or one without ://, has an empty host and path and is
 judged by the trees; repeated rows are judged alike; without labelled URLs, or with
-one label alone, that label (else allow) holds for all.
+one label alone, that label (else allow) holds for all; of a URL that is labelled
+twice the smaller row hash counts; columns beside the id and the URL are passed over,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import bounded_batches, bounded_sample
+from strata.llm.common import bounded_sample
 
 SPLIT = re.compile(r"^(.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$", re.S)
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -70,12 +73,16 @@ def entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
 
 
+#: What lexical() measures, in its order, and the two shares by suffix.
+FEATURES = ("length", "host length", "path length", "query length", "depth", "digit ratio", "host digit ratio", "path digit ratio", "entropy", "host entropy", "path entropy", "parameters", "suffix share", "domain share")
+
+
 def lexical(url: str | None) -> list[float]:
     host, path, query = parts(url)
     u = url or ""
     digits = lambda s: len(DIGITS.findall(s)) / len(s) if s else 0.0
-    depth = len([x for x in path.split("/") if x])
-    return [len(u), len(host), len(path), len(query), depth, digits(u), digits(host), digits(path), entropy(u), entropy(host), host.count("-"), host.count(".") + 1 if host else 0, len([x for x in query.split("&") if x]), float("#" in u), float(u.startswith("https://"))]
+    depth, parameters = (len([x for x in s.split(c) if x]) for s, c in ((path, "/"), (query, "&")))
+    return [len(u), len(host), len(path), len(query), depth, digits(u), digits(host), digits(path), entropy(u), entropy(host), entropy(path), parameters]
 
 
 def suffixes(url: str | None) -> tuple[str, str]:
@@ -95,6 +102,10 @@ class Model:
     shares: list[dict[str, float]] = field(default_factory=list)
     prior: float = 0.0
 
+    def used(self) -> list[str]:
+        """The features that some tree asks for."""
+        return [FEATURES[i] for i in sorted(set(self.feature[np.isfinite(self.cut)].astype(int).tolist()))] if len(self.feature) else []
+
     def matrix(self, urls: list[str | None]) -> np.ndarray:
         rows = [lexical(u) + [s.get(x, self.prior) for s, x in zip(self.shares, suffixes(u))] for u in urls]
         return np.array(rows, np.float64).reshape(len(urls), -1)
@@ -167,7 +178,6 @@ def labelled_sample(labelled: DataFrame, most_labelled: int) -> tuple[list[str],
 
 def filter_urls(pages: DataFrame, rules: list[Rule], labelled: DataFrame, url: str = "url", id_column: str = "page_id", most_labelled: int = 20_000, threshold: float = 0.5) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) per row; labelled has url and label (1: block)."""
-    bounded_batches(pages.sparkSession)
     model = fit(*labelled_sample(labelled, most_labelled))
     book, least = Rules(rules), math.log(threshold / (1 - threshold))
     kind = pages.schema[id_column].dataType.simpleString()
@@ -187,11 +197,14 @@ def filter_urls(pages: DataFrame, rules: list[Rule], labelled: DataFrame, url: s
     return pages.select(F.col(id_column).alias("page_id"), F.col(url)).mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
 
 
-#: What the query's labels come from: URLs whose host has one of these words between dots and hyphens count as blocked, others as allowed.
-SEED_WORDS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam", "viagra")
 RULES = [Rule("org", "/", "allow"), Rule("example.org", "/es/", "block"), Rule("example.org", "/en/1", "block"), Rule("com", "/fr/", "allow"), Rule("com", "/de/", "block")]
 
+#: Terms of a blocklist, fixed. The tables hold no labelled URLs, so the query's labels are weak ones: a URL is labelled 1 if
+#: its host has a listed term between dots and hyphens, else 0. What the trees learn of them are the URLs' lexical statistics.
+BLOCKLIST = ("ads", "adult", "bets", "casino", "pills", "porn", "spam", "viagra")
+
 
-def seed_labels(pages: DataFrame, url: str = "url") -> DataFrame:
+def blocklist_labels(pages: DataFrame, url: str = "url") -> DataFrame:
+    """(url, label) by the blocklist."""
     host: Column = F.lower(F.regexp_extract(F.col(url), r"^.*?://([^/?#]*)", 1))
-    return pages.select(F.col(url).alias("url"), F.arrays_overlap(F.split(host, "[.-]"), F.array(*(F.lit(w) for w in SEED_WORDS))).cast("int").alias("label"))
+    return pages.select(F.col(url).alias("url"), F.arrays_overlap(F.split(host, "[.-]"), F.array(*(F.lit(w) for w in BLOCKLIST))).cast("int").alias("label"))

@@ -74,7 +74,7 @@ def test_url_rules(spark):
     urls = [None, "", "nothing", "http://A.EXAMPLE.org", "http://a.example.org/", "https://x.example.org/es/1?u=/en/1", "http://example.org/en/12#f", "http://notexample.org/es/", "http://b.com/fr/", "http://b.com/de", "http://com/de/x", "ftp://é.Net/a://b", "http://h?q", "http://h#/x"]
     urls += [f"http://{h}.{t}/{p}" for h in ("a", "Spam.b") for t in ("org", "com", "net") for p in ("fr/1", "de/", "en/1")]
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    got = {r.page_id: r for r in url_filter.filter_urls(rows, url_filter.RULES, url_filter.seed_labels(rows)).collect()}
+    got = {r.page_id: r for r in url_filter.filter_urls(rows, url_filter.RULES, url_filter.blocklist_labels(rows)).collect()}
     for i, u in enumerate(urls):
         host, path = "", ""
         if u and "://" in u:
@@ -102,7 +102,7 @@ def test_trees_on_held_out_urls():
 
 def test_no_pages(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
-    assert url_filter.filter_urls(empty, url_filter.RULES, url_filter.seed_labels(empty)).collect() == []
+    assert url_filter.filter_urls(empty, url_filter.RULES, url_filter.blocklist_labels(empty)).collect() == []
     assert html_extract.extract(empty).collect() == []
 
 
