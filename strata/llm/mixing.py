@@ -12,7 +12,9 @@ below the draw; the distribution is computed once per source. A rate above
 
 Defined results: null is a source of its own; a null text has size zero but its
 document can be drawn; rows with equal ids draw alike; a source of total size
-zero gets the rate 1.
+zero gets the rate 1. Given weights are added up by source; a source without one has
+weight 0 and its documents are left out; weights that are null, negative or infinite,
+or that leave no source of the documents a positive one, are an error.
 """
 
 from __future__ import annotations
@@ -49,10 +51,13 @@ def rates(docs: DataFrame, source: str, size: Column, temperature: float, weight
     if weights is None:
         given = sums.withColumn("__weight", F.pow("__size", F.lit(temperature)))
     else:
-        target = weights.select(F.col("source").alias("__w"), F.col("weight").cast("double").alias("__weight"))
+        weight = F.col("weight").cast("double")
+        fine = F.when((weight >= 0) & (weight < float("inf")), weight).otherwise(F.raise_error(F.lit("a weight is null, negative or infinite")).cast("double"))
+        target = weights.groupBy(F.col("source").alias("__w")).agg(F.sum(fine).alias("__weight"))
         given = sums.join(target, F.col("__source").eqNullSafe(F.col("__w")), "left").drop("__w").na.fill(0.0, ["__weight"])
-    total = given.agg(F.sum("__size").alias("__total"), F.sum("__weight").alias("__weights"))  # one row
-    rate = F.when(F.col("__size") > 0, F.lit(factor) * F.col("__weight") / F.col("__weights") * F.col("__total") / F.col("__size")).otherwise(F.lit(1.0))
+    total = given.where("__size > 0").agg(F.sum("__size").alias("__total"), F.sum("__weight").alias("__weights"))  # one row
+    share = F.try_divide(F.lit(factor) * F.col("__weight"), F.col("__weights"))  # null if all weights are 0
+    rate = F.when(F.col("__size") > 0, share * F.col("__total") / F.col("__size")).otherwise(F.lit(1.0))
     out = given.crossJoin(F.broadcast(total)).select("__source", rate.alias("__rate"))
     out = out.withColumn("__draws", F.greatest(F.lit(1), F.ceil(F.col("__rate") / CHUNK)).cast("int"))
     return out.withColumn("__cdf", distribution(F.col("__rate") / F.col("__draws")))
@@ -68,6 +73,8 @@ def mix(docs: DataFrame, source: str = "source", id_column: str = "doc_id", text
     own, where, who, what = named.df, named[source], named[id_column], named[text]
     # written first, so that Spark knows its size when it plans the join: small, it is broadcast and no text moves
     by = Scratch(docs.sparkSession, "mixing").put(rates(own, where, F.coalesce(F.length(what), F.lit(0)).cast("double"), temperature, weights, factor))
+    if by.where("__rate is null").limit(1).count():
+        raise ValueError("no source of the documents has a positive weight")
     own = own.join(by, F.col(where).eqNullSafe(F.col("__source")), "left")
     draws = F.transform(F.sequence(F.lit(1), F.col("__draws")), lambda k: draw(F.lit(seed), k, F.col(who)))
     each = F.transform(draws, lambda u: F.size(F.filter("__cdf", lambda c: c <= u)))
