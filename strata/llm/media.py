@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.common import Scratch, as_bytes
+from strata.llm.common import Renamed, Scratch, as_bytes, slices
 from strata.llm.html_tree import BLOCK, Node, parse, squeeze, unescape
 
 WIDTH = 192
@@ -143,26 +143,37 @@ def _caption(x: Node) -> str | None:
 
 
 def interleave(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """The columns ``keep`` and ``elements``, the ordered sequence of each page."""
-    schema = pages.select(*keep).schema.add("elements", ELEMENTS)
+    """The columns ``keep`` and ``elements``, the ordered sequence of each page; a kept column of that name gives way."""
+    named = Renamed(pages.select(*(F.col(f"`{c}`") for c in keep if c != "elements")))
+    own = pages.select(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(named.names)), F.col(html).alias("html"))
+    schema = named.df.schema.add("elements", ELEMENTS)
     kind = pa.list_(pa.struct([("pos", pa.int32()), *((n, pa.string()) for n in ("kind", "text", "digest", "caption"))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [sequence_of(h or "") for h in batch.column("__html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(found, kind)], names=schema.names)
+        for batch in slices(batches, "html"):
+            found = [sequence_of(h or "") for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names=schema.names)
 
-    return pages.select(*keep, F.col(html).alias("__html")).mapInArrow(run, schema)
+    return own.mapInArrow(run, schema).select(*named.back(), "elements")
+
+
+SALTS = 64
 
 
 def resolve(sequences: DataFrame, media: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """One row per media reference: ``keep``, pos, caption, digest and the media table's columns (null where unknown).
 
-    The media table has one row per digest; a hot digest lies on the side of the
-    small references, which Spark can split.
+    The media table has one row per digest. What is known of a digest that many references
+    share is copied to SALTS keys, and its references are dealt among these; ``keep`` has
+    none of the names digest, salt, pos and caption.
     """
     own = sequences.select(*keep, F.explode("elements").alias("e")).where("e.kind = 'media'").select(*keep, "e.pos", "e.caption", "e.digest")
-    return own.join(media, "digest", "left")
+    scratch = Scratch(sequences.sparkSession, "references")
+    own = scratch.put(own)
+    often = scratch.put(own.groupBy("digest").count().where(F.col("count") > SALTS).select("digest"))
+    held = media.join(often.withColumn("often", F.lit(True)), "digest", "left").withColumn("salt", F.explode(F.when(F.col("often"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("often")
+    asked = own.join(often.withColumn("often", F.lit(True)), "digest", "left").withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("often")
+    return asked.join(held, ["digest", "salt"], "left").drop("salt")
 
 
 def store_texts(docs: DataFrame, text: str, id_column: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -170,7 +181,7 @@ def store_texts(docs: DataFrame, text: str, id_column: str, scratch: Scratch) ->
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = as_bytes(batch.column(1))
             media = [to_png(payload_of(t)) for t in texts]
             digest = [hashlib.sha256(m).hexdigest() for m in media]
@@ -186,7 +197,7 @@ def examine(media: DataFrame) -> DataFrame:
     names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             stored = as_bytes(batch.column(1))
             back = [from_png(m) for m in stored]
             yield pa.RecordBatch.from_arrays(
