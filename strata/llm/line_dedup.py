@@ -39,26 +39,25 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 class PerfectHash:
-    """Minimal perfect hash of distinct (a, b) pairs of 64-bit hashes."""
+    """Minimal perfect hash of distinct 64-bit hashes: levels of bit arrays in 64-bit words, and a rank for each word."""
 
     def __init__(self, levels: list[np.ndarray], last: np.ndarray):
-        self.levels, self.last = levels, last  # bit arrays as uint8 0/1 packed; keys that no level took
-        self.bits = [np.unpackbits(x, bitorder="little") for x in levels]
+        self.levels, self.last = levels, last  # words as uint64; keys that no level took
         self.ranks, base = [], 0
-        for b in self.bits:
-            r = np.cumsum(b, dtype=np.int64) - b + base
-            base += int(b.sum())
-            self.ranks.append(r)
+        for words in levels:
+            ones = np.bitwise_count(words).astype(np.int64)
+            self.ranks.append((np.cumsum(ones) - ones + base).astype(np.uint32))
+            base += int(ones.sum())
         self.base = base
 
     @staticmethod
     def build(keys: np.ndarray) -> PerfectHash:
         left, levels = keys, []
         while len(left) and len(levels) < LEVELS:
-            m = max(64, int(GAMMA * len(left) + 7) // 8 * 8)
+            m = 64 * (int(GAMMA * len(left)) // 64 + 1)
             at = (_mix(left, len(levels)) % np.uint64(m)).astype(np.int64)
             alone = np.bincount(at, minlength=m) == 1
-            levels.append(np.packbits(alone, bitorder="little"))
+            levels.append(np.packbits(alone, bitorder="little").view("<u8"))
             left = left[~alone[at]]
         return PerfectHash(levels, np.sort(left))
 
@@ -66,12 +65,15 @@ class PerfectHash:
         """Where each key would be; -1 for keys that are certainly absent."""
         out = np.full(len(keys), -1, np.int64)
         rest = np.arange(len(keys))
-        for k, (bits, ranks) in enumerate(zip(self.bits, self.ranks)):
+        for k, (words, ranks) in enumerate(zip(self.levels, self.ranks)):
             if not len(rest):
                 break
-            at = (_mix(keys[rest], k) % np.uint64(len(bits))).astype(np.int64)
-            hit = bits[at] == 1
-            out[rest[hit]] = ranks[at[hit]]
+            at = _mix(keys[rest], k) % np.uint64(64 * len(words))
+            word, bit = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+            held = words[word]
+            hit = (held >> bit) & np.uint64(1) == 1
+            below = held[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1))
+            out[rest[hit]] = ranks[word[hit]] + np.bitwise_count(below)
             rest = rest[~hit]
         if len(rest) and len(self.last):
             i = np.minimum(np.searchsorted(self.last, keys[rest]), len(self.last) - 1)
@@ -87,18 +89,20 @@ def pack_shard(a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> bytes:
     at = h.index(a)
     fingerprint, count = np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint32)
     fingerprint[at], count[at] = b, np.minimum(counts, 0xFFFFFFFF)
-    parts = [struct.pack("<III", len(h.levels), len(h.last), len(a)), np.array([len(x) for x in h.levels], "<u4").tobytes()]
+    parts = [struct.pack("<IIII", len(h.levels), len(h.last), len(a), 0), np.array([len(x) for x in h.levels], "<u8").tobytes()]
     return b"".join([*parts, *(x.tobytes() for x in h.levels), h.last.tobytes(), fingerprint.tobytes(), count.tobytes()])
 
 
 class Shard:
+    """A packed index in place: its arrays are views of the bytes."""
+
     def __init__(self, blob: bytes):
-        n_levels, n_last, n = struct.unpack_from("<III", blob)
-        at = 12 + 4 * n_levels
+        n_levels, n_last, n, _ = struct.unpack_from("<IIII", blob)
+        at = 16 + 8 * n_levels
         levels = []
-        for size in np.frombuffer(blob, "<u4", n_levels, 12):
-            levels.append(np.frombuffer(blob, np.uint8, int(size), at))
-            at += int(size)
+        for size in np.frombuffer(blob, "<u8", n_levels, 16):
+            levels.append(np.frombuffer(blob, "<u8", int(size), at))
+            at += 8 * int(size)
         self.hash = PerfectHash(levels, np.frombuffer(blob, np.uint64, n_last, at))
         self.fingerprint = np.frombuffer(blob, np.uint64, n, at + 8 * n_last)
         self.count = np.frombuffer(blob, np.uint32, n, at + 8 * n_last + 8 * n)
@@ -204,9 +208,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     """Drop every line whose key is in at least ``min_docs`` documents.
 
     Returns (doc_id, n_lines, n_dropped, kept_sha256) per row, or with
-    ``as_documents`` the rows themselves with the kept text. The memory that the
-    broadcast takes on an executor is ``broadcast_bytes``, checked; a larger
-    index is probed shard by shard.
+    ``as_documents`` the rows themselves with the kept text. The broadcast is at most
+    ``broadcast_bytes``, checked; each Python worker holds it once, with ranks of a
+    sixteenth of the bit arrays beside it. A larger index is probed shard by shard.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     frequent = scratch.put(line_counts(docs, text).where(F.col("n") >= min_docs))
@@ -227,10 +231,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
 
         def find(h: np.ndarray) -> np.ndarray:
             out = np.zeros(len(h), bool)
-            deal = np.mod(h[:, 1].view(np.int64), shards)
-            for k, shard in mine.items():
-                own = np.flatnonzero(deal == k) if shards > 1 else np.arange(len(h))
-                out[own] = shard.counts(h[own, 0], h[own, 1]) >= min_docs
+            for k, own in _by_shard(h, shards):
+                if k in mine:
+                    out[own] = mine[k].counts(h[own, 0], h[own, 1]) >= min_docs
             return out
 
         return _dropper(find)
@@ -238,45 +241,65 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     return _apply(docs, text, make_run, as_documents, id_column)
 
 
+def _by_shard(h: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, which of the hashes are its) for each shard that has some."""
+    deal = np.mod(h[:, 1].view(np.int64), shards)
+    order = np.argsort(deal, kind="stable")
+    edges = np.flatnonzero(np.r_[True, np.diff(deal[order]) != 0, True]) if len(order) else []
+    for s, e in zip(edges[:-1], edges[1:]):
+        yield int(deal[order[s]]), order[s:e]
+
+
+PROBES_AT_ONCE, PROBES_PER_TASK = 1 << 18, 1 << 20
+
+
 def _routed(docs: DataFrame, text: str, id_column: str, index: DataFrame, shards: int, min_docs: int, as_documents: bool, scratch: Scratch) -> DataFrame:
-    """Beyond the broadcast: packed probes go to the shards, hits come back by row key."""
+    """Beyond the broadcast: packed probes go to the shards, hits come back by row key.
+
+    A shard with many probes (a line that many documents share has all its probes in one) is copied
+    for as many parts of them as keep a task at PROBES_PER_TASK or so.
+    """
     key = F.xxhash64(F.col(id_column), F.col(text))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, probes = [], []
+        probes, rows = [], []
+
+        def flush() -> pa.RecordBatch:
+            h, r = hashes(probes), np.array(rows, np.int64).view(np.uint64)
+            found = [(k, np.ascontiguousarray(np.column_stack([r[own], h[own]])).tobytes(), len(own)) for k, own in _by_shard(h, shards)]
+            probes.clear(), rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.int64()))], names=["shard", "probes", "n"])
+
+        for batch in slices(batches, 1):
             for r, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-                own = sorted(set(map(line_key, t.split(b"\n"))) - {b""})
+                own = set(map(line_key, t.split(b"\n"))) - {b""}
                 probes += own
                 rows += [r] * len(own)
-            h, rows = hashes(probes), np.array(rows, np.int64)
-            deal = np.mod(h[:, 1].view(np.int64), shards)
-            order = np.argsort(deal, kind="stable")
-            edges = np.flatnonzero(np.r_[True, np.diff(deal[order]) != 0, True]) if len(order) else []
-            for s, e in zip(edges[:-1], edges[1:]):
-                own = order[s:e]
-                packed = np.ascontiguousarray(np.column_stack([rows[own].view(np.uint64), h[own]]))
-                yield pa.RecordBatch.from_arrays([pa.array([int(deal[own[0]])], pa.int64()), pa.array([packed.tobytes()], pa.binary())], names=["shard", "probes"])
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, shard = None, None
-        for batch in batches:
-            for k, probes, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if k != last:
-                    last, shard = k, Shard(blob)
-                p = np.frombuffer(probes, np.uint64).reshape(-1, 3)
-                hit = p[shard.counts(p[:, 1], p[:, 2]) >= min_docs]
-                yield pa.RecordBatch.from_arrays([pa.array(hit[:, 0].view(np.int64)), pa.array(hit[:, 1].view(np.int64))], names=["__row", "__line"])
-
-    packed = docs.select(key.alias("k"), F.col(text)).mapInArrow(pack, "shard long, probes binary")
-    hits = packed.join(index, "shard").select("shard", "probes", "blob").mapInArrow(probe, "__row long, __line long")
+                if len(probes) >= PROBES_AT_ONCE:
+                    yield flush()
+        if probes:
+            yield flush()
+
+    def probe(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(held):
+            return pd.DataFrame({"__row": [], "__line": []}, dtype="int64")
+        shard = Shard(held["blob"].iloc[0])
+        p = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 3) for x in own["probes"]])
+        hit = p[shard.counts(p[:, 1], p[:, 2]) >= min_docs]
+        return pd.DataFrame({"__row": hit[:, 0].view(np.int64), "__line": hit[:, 1].view(np.int64)})
+
+    packed = scratch.put(docs.select(key.alias("k"), F.col(text)).mapInArrow(pack, "shard long, probes binary, n long"))
+    parts = scratch.put(packed.groupBy("shard").agg(F.ceil(F.sum("n") / F.lit(float(PROBES_PER_TASK))).alias("parts")))  # one row per shard
+    copies = index.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("shard", "part", "blob")
+    dealt = packed.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), "parts")).select("shard", "part", "probes")
+    hits = dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInPandas(probe, "__row long, __line long")
     per_row = hits.groupBy("__row").agg(F.collect_set("__line").alias("__lines"))  # bounded by a document's own lines
     named = Renamed(docs, __row=key)
     joined = named.df.join(per_row, "__row", "left").drop("__row")
-    schema = docs.schema
+    schema, text_at = docs.schema, docs.columns.index(text)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text_at):
             found, out = batch.column("__lines").to_pylist(), []
             batch = pa.RecordBatch.from_arrays(batch.columns[: len(schema)], names=schema.names)
             texts = as_bytes(batch.column(text))

@@ -93,6 +93,8 @@ def brute_lines(texts, least):
 @pytest.mark.parametrize("bound", [64 << 20, 0])
 def test_lines(spark, bound, monkeypatch):
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 3)
+    monkeypatch.setattr(line_dedup, "PROBES_PER_TASK", 20)  # several parts of a shard's probes
+    monkeypatch.setattr(line_dedup, "PROBES_AT_ONCE", 7)
     r = random.Random(3)
     lines = [f"line {i} {'É' * (i % 3)}" for i in range(30)] + ["", "  ", "A", "\x0b\x1c"]
     texts = ["\n".join(r.choice([" ", "\t", ""]) + r.choice([str.upper, str])(r.choice(lines)) for _ in range(r.randint(1, 12))) for _ in range(80)] + [None, "", "a ", "solo"]
@@ -230,6 +232,22 @@ def test_balls_meet(block):
     assert len(set(groups)) == len(set(label.values()))
 
 
+def test_crowded_blocks_are_dealt_finer(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "VARIANTS_PER_SHARD", 3000)  # balls of several fingerprints are too many
+    r = random.Random(12)
+    base = r.getrandbits(64)
+    fps = {base ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 9))) for _ in range(60)} | {r.getrandbits(64) for _ in range(20)}
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in sorted(fps)]
+    found = simhash.links(spark.createDataFrame(signed, "fp long"), 1).collect()
+    label = {f: f for f in fps}
+    for x in found:
+        a, b = x.a % (1 << 64), x.b % (1 << 64)
+        assert 0 < (a ^ b).bit_count() <= 4
+        low, high = sorted((label[a], label[b]))
+        label = {k: low if c == high else c for k, c in label.items()}
+    assert len(set(label.values())) == len(set(brute_groups(sorted(fps))))
+
+
 @pytest.mark.parametrize("radius", [1, 3, 4, 5])
 def test_links_reach_the_radius(spark, radius):
     r = random.Random(radius)
