@@ -31,7 +31,7 @@ from strata.llm.components import components
 
 BITS = 64
 CHUNK = 1 << 20
-VARIANTS_PER_SHARD = 2_000_000
+VARIANTS_PER_SHARD, FINER = 2_000_000, 12
 
 
 def fingerprint(text: bytes, words_per_shingle: int = 4, seed: int = 42) -> int:
@@ -111,18 +111,30 @@ def shard_links(fps: np.ndarray, value: int, block: int, half: int, radius: int
 
 
 def links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
-    """(a, b): links that connect every two fingerprints (column fp) within the radius, directly or through others that are linked."""
+    """(a, b): links that connect every two fingerprints (column fp) within the radius, directly or through others that are linked.
+
+    Where fingerprints crowd, so that a block's value would have too many variants, the block is longer by FINER bits.
+    """
     half = -(-radius // 2)
     ball = sum(math.comb(BITS, k) for k in range(half + 1))
     block = min(32, max(4, math.ceil(math.log2(max(1, n * ball / VARIANTS_PER_SHARD)))))
+    low = lambda bits: F.lit((1 << bits) - 1)
     masks = F.array(*(F.lit(m).cast("long") for m in flips(range(block), half)))
-    dealt = distinct.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(F.lit((1 << block) - 1)).bitwiseXOR(m))).alias("shard"))
+    dealt = distinct.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(low(block)).bitwiseXOR(m))).alias("shard"))
+    dealt = dealt.withColumn("off", F.bit_count(F.col("fp").bitwiseAND(low(block)).bitwiseXOR(F.col("shard"))))
+    inside = lambda off: sum(math.comb(BITS - block, k) for k in range(half - off + 1))  # noqa: E731  variants of a fingerprint so far from the block's value
+    weight = F.element_at(F.array(*(F.lit(inside(k)) for k in range(half + 1))), (F.col("off") + 1).cast("int"))
+    crowded = dealt.groupBy("shard").agg(F.sum(weight).alias("w")).where(F.col("w") > 4 * VARIANTS_PER_SHARD).select("shard", F.lit(True).alias("crowded"))
+    more = F.array(*(F.array(*(F.lit(m).cast("long") for m in flips(range(block, block + FINER), half - k))) for k in range(half + 1)))
+    longer = F.col("fp").bitwiseAND(F.lit(((1 << FINER) - 1) << block)).bitwiseOR(F.col("shard"))
+    values = F.when(F.col("crowded"), F.transform(F.element_at(more, (F.col("off") + 1).cast("int")), lambda m: longer.bitwiseXOR(m))).otherwise(F.array("shard"))
+    dealt = dealt.join(crowded, "shard", "left").select("fp", F.explode(values).alias("shard"), F.when(F.col("crowded"), block + FINER).otherwise(block).alias("block"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = shard_links(group["fp"].to_numpy().view(np.uint64), int(group["shard"].iloc[0]), block, half, radius)
+        found = shard_links(group["fp"].to_numpy().view(np.uint64), int(group["shard"].iloc[0]), int(group["block"].iloc[0]), half, radius)
         return pd.DataFrame({"a": found[:, 0].view(np.int64), "b": found[:, 1].view(np.int64)})
 
-    return dealt.groupBy("shard").applyInPandas(run, "a long, b long").distinct()
+    return dealt.groupBy("shard", "block").applyInPandas(run, "a long, b long").distinct()
 
 
 def near_groups(fps: DataFrame, scratch: Scratch, radius: int = 4) -> DataFrame:
@@ -138,6 +150,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     fps = scratch.put(fingerprints(docs, [F.col(id_column).alias("doc_id")], text, words_per_shingle))
     groups = scratch.put(near_groups(fps, scratch, radius))
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("first")).join(groups, "fp").groupBy("comp").agg(F.min("first").alias("component_id"))
+    first = scratch.put(first)  # so that Spark can split the rows of a large component in the join
     return fps.join(groups.join(first, "comp").drop("comp"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
