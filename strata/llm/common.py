@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -105,16 +105,13 @@ def bounded_sample(rows: DataFrame, key: Column, most: int, by: Column | None =
     """
     held = rows.withColumn("__hash", F.xxhash64(key)).withColumn("__class", F.lit(None).cast("string") if by is None else by)
     counts = {r["__class"]: r["n"] for r in held.groupBy("__class").agg(F.approx_count_distinct("__hash", 0.02).alias("n")).collect()}  # a row per class
-    quota, parts = most // len(classes), []
+    quota, share = most // len(classes), F.lit(0)
     for c in classes:
-        own = held.where(F.col("__class").eqNullSafe(F.lit(c)))
-        if counts.get(c, 0) > 0.9 * quota:
-            own = own.where(F.pmod("__hash", F.lit(1 << 40)) < int(0.9 * quota / counts[c] * (1 << 40)))
-        parts.append(own.dropDuplicates(["__hash"]).orderBy("__hash").limit(quota))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out.drop("__hash", "__class")
+        part = min(1.0, 0.9 * quota / max(1, counts.get(c, 0)))
+        share = F.when(F.col("__class").eqNullSafe(F.lit(c)), F.lit(int(part * (1 << 40)))).otherwise(share)
+    chosen = held.where(F.pmod("__hash", F.lit(1 << 40)) < share).dropDuplicates(["__class", "__hash"])  # about ``most``
+    first = F.row_number().over(Window.partitionBy("__class").orderBy("__hash"))
+    return chosen.withColumn("__first", first).where(F.col("__first") <= quota).drop("__hash", "__class", "__first")
 
 
 class Renamed:
