@@ -36,10 +36,3 @@ def mean_vectors(rows: DataFrame, by: list[str], vector: str) -> DataFrame:
     means = flat.groupBy(*by, "__pos").agg(F.avg(F.col("__x").cast("double")).alias("__m"))
     out = means.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("__pos", "__m"))), lambda s: s["__m"]).alias("vec"))  # one entry per dimension
     return out.withColumn("vec", unit("vec"))
-
-
-def softmax(score: Column, window, temperature: float) -> Column:
-    """Tempered softmax over a window."""
-    top = F.max(score).over(window)
-    e = F.exp((score - top) * temperature)
-    return e / F.sum(e).over(window)

@@ -78,12 +78,26 @@ def batch_checks(files: DataFrame, batches: DataFrame, items: DataFrame, probe:
     return out.select(F.col("bid").alias("batch"), total.alias("total"), z("images").alias("images"), z("videos").alias("videos"), z("others").alias("others"), wrong.alias("bad"), z("busy").alias("busy"), ((wrong == 0) & holds).alias("ok"))
 
 
+def batch_times(files: DataFrame, probe: DataFrame) -> DataFrame:
+    """(batch, first, last): the earliest and latest capture minute of each batch's images and videos that have no problem; probe has captured, a timestamp."""
+    own = files.where(~F.col("removed") & F.col("kind").isin("image", "video")).join(file_problems(files, probe).select("id"), "id", "left_anti")
+    at = own.join(probe.select("path", "captured"), "path").where("captured is not null").groupBy(F.coalesce("batch", F.lit(LEGACY_BATCH)).alias("batch"))
+    return at.agg(*(F.date_format(f("captured"), "yyyy-MM-dd HH:mm").alias(n) for f, n in ((F.min, "first"), (F.max, "last"))))
+
+
 def retry_items(items: DataFrame, batches: DataFrame) -> DataFrame:
     """Items that were received or failed in processing, with their batch's sender and mode."""
     b = batches.select(F.col("id").alias("batch"), "sender", "mode")
     return items.where(F.col("status").isin("received", "error")).join(b, "batch", "left").select("batch", "fid", "status", "sender", "mode")
 
 
+def backfilled(items: DataFrame, files: DataFrame) -> DataFrame:
+    """Items with the path, hash and size of their file where they have none of their own."""
+    f = files.select(F.col("id").alias("file_id"), F.col("path").alias("__path"), F.col("sha256").alias("__sha256"), F.col("size").alias("__got_size"))
+    own = items.join(f, "file_id", "left")
+    return own.withColumns({c: F.coalesce(c, f"__{c}") if c in items.columns else F.col(f"__{c}") for c in ("path", "sha256", "got_size")}).drop("__path", "__sha256", "__got_size")
+
+
 def registered(items: DataFrame, files: DataFrame) -> DataFrame:
     """(batch, fid, id): a file of the batch with the item's hash that no item claims; the smallest id."""
     claimed = items.where(F.col("file_id").isNotNull()).select(F.col("file_id").alias("id")).distinct()

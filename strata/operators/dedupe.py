@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.vectors import dot
 from strata.operators.filters import live
+from strata.sources.shared import written
 
 
 def exact_matches(new: DataFrame, files: DataFrame) -> DataFrame:
@@ -24,17 +23,14 @@ def duplicate_roots(files: DataFrame) -> DataFrame:
     alive = own.select(F.col("id").alias("dup"), F.lit(True).alias("alive"))
     start = own.join(alive, "dup", "left").select("id", F.when(F.col("alive"), F.col("dup")).alias("to"), F.col("dup").isNotNull().alias("is_dup"))
     start = start.select("id", F.coalesce("to", "id").alias("to"), "is_dup", F.col("to").isNull().alias("ends"))
-    spark = files.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strata-"))
-    start = start.checkpoint()
+    start = written(start)
     rounds = max(1, start.where("is_dup").count()).bit_length()
     now = _follow(start, rounds)
     # walks without an end have come to rest on cycles, and those of a cycle's rows on all of its rows
     ring = now.where("not ends").select(F.col("to").alias("id"), F.lit(True).alias("ring")).distinct()
     if ring.limit(1).count():
         stop = start.join(ring, "id", "left").select("id", F.when(F.col("ring"), F.col("id")).otherwise(F.col("to")).alias("to"), "is_dup", (F.col("ends") | F.coalesce("ring", F.lit(False))).alias("ends"))
-        now = _follow(stop.checkpoint(), rounds)
+        now = _follow(written(stop), rounds)
     return now.where("is_dup").select("id", F.col("to").alias("root"))
 
 
@@ -45,7 +41,8 @@ def _follow(step: DataFrame, rounds: int) -> DataFrame:
         if not now.where("not ends").limit(1).count():
             break
         ahead = now.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("ends").alias("done"))
-        now = now.join(ahead, "to").select("id", F.col("next").alias("to"), "is_dup", F.col("done").alias("ends")).checkpoint()
+        now = now.join(ahead, "to").select("id", F.col("next").alias("to"), "is_dup", F.col("done").alias("ends"))
+        now = written(now)
     return now
 
 

@@ -58,6 +58,20 @@ def plan(files: DataFrame, ids: list[int], by: str = "") -> DataFrame:
     return archive_names(rows).select("pos", "id", "src", "target")
 
 
+def archive(moves: Iterator[tuple[str, str]], target: str) -> int:
+    """Writes (src, name) pairs into a ZIP file, stored without compression; the file appears when it is whole."""
+    import os
+    import zipfile
+
+    n = 0
+    with zipfile.ZipFile(f"{target}.part", "w", zipfile.ZIP_STORED) as z:
+        for src, name in moves:
+            z.write(src, name)
+            n += 1
+    os.replace(f"{target}.part", target)
+    return n
+
+
 def copy(moves: Iterator[tuple[str, str]]) -> int:
     """Carries out (src, dst) pairs on the driver's file system, never overwriting."""
     import os

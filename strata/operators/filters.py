@@ -50,8 +50,6 @@ class Filter:
         return out
 
 
-
-
 def live(files: DataFrame) -> DataFrame:
     return files.where(~F.col("removed"))
 
@@ -75,6 +73,15 @@ def by_hash(files: DataFrame, sha256: str) -> DataFrame:
     return live(files).where(F.col("sha256") == sha256).orderBy("id").limit(1)
 
 
+def has_path(files: DataFrame, path: str) -> DataFrame:
+    """One row: whether a row of the index has the path."""
+    return files.where(F.col("path") == path).limit(1).agg((F.count(F.lit(1)) > 0).alias("found"))
+
+
+def get(files: DataFrame, file_id: int) -> DataFrame:
+    return files.where(F.col("id") == file_id)
+
+
 def recent(files: DataFrame, n: int = 50) -> DataFrame:
     return live(files).orderBy(F.desc("id")).limit(n)
 
@@ -85,9 +92,10 @@ def batch_files(files: DataFrame, batch: str | None) -> DataFrame:
     return live(files).where(mine).orderBy("id")
 
 
-def enrich_list(files: DataFrame, limit: int = 10) -> DataFrame:
-    """Files whose text is still to be read."""
-    todo = (F.col("ocr_done") == 0) & F.col("kind").isin("image", "document") & ((F.col("mode") == "sort") | F.col("vec").isNotNull())
+def enrich_list(files: DataFrame, limit: int = 10, what: str = "text", documents_only: bool = False) -> DataFrame:
+    """Files whose text, or with what = video whose segments, are still to be read."""
+    kinds, done = (("video",), "seg_done") if what == "video" else (("document",) if documents_only else ("image", "document"), "ocr_done")
+    todo = (F.col(done) == 0) & F.col("kind").isin(*kinds) & ((F.col("mode") == "sort") | F.col("vec").isNotNull())
     return live(files).where(todo).orderBy(F.desc("id")).limit(limit)
 
 

@@ -19,6 +19,7 @@ class Layout:
     sorted: str = "sorted"
     other: str = "other"
     removed: str = "removed"
+    duplicates: str = "duplicates"
     date_subfolder: bool = True
 
     def folder(self, category: Column, taken: Column) -> Column:

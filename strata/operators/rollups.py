@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.constants import DOUBT_CLOSE_RATIO, DOUBT_CONFIDENCE, DUPLICATE, LEGACY_BATCH, REASON_DOCUMENT, REASON_SHOT_NAME, REASON_SHOT_SIZE, UNKNOWN, UNSORTED
 from strata.operators.filters import Filter, live
+from strata.sources.shared import written
 
 
 def category_counts(files: DataFrame) -> DataFrame:
@@ -127,6 +128,19 @@ def newest_batches(listed: DataFrame, limit: int = 30) -> DataFrame:
     return listed.orderBy(F.desc("started_at"), "bid").limit(limit)
 
 
+def batch_page(listed: DataFrame, limit: int = 30) -> DataFrame:
+    """The newest batches, each with the number of all that the list has."""
+    listed = written(listed)  # a row per batch, for the page and the count
+    return newest_batches(listed, limit).crossJoin(F.broadcast(listed.agg(F.count(F.lit(1)).alias("batches"))))  # one row
+
+
+def status(files: DataFrame, items: DataFrame) -> DataFrame:
+    """One row: counts by category, removed files, pending items, what is left to read."""
+    counts = category_counts(files).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "n")))).alias("counts"))  # a user's categories
+    out = counts.crossJoin(files.agg(F.count_if("removed").alias("removed"))).crossJoin(items.agg(F.count_if(F.col("status").isin("expected", "received")).alias("pending")))
+    return out.crossJoin(enrich_left(files).select(F.col("texts").alias("texts_left"), F.col("videos").alias("videos_left")))  # one row each
+
+
 def enrich_left(files: DataFrame, documents_only: bool = False) -> DataFrame:
     has = (F.col("mode") == "sort") | F.col("vec").isNotNull()
     text = (F.col("kind") == "document") if documents_only else F.col("kind").isin("image", "document")

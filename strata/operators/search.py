@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from strata.functions.text import normalise, snippet
 from strata.functions.vectors import dot, has_dim
 from strata.operators.filters import Filter, live, newest_first
+from strata.operators.neighbours import near_earlier
+from strata.sources.shared import written
 
 
 def result_row(score: Column, hit: str, t: Column) -> list[Column]:
     """What every search returns of a file."""
     plain = ["id", "name", "kind", "category", "mode", "duplicate_of", "taken", "place1", "place2", "reviewed"]
-    return [*(F.col(c) for c in plain), F.round("score", 3).alias("score"), F.round(score, 6).alias("sim"), t.alias("t"), F.lit(hit).alias("hit"), (F.coalesce(F.length("ocr"), F.lit(0)) > 0).alias("has_text")]
+    return [*(F.col(c) for c in plain), F.bround("score", 3).alias("score"), F.round(score, 6).alias("sim"), t.alias("t"), F.lit(hit).alias("hit"), (F.coalesce(F.length("ocr"), F.lit(0)) > 0).alias("has_text")]
 
 
 def text_hits(files: DataFrame, text: str, chosen: Filter = Filter(), limit: int = 200) -> DataFrame:
@@ -49,7 +51,7 @@ def search(files: DataFrame, segs: DataFrame, text: str, query: Column | None, d
     if not text:
         out = newest_first(files.where(chosen.column()), limit).withColumn("section", F.lit(0))
         return _numbered(out.select("section", *result_row(F.lit(None).cast("double"), "list", F.lit(None).cast("double")), F.coalesce("taken", F.lit("")).alias("__a")), [F.desc("__a"), F.desc("id")])
-    hits = text_hits(files, text, chosen)
+    hits = written(text_hits(files, text, chosen))  # the scan of texts serves both sections; 200 rows at most
     first = _numbered(hits.select(F.lit(0).alias("section"), *result_row(F.lit(None).cast("double"), "text", F.lit(None).cast("double")), F.coalesce("taken", F.lit("")).alias("__a")), [F.desc("__a"), F.desc("id")])
     if query is None:
         return first
@@ -72,36 +74,6 @@ def similar(files: DataFrame, segs: DataFrame, file_id: int, dim: int, chosen: F
     return ranked(files.crossJoin(F.broadcast(one)), segs.crossJoin(F.broadcast(one)), F.col("__q"), dim, chosen, k, exclude).drop("__q")
 
 
-def near_pairs(files: DataFrame, threshold: float, dim: int, block: int = 1024) -> DataFrame:
-    """(id, other, sim): for each live image, the smaller id most like it at the threshold or above (the smallest of equals).
-
-    Vectors are gathered into blocks of bounded size; every pair of blocks is one product of matrices.
-    """
-    import numpy as np
-    import pandas as pd
-
-    own = live(files).where((F.col("kind") == "image") & has_dim("vec", dim)).select("id", "vec")
-    n = own.count()
-    blocks = max(1, -(-n // block))
-    dealt = own.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    packed = dealt.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("id", "vec"))).alias("rows"))  # about ``block`` rows
-    numbers = [F.least("b", "c").alias("x"), F.greatest("b", "c").alias("y")]
-    meet = packed.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).select(*numbers, "b", "rows")
-    left = meet.where("b = x").select("x", "y", F.col("rows").alias("rx"))
-    right = meet.where("b = y").select("x", "y", F.col("rows").alias("ry"))
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for rx, ry in zip(pdf["rx"], pdf["ry"]):
-                ix, iy = (np.array([r["id"] for r in rows]) for rows in (rx, ry))
-                vx, vy = (np.array([r["vec"] for r in rows], np.float64) for rows in (rx, ry))
-                sims = vx @ vy.T
-                i, j = np.nonzero(sims >= threshold)
-                a, b, s = np.maximum(ix[i], iy[j]), np.minimum(ix[i], iy[j]), sims[i, j]
-                out.append(pd.DataFrame({"id": a, "other": b, "sim": s})[a != b])
-            yield pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "sim": []})
-
-    pairs = left.join(right, ["x", "y"]).select("rx", "ry").mapInPandas(run, "id long, other long, sim double")
-    best = pairs.groupBy("id").agg(F.max(F.struct("sim", (-F.col("other")).alias("o"))).alias("m"))
-    return best.select("id", (-F.col("m.o")).alias("other"), F.col("m.sim").alias("sim"))
+def near_pairs(files: DataFrame, threshold: float, dim: int, most: int = 1) -> DataFrame:
+    """(id, other, sim): for each live image, the ``most`` smaller ids most like it at the threshold or above (the smaller of equals first)."""
+    return near_earlier(live(files).where((F.col("kind") == "image") & has_dim("vec", dim)), threshold, most)

@@ -29,10 +29,10 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(first, "sha").join(e, "doc_id", "left").select(
         i.alias("id"), F.concat(F.lit("doc_"), i.cast("string"), F.lit(".txt")).alias("name"), F.concat(category, F.lit("/doc_"), i.cast("string"), F.lit(".txt")).alias("path"),
         F.element_at(F.array(*(F.lit(k) for k in ("image", "video", "document", "other"))), (i % 4 + 1).cast("int")).alias("kind"), F.when(i % 5 == 0, "plain").otherwise("sort").alias("mode"),
-        category.alias("category"), score.alias("score"), F.lit(None).cast("string").alias("reason"), text("cat_", (i + 1) % 7).alias("second"), (score * ((i % 10).cast("double") / 10)).alias("second_score"),
+        category.alias("category"), score.alias("score"), F.when(category == "未分類", F.when(i % 2 == 0, F.concat(F.lit("最像「"), text("cat_", i % 7), F.lit("」但不夠確定")))).when(i % 31 == 0, "截圖尺寸").otherwise("AI 判斷").alias("reason"), text("cat_", (i + 1) % 7).alias("second"), (score * ((i % 10).cast("double") / 10)).alias("second_score"),
         F.col("sha").alias("sha256"), F.col("n_chars").alias("size"), F.when(F.col("first") < i, F.col("first")).alias("duplicate_of"), F.when(i % 97 != 0, text("b", F.floor(i / 20))).alias("batch"),
         F.when(i % 29 != 0, F.concat(F.lit("2024-"), F.lpad((i % 12 + 1).cast("string"), 2, "0"))).alias("taken"), (1704067200 + i * 60).cast("double").alias("received_at"),
-        ((F.floor(i / 20) % 3 == 0) | (i % 2 == 0)).alias("reviewed"), (i % 11 == 0).alias("corrected"), (i % 13 == 0).alias("checked"), (i % 17 == 0).alias("removed"), F.lit(None).cast("string").alias("prev_path"),
+        ((F.floor(i / 20) % 3 == 0) | (i % 2 == 0)).alias("reviewed"), (i % 11 == 0).alias("corrected"), (i % 13 == 0).alias("checked"), (i % 17 == 0).alias("removed"), F.when(i % 34 == 0, F.concat(F.lit("inbox/doc_"), i.cast("string"), F.lit(".txt"))).alias("prev_path"),
         F.when(i % 6 != 0, text("P", i % 3)).alias("place1"), F.when(i % 6 != 0, text("Q", i % 9)).alias("place2"), (i % 4 < 2).alias("geo"), "vec", F.col("text").alias("ocr"), norm("text").alias("ocr_n"),
         (i % 3).cast("int").alias("ocr_done"), (i % 2).cast("int").alias("seg_done"),
     )
@@ -59,7 +59,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(i % 41 == 0, "expected").when(i % 43 == 0, "received").when(i % 47 == 0, "failed").when(i % 53 == 0, "error").otherwise("indexed")
     return own.select(
         F.concat(F.lit("b"), F.floor(i / 20).cast("string")).alias("batch"), F.concat(F.lit("f"), i.cast("string")).alias("fid"), F.concat(F.lit("doc_"), i.cast("string"), F.lit(".txt")).alias("name"), status.alias("status"),
-        F.when(status == "indexed", i).alias("file_id"), F.when(status.isin("failed", "error") & (i % 2 == 0), "disk full").alias("error"), F.sha2("text", 256).alias("sha256"), F.col("n_chars").alias("got_size"),
+        F.when(status == "indexed", i).alias("file_id"), F.when(status.isin("failed", "error") & (i % 2 == 0), "disk full").alias("error"), F.when(i % 59 == 0, F.sha2(F.lit("another file"), 256)).otherwise(F.sha2("text", 256)).alias("sha256"), F.col("n_chars").alias("got_size"),
     )
 
 
@@ -76,11 +76,11 @@ files AS (SELECT doc_id AS id, 'doc_' || doc_id || '.txt' AS name,
   CASE doc_id % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'video' WHEN 2 THEN 'document' ELSE 'other' END AS kind,
   CASE WHEN doc_id % 5 = 0 THEN 'plain' ELSE 'sort' END AS mode,
   CASE WHEN doc_id % 5 = 0 THEN '傳送' WHEN doc_id % 23 = 0 THEN '未分類' ELSE 'cat_' || (doc_id % 7) END AS category,
-  (doc_id * 37 % 100)::DOUBLE / 100 AS score, NULL::VARCHAR AS reason, 'cat_' || ((doc_id + 1) % 7) AS second,
+  (doc_id * 37 % 100)::DOUBLE / 100 AS score, CASE WHEN doc_id % 5 <> 0 AND doc_id % 23 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN '最像「cat_' || (doc_id % 7) || '」但不夠確定' END WHEN doc_id % 31 = 0 THEN '截圖尺寸' ELSE 'AI 判斷' END AS reason, 'cat_' || ((doc_id + 1) % 7) AS second,
   (doc_id * 37 % 100)::DOUBLE / 100 * ((doc_id % 10)::DOUBLE / 10) AS second_score, sha AS sha256, n_chars AS size,
   CASE WHEN first_id < doc_id THEN first_id END AS duplicate_of, CASE WHEN doc_id % 97 <> 0 THEN 'b' || (doc_id // 20) END AS batch,
   CASE WHEN doc_id % 29 <> 0 THEN '2024-' || lpad((1 + doc_id % 12)::VARCHAR, 2, '0') END AS taken, (1704067200 + doc_id * 60)::DOUBLE AS received_at,
-  ((doc_id // 20) % 3 = 0 OR doc_id % 2 = 0) AS reviewed, doc_id % 11 = 0 AS corrected, doc_id % 13 = 0 AS checked, doc_id % 17 = 0 AS removed, NULL::VARCHAR AS prev_path,
+  ((doc_id // 20) % 3 = 0 OR doc_id % 2 = 0) AS reviewed, doc_id % 11 = 0 AS corrected, doc_id % 13 = 0 AS checked, doc_id % 17 = 0 AS removed, CASE WHEN doc_id % 34 = 0 THEN 'inbox/doc_' || doc_id || '.txt' END AS prev_path,
   CASE WHEN doc_id % 6 <> 0 THEN 'P' || (doc_id % 3) END AS place1, CASE WHEN doc_id % 6 <> 0 THEN 'Q' || (doc_id % 9) END AS place2, doc_id % 4 < 2 AS geo,
   embedding::DOUBLE[] AS vec, text AS ocr,
   regexp_replace(lower(text), '[\\s,，、。.·:：;；''"「」『』()（）\\[\\]【】\\-_—~～|/\\\\]', '', 'g') AS ocr_n, (doc_id % 3)::INT AS ocr_done, (doc_id % 2)::INT AS seg_done
@@ -90,7 +90,7 @@ batches AS (SELECT 'b' || b AS id, CASE WHEN b % 7 <> 0 THEN (1704067200 + m * 6
   CASE WHEN b % 3 = 0 THEN 'plain' ELSE 'sort' END AS mode, n + (b % 5 = 0)::INT AS count
   FROM (SELECT doc_id // 20 AS b, min(doc_id) AS m, count(*) AS n FROM documents WHERE doc_id % 97 <> 0 GROUP BY 1)),
 items AS (SELECT *, CASE WHEN status = 'indexed' THEN doc_id END AS file_id, CASE WHEN status IN ('failed', 'error') AND doc_id % 2 = 0 THEN 'disk full' END AS error
-  FROM (SELECT doc_id, 'b' || (doc_id // 20) AS batch, 'f' || doc_id AS fid, 'doc_' || doc_id || '.txt' AS name, sha256(text) AS sha256, n_chars AS got_size,
+  FROM (SELECT doc_id, 'b' || (doc_id // 20) AS batch, 'f' || doc_id AS fid, 'doc_' || doc_id || '.txt' AS name, CASE WHEN doc_id % 59 = 0 THEN sha256('another file') ELSE sha256(text) END AS sha256, n_chars AS got_size,
     CASE WHEN doc_id % 41 = 0 THEN 'expected' WHEN doc_id % 43 = 0 THEN 'received' WHEN doc_id % 47 = 0 THEN 'failed' WHEN doc_id % 53 = 0 THEN 'error' ELSE 'indexed' END AS status
     FROM documents WHERE doc_id % 97 <> 0 AND (doc_id // 20) % 3 <> 0)),
 probe AS (SELECT path, id % 89 <> 0 AS exists_, CASE WHEN id % 89 <> 0 THEN size + (id % 83 = 0)::INT END AS size, id % 79 <> 0 AS opens, CASE WHEN id % 89 <> 0 THEN sha256 END AS sha256 FROM files),

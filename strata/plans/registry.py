@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.constants import DUPLICATE, PLAIN
-from strata.functions import media, text, vectors
-from strata.operators import audit, classify, dedupe, export, filters, geo, mutate, rollups, search
+from strata.functions import arrays, media, messages, text, vectors
+from strata.operators import audit, classify, dedupe, export, filters, geo, ingest, mutate, rollups, search
 from strata.operators.filters import Filter
 from strata.plans import fixtures as fx
 from strata.plans.fixtures import sql
@@ -51,7 +51,7 @@ def s1_live_scan(spark, d):
 
 @query("SELECT id, name, kind, category FROM files WHERE id = 42")
 def s2_point_lookup(spark, d):
-    return fx.files(spark, d).where("id = 42").select("id", "name", "kind", "category")
+    return filters.get(fx.files(spark, d), 42).select("id", "name", "kind", "category")
 
 
 WANTED = [30, 7, 999999, 7, 51, 3]
@@ -65,13 +65,12 @@ def s3_multi_get(spark, d):
 @query("SELECT min(id) AS id FROM live WHERE sha256 = (SELECT sha256 FROM files WHERE id = 11)")
 def s4_hash_lookup(spark, d):
     f = fx.files(spark, d)
-    one = f.where("id = 11").select("sha256")
-    return filters.live(f).join(F.broadcast(one), "sha256").agg(F.min("id").alias("id"))
+    return filters.by_hash(f, f.where("id = 11").select("sha256").first()[0]).select("id")
 
 
 @query("SELECT count(*) > 0 AS found FROM files WHERE path = 'cat_3/doc_3.txt'")
 def s5_path_exists(spark, d):
-    return fx.files(spark, d).where(F.col("path") == "cat_3/doc_3.txt").agg((F.count(F.lit(1)) > 0).alias("found"))
+    return filters.has_path(fx.files(spark, d), "cat_3/doc_3.txt")
 
 
 @query("SELECT id, name FROM live ORDER BY id DESC LIMIT 50")
@@ -100,7 +99,7 @@ LISTINGS = {
     "f1_facets_duplicates": (Filter(cat=DUPLICATE), "duplicate_of IS NOT NULL"),
     "f1_facets_plain": (Filter(cat=PLAIN, date_to="2024-06-30"), "mode = 'plain' AND taken <= '2024-06'"),
     "f1_facets_place": (Filter(place="P1|Q4", date_from="2024-02-01", date_to="2024-11"), "place1 = 'P1' AND place2 = 'Q4' AND taken >= '2024-02' AND taken <= '2024-11'"),
-    "f1_facets_no_place": (Filter(place="-", kind="video"), "place1 IS NULL AND kind = 'video'"),
+    "f1_facets_no_place": (Filter(place="-", kind="image"), "place1 IS NULL AND kind = 'image'"),
 }
 for _name, (_filter, _where) in LISTINGS.items():
     QUERIES[_name] = lambda spark, d, f=_filter: filters.listing(fx.files(spark, d), f).select("id", "taken")
@@ -295,7 +294,7 @@ def q1_hybrid_search(spark, d):
     return found.select("section", "rank", "id", "sim")
 
 
-@query("SELECT id, 'list' AS hit, round(score, 3) AS score, length(ocr) > 0 AS has_text FROM live WHERE kind = 'document' ORDER BY coalesce(taken, '') DESC, id DESC LIMIT 40")
+@query("SELECT id, 'list' AS hit, round_even(score, 3) AS score, length(ocr) > 0 AS has_text FROM live WHERE kind = 'document' ORDER BY coalesce(taken, '') DESC, id DESC LIMIT 40")
 def q1_listing(spark, d):
     return search.search(fx.files(spark, d), fx.segs(spark, d), "", None, DIM, Filter(kind="document"), limit=40).select("id", "hit", "score", "has_text")
 
@@ -329,7 +328,7 @@ def j17_exact_match(spark, d):
 DOUBT_SQL = """, t AS (SELECT l.*, o.name AS tname, o.sha256 AS tsha FROM live l LEFT JOIN files o ON o.id = l.duplicate_of),
 r0 AS (SELECT *, CASE WHEN mode <> 'sort' OR corrected OR checked THEN NULL
   WHEN duplicate_of IS NOT NULL AND duplicate_of <> 0 THEN CASE WHEN tname IS NULL THEN 'dup' ELSE 'dup_of:' || tname END
-  WHEN category = '未分類' THEN coalesce(reason, 'unsure') WHEN score IS NULL THEN NULL
+  WHEN category = '未分類' THEN coalesce(reason, 'unsure') WHEN score IS NULL OR reason IN ('截圖尺寸', '截圖檔名', '文件檔') THEN NULL
   WHEN second <> '' AND score > 0 AND second_score >= 0.6 * score THEN 'either:' || category || '|' || second
   WHEN score < 0.5 THEN 'low:' || round_even(score * 100, 0)::INT END AS dd, coalesce(tsha = sha256, false) AS exact FROM t),
 rr AS (SELECT *, coalesce(batch, 'legacy') AS bid, CASE WHEN reviewed THEN NULL WHEN dd IS NOT NULL AND tname IS NOT NULL THEN CASE WHEN exact THEN 'exact:' ELSE 'similar:' END || tname ELSE dd END AS doubt FROM r0)
@@ -425,9 +424,16 @@ def p4_learned(spark, d):
     return out.select("id", "category", F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+CASCADE_SQL = ZERO_SQL + LEARNED_SQL.replace(">= 0.2", ">= 0.3") + """, ca AS (SELECT l.id, l.kind = 'image' AND l.id % 8 = 4 AS shot, ecat, best, z.* EXCLUDE (id) FROM live l JOIN z USING (id) LEFT JOIN lw USING (id) WHERE l.vec IS NOT NULL)
+SELECT id, CASE WHEN shot THEN 'cat_1' WHEN ecat IS NOT NULL THEN ecat WHEN pa < 0.35 THEN '未分類' ELSE a END AS category, round(CASE WHEN shot THEN 1.0 WHEN ecat IS NOT NULL THEN best ELSE pa END, 6) AS confidence,
+  CASE WHEN shot THEN '截圖檔名' WHEN ecat IS NOT NULL THEN '像你分類過的檔案' WHEN pa < 0.35 THEN '最像「' || a || '」但不夠確定' ELSE 'AI 判斷' END AS reason,
+  CASE WHEN shot OR ecat IS NOT NULL THEN NULL WHEN pa < 0.35 THEN a ELSE b END AS second, round(CASE WHEN shot OR ecat IS NOT NULL THEN NULL WHEN pa < 0.35 THEN pa ELSE pb END, 6) AS second_score FROM ca"""
+
+
+@query(CASCADE_SQL)
 def p3_cascade(spark, d):
-    return classify.cascade(_items(spark, d), fx.files(spark, d), _protos(spark, d), fx.CATEGORIES, DIM, "cat_1", "cat_4")
+    out = classify.cascade(_items(spark, d), fx.files(spark, d), _protos(spark, d), fx.CATEGORIES, DIM, "cat_1", "cat_4", 0.3)
+    return out.select("id", "category", F.round("confidence", 6).alias("confidence"), "reason", "second", F.round("second_score", 6).alias("second_score"))
 
 
 # ---- audit
@@ -521,7 +527,7 @@ def t12_export_folder(spark, d):
     return fx.files(spark, d).select("id", *(export.subfolder(b).alias(f"by_{b}") for b in ("category", "month", "place")))
 
 
-@query()
+@query("SELECT (f.id // 3)::INT AS pos, f.id, path AS src, coalesce(taken, 'no date') || '/' || name AS target FROM live f WHERE f.id % 3 = 0 AND f.id < 120")
 def k6_export_plan(spark, d):
     return export.plan(fx.files(spark, d), list(range(0, 120, 3)), "month")
 
@@ -579,7 +585,7 @@ def u_confirm_batch(spark, d):
     return mutate.confirm_batch(fx.files(spark, d), "b1").select("id", "reviewed")
 
 
-@query("SELECT id, CASE WHEN id IN (3, 4) THEN 'removed/' || name WHEN id <> 3 THEN path END AS path, removed OR id IN (3, 4) AS removed, CASE WHEN id IN (3, 4) THEN path END AS prev_path FROM files")
+@query("SELECT id, CASE WHEN id IN (3, 4) THEN 'removed/' || name WHEN id <> 3 THEN path END AS path, removed OR id IN (3, 4) AS removed, CASE WHEN id IN (3, 4) THEN path ELSE prev_path END AS prev_path FROM files")
 def u_remove(spark, d):
     return mutate.remove(fx.files(spark, d), [3, 4]).select("id", "path", "removed", "prev_path")
 
@@ -616,7 +622,8 @@ def u_restore(spark, d):
     return mutate.restore(fx.files(spark, d), [17, 34, 51]).select("id", "removed", "duplicate_of")
 
 
-@query()
+@query("""SELECT id, CASE WHEN id IN (12, 13) AND NOT removed THEN 'removed/' || name WHEN id = 11 AND duplicate_of IS NOT NULL AND mode = 'sort' THEN 'sorted/' || category || coalesce('/' || taken, '') || '/' || name ELSE path END AS path, category,
+  removed OR id IN (12, 13) AS removed, CASE WHEN id = 11 THEN NULL WHEN duplicate_of IN (12, 13) AND NOT removed AND id NOT IN (12, 13) THEN 11 ELSE duplicate_of END AS duplicate_of, checked OR (id = 11 AND duplicate_of IS NOT NULL) AS checked FROM files""")
 def u_resolve_duplicates(spark, d):
     return mutate.resolve_duplicates(fx.files(spark, d), [11], [12, 13], fx.CATEGORIES, "cat_4").select("id", "path", "category", "removed", "duplicate_of", "checked")
 
@@ -626,6 +633,177 @@ def q13_removed(spark, d):
     return fx.files(spark, d).where("removed").select("id", "name", "kind", "category", "path", "prev_path", "duplicate_of").orderBy(F.desc("id"))
 
 
+@query("SELECT id, checked OR id IN (2, 4, 6) AS checked FROM files")
+def u_check(spark, d):
+    return mutate.check(fx.files(spark, d), [2, 4, 6]).select("id", "checked")
+
+
+@query("""SELECT id, CASE WHEN m AND id % 4 = 0 THEN 'cat_0' ELSE category END AS category, checked AND NOT (m AND id % 4 = 0 AND category IS DISTINCT FROM 'cat_0') AS checked, CASE WHEN m AND id % 4 = 0 THEN 0.25 ELSE score END AS score
+  FROM (SELECT *, NOT corrected AND NOT reviewed AND NOT removed AND vec IS NOT NULL AS m FROM files)""")
+def u_reclassify(spark, d):
+    f = fx.files(spark, d)
+    results = f.where("id % 4 = 0").select("id", F.lit("cat_0").alias("category"), F.lit(0.25).alias("confidence"), F.lit("AI 判斷").alias("reason"), F.lit(None).cast("string").alias("second"), F.lit(None).cast("double").alias("second_score"))
+    return mutate.reclassify(f, results).select("id", "category", "checked", "score")
+
+
+@query("SELECT batch, fid, CASE WHEN doc_id % 4 = 1 THEN 'indexed' ELSE status END AS status, CASE WHEN doc_id % 4 = 1 THEN 1000000 + doc_id ELSE file_id END AS file_id FROM items")
+def u_item(spark, d):
+    own = fx.items(spark, d)
+    k = F.substring("fid", 2, 20).cast("long")
+    return mutate.advance_items(own, own.where(k % 4 == 1).select("batch", "fid", F.lit("indexed").alias("status"), (1000000 + k).alias("file_id"))).select("batch", "fid", "status", "file_id")
+
+
+@query("SELECT file_id, t FROM segs WHERE file_id % 12 <> 1 UNION ALL SELECT DISTINCT file_id, 99.0 FROM segs WHERE file_id % 12 = 1")
+def k3_replace_segments(spark, d):
+    own = fx.segs(spark, d)
+    new = own.where("file_id % 12 = 1").select("file_id", F.lit(99.0).alias("t"), "vec").dropDuplicates(["file_id"])
+    return mutate.replace_segments(own, new).select("file_id", "t")
+
+
+@query("SELECT fid, batch, CASE WHEN file_id IS NOT NULL THEN 'doc_' || file_id || '.txt' END AS name, coalesce(CASE WHEN doc_id % 2 = 0 THEN sha256 END, CASE WHEN file_id IS NOT NULL THEN sha256(text) END) AS sha256 FROM items LEFT JOIN documents USING (doc_id)")
+def j6_backfill(spark, d):
+    k = F.substring("fid", 2, 20).cast("long")
+    own = fx.items(spark, d).withColumn("sha256", F.when(k % 2 == 0, F.col("sha256")))
+    return audit.backfilled(own, fx.files(spark, d)).select("fid", "batch", F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
+
+
+@query("SELECT id FROM live WHERE seg_done = 0 AND kind = 'video' AND (mode = 'sort' OR vec IS NOT NULL) ORDER BY id DESC LIMIT 10")
+def f4_enrich_videos(spark, d):
+    return filters.enrich_list(fx.files(spark, d), what="video").select("id")
+
+
+@query(DOUBT_SQL + """, w AS (SELECT bid, coalesce(any_value(b.started_at), min(received_at)) AS started_at, count(*) AS total FROM rr LEFT JOIN batches b ON b.id = bid GROUP BY 1)
+SELECT bid, started_at, total, (SELECT count(*) FROM w) AS batches FROM w ORDER BY started_at DESC, bid LIMIT 7""")
+def w10_batch_page(spark, d):
+    listed = rollups.batch_list(fx.files(spark, d), fx.batches(spark, d), "all")
+    return rollups.batch_page(listed, 7).select("bid", "started_at", "total", "batches")
+
+
+@query(f"""SELECT category, n, (SELECT count(*) FROM files WHERE removed) AS removed, (SELECT count(*) FROM items WHERE status IN ('expected', 'received')) AS pending,
+  (SELECT count(*) FROM live WHERE ocr_done = 0 AND kind IN ('image', 'document') AND (mode = 'sort' OR vec IS NOT NULL)) AS texts_left FROM (SELECT {CAT} AS category, count(*) AS n FROM live GROUP BY 1)""")
+def q16_status(spark, d):
+    return rollups.status(fx.files(spark, d), fx.items(spark, d)).select(F.explode("counts").alias("category", "n"), "removed", "pending", "texts_left")
+
+
+@query(AUDIT_SQL + """SELECT coalesce(batch, 'legacy') AS batch, strftime(to_timestamp(min(1704067200 + id * 3607)) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') AS first, strftime(to_timestamp(max(1704067200 + id * 3607)) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') AS last
+  FROM live WHERE kind IN ('image', 'video') AND id % 6 <> 0 AND id NOT IN (SELECT id FROM bad1 WHERE why IS NOT NULL) GROUP BY 1""")
+def a18_batch_times(spark, d):
+    i = F.regexp_extract("path", r"doc_(\d+)", 1).cast("long")
+    probe = fx.probe(spark, d).withColumn("captured", F.when(i % 6 != 0, F.timestamp_seconds(1704067200 + i * 3607)))
+    return audit.batch_times(fx.files(spark, d), probe)
+
+
+@query(""", p AS (SELECT a.id, b.id AS other, list_dot_product(a.vec, b.vec) AS s FROM live a JOIN live b ON b.id < a.id AND a.kind = 'image' AND b.kind = 'image' WHERE a.vec IS NOT NULL AND b.vec IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS r FROM p WHERE s >= 0.2)
+SELECT id, other, round(s, 6) AS sim FROM t WHERE r <= 20 AND other % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY r) = 1""")
+def w5_near_best(spark, d):
+    f = fx.files(spark, d)
+    found = dedupe.first_near(search.near_pairs(f, 0.2, DIM, 20), f.where("id % 3 <> 0").select("id"), 0.2)
+    return found.select("id", "other", F.round("sim", 6).alias("sim"))
+
+
+# ---- ingest
+
+INGEST_SQL = """, ex0 AS (SELECT f.*, p.exists_ AS pe, p.size AS ps, p.sha256 AS psha FROM files f LEFT JOIN probe p USING (path) WHERE id % 3 <> 0),
+m AS (SELECT max(id) AS m FROM ex0),
+ar AS (SELECT m + row_number() OVER (ORDER BY doc_id) AS id, doc_id, sha256(text) AS sha, 'doc_' || doc_id || (['.jpg', '.mov', '.pdf', '.xyz'])[1 + doc_id % 4] AS name, (['image', 'video', 'document', 'other'])[1 + doc_id % 4] AS kind,
+  CASE WHEN doc_id % 5 = 0 THEN 'plain' ELSE 'sort' END AS mode, embedding::DOUBLE[] AS vec FROM documents LEFT JOIN embeddings ON vec_id = doc_id, m WHERE doc_id % 3 = 0),
+kn AS (SELECT id, sha256 AS sha FROM ex0 WHERE NOT removed AND pe AND ps = size AND psha = sha256 UNION ALL SELECT id, sha FROM ar),
+og AS (SELECT a.id, min(k.id) AS original FROM ar a JOIN kn k ON k.sha = a.sha AND k.id < a.id WHERE mode = 'sort' GROUP BY 1),
+rs AS (SELECT * FROM ar WHERE mode = 'sort' AND id NOT IN (SELECT id FROM og)),
+cd AS (SELECT id, vec, pe AS here FROM ex0 WHERE NOT removed AND kind = 'image' AND vec IS NOT NULL UNION ALL SELECT id, vec, true FROM rs WHERE kind = 'image' AND vec IS NOT NULL),
+nr AS (SELECT r.id, c.id AS other, c.here, row_number() OVER (PARTITION BY r.id ORDER BY list_dot_product(r.vec, c.vec) DESC, c.id) AS rk FROM rs r JOIN cd c ON c.id < r.id AND list_dot_product(r.vec, c.vec) >= 0.25 WHERE r.kind = 'image' AND r.vec IS NOT NULL),
+nb AS (SELECT id, arg_min(other, rk) AS near FROM nr WHERE rk <= 20 AND here GROUP BY 1)
+SELECT ar.id, name, kind, mode, coalesce(original, near) AS duplicate_of, CASE WHEN mode = 'plain' THEN '傳送' WHEN original IS NOT NULL THEN '疑似重複' WHEN kind = 'document' THEN 'cat_4' WHEN vec IS NULL THEN '其他檔案' ELSE 'judged' END AS category, n_name AS place2
+FROM ar LEFT JOIN og USING (id) LEFT JOIN nb USING (id) LEFT JOIN nation ON n_nationkey = doc_id % 25 AND doc_id % 2 = 0"""
+
+
+@query(INGEST_SQL)
+def u_ingest(spark, d):
+    f = fx.files(spark, d).where("id % 3 <> 0")
+    i, k = F.col("doc_id"), F.col("n_nationkey")
+    own = fx.table(spark, d, "documents").where(i % 3 == 0).join(fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), "doc_id", "left")
+    ends = F.element_at(F.array(*(F.lit(x) for x in (".jpg", ".mov", ".pdf", ".xyz"))), (i % 4 + 1).cast("int"))
+    name, there = F.concat(F.lit("doc_"), i.cast("string"), ends), i % 2 == 0
+    arrivals = own.select(
+        i.alias("seq"), name.alias("name"), F.concat(F.lit("inbox/"), name).alias("path"), F.col("n_chars").alias("size"), F.sha2("text", 256).alias("sha256"), F.lit("2024-05").alias("taken"), F.when(there, 7.0 * (i % 25) - 80).alias("lat"),
+        F.when(there, 13.0 * (i % 25) - 150).alias("lon"), "vec", F.col("text").alias("ocr"), (i % 7 == 0).alias("camera"), F.lit(None).cast("string").alias("shot"), F.when(i % 5 == 0, "plain").otherwise("sort").alias("mode"), F.lit("new").alias("batch"), F.lit(1.0).alias("received_at"),
+    )
+    cities = fx.table(spark, d, "nation").select(F.struct(F.lit("N").alias("p1"), F.col("n_name").alias("p2")).alias("place"), (7.0 * k - 80).alias("lat"), (13.0 * k - 150).alias("lon"))
+    done = ingest.ingest(f, arrivals, fx.probe(spark, d), _protos(spark, d), fx.CATEGORIES, DIM, cities.limit(0), cities, "cat_1", "cat_4", near=0.25, vote=0.3)
+    return done.where("batch = 'new'").select("id", "name", "kind", "mode", "duplicate_of", F.when(F.col("score").isNull(), F.col("category")).otherwise("judged").alias("category"), "place2")
+
+
+@query("""SELECT id, CASE WHEN t AND id % 3 = 1 THEN 'read ' || id ELSE ocr END AS ocr, CASE WHEN t THEN CASE WHEN id % 3 = 1 THEN 1 WHEN id % 3 = 2 OR id % 2 = 0 THEN 2 ELSE ocr_done END ELSE ocr_done END AS ocr_done
+  FROM (SELECT *, id < 60 AND ocr_done = 0 OR id IN (1, 2, 4, 5) AS t FROM files)""")
+def x9_enrich_round(spark, d):
+    f = fx.files(spark, d)
+    i = F.col("id")
+    results = f.where("id < 60 and ocr_done = 0 or id in (1, 2, 4, 5)").select(i.alias("pos"), "id", F.when(i % 3 == 1, F.concat(F.lit("read "), i.cast("string"))).alias("ocr"), (i % 3 != 1).alias("failed"), (i % 3 == 2).alias("missing"))
+    before = f.where("id % 2 = 0 and id < 60").select("id", F.lit(1).alias("n"))
+    return ingest.enriched(f, before, results)[0].select("id", "ocr", "ocr_done")
+
+
+@query("SELECT id, coalesce(taken, '2023-01') AS taken, CASE WHEN geo THEN place1 ELSE coalesce(place1, 'X') END AS place1, geo OR id % 3 = 0 AS geo FROM files")
+def u_backfill(spark, d):
+    f = fx.files(spark, d)
+    found = f.select("id", F.lit("2023-01").alias("taken"), F.lit("X").alias("place1"), F.lit("Y").alias("place2"), (F.col("id") % 3 == 0).alias("geo"))
+    return ingest.located(f, found).select("id", "taken", "place1", "geo")
+
+
+@query("SELECT id, CASE WHEN id % 7 = 0 THEN 2 ELSE len(vec) END::INT AS dim, CASE WHEN id % 14 = 0 THEN 1 ELSE seg_done END AS seg_done FROM files")
+def u_reindex(spark, d):
+    f = fx.files(spark, d)
+    vectors = f.where("id % 7 = 0").select("id", F.array(F.lit(0.6), F.lit(0.8)).cast("array<float>").alias("vec"))
+    new = f.where("id % 14 = 0").select(F.col("id").alias("file_id"), F.lit(0.0).alias("t"), F.array(F.lit(1.0)).cast("array<float>").alias("vec"))
+    return ingest.reindexed(f, fx.segs(spark, d), vectors, new)[0].select("id", F.when(F.col("vec").isNotNull(), F.size("vec")).alias("dim"), "seg_done")
+
+
+# ---- dates, sizes, messages
+
+
+@query("""SELECT id, CASE id % 5 WHEN 0 THEN DATE '2021-03-04' WHEN 1 THEN DATE '2020-01-01' + (id % 300)::INT WHEN 2 THEN DATE '2019-12-31' ELSE DATE '2000-01-01' END AS day, CASE WHEN id % 5 = 0 THEN TIMESTAMP '2021-03-04 05:06:07' END AS at FROM files""")
+def s14_capture_date(spark, d):
+    i = F.col("id")
+    taken = F.when(i % 5 == 0, "2021:03:04 05:06:07").when(i % 5 == 1, "0000:00:00 00:00:00")
+    seconds = F.when(i % 5 == 1, F.lit(2082844800 + 1577836800) + (i % 300) * 86400).when(i % 5 == 2, F.lit(5).cast("long"))
+    modified = F.when(i % 5 == 2, "2019-12-31T23:00:00Z").when(i % 5 == 3, "yesterday")
+    own = fx.files(spark, d).select("id", taken.alias("taken"), seconds.alias("seconds"), modified.alias("modified"))
+    return own.select("id", media.capture_date(F.col("taken"), F.col("seconds"), F.col("modified"), F.lit("2000-01-01").cast("date")).alias("day"), media.exif_time(F.col("taken")).cast("timestamp_ntz").alias("at"))
+
+
+@query("""SELECT p_partkey, CASE WHEN th = 0 THEN 48 WHEN tw = 0 THEN least((h // w) * 48, 13440) ELSE th END::INT AS height, CASE WHEN th = 0 THEN least((w // h) * 48, 13440) WHEN tw = 0 THEN 48 ELSE tw END::INT AS width FROM
+  (SELECT *, (floor(sqrt(645120.0 / (h * w)) * h / 48) * 48)::INT AS th, (floor(sqrt(645120.0 / (h * w)) * w / 48) * 48)::INT AS tw FROM (SELECT p_partkey, 1 + p_partkey * 37 % 4000 AS h, 1 + p_partkey * p_size % 3000 AS w FROM part))""")
+def m10_processing_size(spark, d):
+    k = F.col("p_partkey")
+    own = fx.table(spark, d, "part").select(k, (1 + k * 37 % 4000).alias("h"), (1 + k * F.col("p_size") % 3000).alias("w"))
+    h, w = arrays.processing_size("h", "w")
+    return own.select("p_partkey", h.alias("height"), w.alias("width"))
+
+
+@query("""SELECT o_orderkey, string_agg(t, chr(10) ORDER BY line) AS text FROM (SELECT o_orderkey, line, string_agg(word, ' ' ORDER BY x) AS t FROM
+  (SELECT l_orderkey AS o_orderkey, l_linenumber // 3 AS line, (l_partkey * 7 + l_linenumber) AS x, l_shipmode_ AS word FROM (SELECT *, 'w' || l_linenumber AS l_shipmode_ FROM lineitem WHERE l_orderkey < 400)) GROUP BY 1, 2) GROUP BY 1""")
+def w12_reading_order(spark, d):
+    n = F.col("l_linenumber")
+    left, top = F.col("l_partkey") * 7 + n, F.floor(n / 3) * 40 + n % 3 * 4
+    box = F.struct(F.concat(F.lit("w"), n.cast("string")).alias("text"), left.alias("left"), top.alias("top"), (left + 5).alias("right"), (top + 20).alias("bottom"))
+    own = fx.table(spark, d, "lineitem").where("l_orderkey < 400").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(box).alias("boxes"))
+    return own.select("o_orderkey", arrays.reading_lines("boxes").alias("text"))
+
+
+@query("""SELECT id, CASE WHEN reason = 'AI 判斷' THEN 'by AI' WHEN reason = '截圖尺寸' THEN 'screenshot' WHEN reason LIKE '最像%' THEN 'closest to cat_' || (id % 7) || ', unsure' ELSE reason END AS words, 'lib/' || path AS full_path, path AS short FROM files""")
+def t10_messages(spark, d):
+    words, templates = {"AI 判斷": "by AI", "截圖尺寸": "screenshot"}, {"closest": "closest to {cat}, unsure"}
+    full = messages.absolute(F.col("path"), "lib/")
+    return fx.files(spark, d).select("id", messages.reason(F.col("reason"), words, templates).alias("words"), full.alias("full_path"), messages.relative(full, "lib").alias("short"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y%m%d-%H%M%S') || '-' || substr(md5(event_id::VARCHAR), 1, 6) AS batch, CASE event_id % 4 WHEN 0 THEN 'zh' WHEN 1 THEN 'en' ELSE '' END AS lang FROM events")
+def d6_batch_id(spark, d):
+    codes = F.element_at(F.array(*(F.lit(x) for x in ("zh_TW", "EN-us.utf8", "fr-FR", ""))), (F.col("event_id") % 4 + 1).cast("int"))
+    return fx.table(spark, d, "events").select("event_id", messages.batch_id(F.col("ts"), F.md5(F.col("event_id").cast("string"))).alias("batch"), text.language(codes).alias("lang"))
+
+
 # ---- streams
 
 
@@ -641,3 +819,11 @@ def x_ingest(spark, d):
     from strata.streaming.ingest import replay_items
 
     return replay_items(spark, d)
+
+
+@query("""SELECT batch, fid, 'expected' AS status FROM items WHERE doc_id % 5 <> 3 UNION ALL SELECT batch, fid, CASE WHEN doc_id % 5 = 3 THEN 'refused' WHEN doc_id % 9 = 4 THEN 'rejected' ELSE 'received' END FROM items
+  UNION ALL SELECT batch, fid, CASE WHEN doc_id % 5 = 3 THEN 'refused' WHEN doc_id % 9 = 4 THEN 'rejected' ELSE 'repeated' END FROM items WHERE fid LIKE '%7'""")
+def x_sessions(spark, d):
+    from strata.streaming.sessions import replay_sessions
+
+    return replay_sessions(spark, d)

@@ -72,7 +72,36 @@ class Snapshots:
                 found.append(manifest | {"version": name})
         return sorted(found, key=lambda m: m["version"], reverse=True)
 
-    def restore(self, version: str) -> None:
-        if version not in {m["version"] for m in self.versions()}:
+    def backup(self, note: str = "") -> str:
+        """Marks the version in use as a backup, with the number of its files; returns the backup's name."""
+        version = self.current()
+        if version is None:
+            raise ValueError("there is no version to back up")
+        name = f"{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:6]}"
+        manifest = self._manifest(version)
+        files = self.load("files", version).count() if "files" in manifest["tables"] else None
+        self._write_text(f"{self.root}/backups/{name}.json", json.dumps({"type": MANIFEST_TYPE, "created": name[:13], "version": version, "files": files, "note": note}))
+        return name
+
+    def backups(self) -> list[dict]:
+        """Backups whose version is whole, newest first."""
+        fs, p = self._fs(f"{self.root}/backups")
+        found = []
+        for status in fs.listStatus(p) if fs.exists(p) else []:
+            name = status.getPath().getName()
+            entry = json.loads(self._read_text(f"{self.root}/backups/{name}") or "{}") if name.endswith(".json") else {}
+            if entry.get("type") == MANIFEST_TYPE and self._manifest(entry["version"]).get("type") == MANIFEST_TYPE:
+                found.append(entry | {"name": name[:-5]})
+        return sorted(found, key=lambda e: e["name"], reverse=True)
+
+    def _manifest(self, version: str) -> dict:
+        text = self._read_text(f"{self.root}/versions/{version}/manifest.json")
+        return json.loads(text) if text else {}
+
+    def restore(self, version: str) -> str | None:
+        """Points to an older version; the one in use is backed up before, and that backup's name returned."""
+        if self._manifest(version).get("type") != MANIFEST_TYPE:
             raise ValueError(f"no such version: {version}")
+        name = self.backup("before a restore") if self.current() else None
         self._write_text(f"{self.root}/current", version)
+        return name

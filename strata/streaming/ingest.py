@@ -7,16 +7,16 @@ its own files and nothing is lost or doubled.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.sources.shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(found or tempfile.mkdtemp(prefix='strata-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+def stream_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def checked(arrivals: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def replay_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items of the derived tables sent through the stream: those of every ninth file arrive damaged, all arrive twice."""
     from strata.plans import fixtures as fx
 
-    where = shared_dir(spark)
+    where = stream_dir(spark)
     number = F.substring("fid", 2, 20).cast("long")
     own = fx.items(spark, sf_dir).select("batch", "fid", (F.timestamp_seconds(F.lit(1704067200) + number)).alias("at"), F.col("got_size").alias("size"), "got_size", "sha256", F.when(number % 9 == 4, F.lit("damaged")).otherwise(F.col("sha256")).alias("got_sha256"))
     own.unionByName(own).write.parquet(f"{where}/landing")
@@ -59,7 +59,7 @@ def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts by type, streamed from the events table and written when their hour is complete."""
-    where = shared_dir(spark)
+    where = stream_dir(spark)
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     spark.read.parquet(f"{sf_dir}/events.parquet").write.parquet(f"{where}/landing")
     own = hourly(spark.readStream.schema(schema).parquet(f"{where}/landing"))

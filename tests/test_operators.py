@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strata.constants import DUPLICATE, OTHER, UNSORTED
 from strata.engine import Engine
 from strata.functions import media, text, vectors
-from strata.operators import classify, dedupe, export, filters, geo, mutate, rollups, search
+from strata.operators import classify, dedupe, export, filters, geo, mutate, neighbours, rollups, search
 from strata.operators.filters import Filter
 from strata.sources import media_files
 from strata.sources.snapshots import Snapshots
@@ -105,12 +105,13 @@ def test_search_prefers_better_segments(spark):
     assert [r.id for r in search.similar(table, segs, 2, 2).collect()][:1] == [4]
 
 
-def test_near_pairs_in_blocks(spark):
+def test_near_pairs_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ASKED_ROWS", 16)
     r = random.Random(1)
     vs = [[r.gauss(0, 1), r.gauss(0, 1)] for _ in range(60)]
     vs = [[x / (x * x + y * y) ** 0.5, y / (x * x + y * y) ** 0.5] for x, y in vs]
     table = files(spark, *(dict(id=i, vec=v) for i, v in enumerate(vs)))
-    got = {x.id: x.other for x in search.near_pairs(table, 0.97, 2, block=16).collect()}
+    got = {x.id: x.other for x in search.near_pairs(table, 0.97, 2).collect()}
     f32 = [[struct.unpack("f", struct.pack("f", x))[0] for x in v] for v in vs]
     want = {}
     for i in range(60):

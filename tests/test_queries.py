@@ -26,7 +26,7 @@ def plain(v):
         return None if math.isnan(v) else round(v, 6) + 0.0
     if isinstance(v, bool) or v is None or isinstance(v, str):
         return v
-    if isinstance(v, datetime.datetime):
+    if isinstance(v, datetime.date):  # datetimes too
         return v.isoformat()
     return float(v)
 
