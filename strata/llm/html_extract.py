@@ -28,8 +28,20 @@ from strata.llm.html_tree import BLOCK, Node, parse, squeeze
 # Names of parts that aren't the article; fixed values.
 DROP_TAGS = frozenset("script style noscript template iframe noembed noframes svg math canvas object embed applet head title nav menu footer aside form button input select option textarea fieldset dialog audio video map search".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status tooltip".split())
-UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advert[a-z]*|banner|breadcrumbs?|combx|comments?|community|consent|contact|cookies?|copyright|disqus|disclaimer|extra|foot(?:er)?|gdpr|header|legal(?:ese)?|links|login|masthead|menus?|modal|nav(?:bar|igation)?|newsletter|notices?|outbrain|overlay|pag(?:er|ination)|popup|privacy|promo(?:tion)?s?|recommend(?:ed|ations?)?|related|remark|replies|reply|responses?|rss|search|share|sharing|shoutbox|sidebar|signup|skip|skyscraper|social|sponsor(?:ed|s)?|subscribe|subscription|supplemental|tags?|taboola|teaser|toolbar|tools|widget|user-?comments?)(?:$|[\s_-])", re.I)
-LIKELY = re.compile(r"article|body|content|entry|main|post|story|text|page|column", re.I)
+# What parts that aren't the article call themselves, by the kinds of part that the text is to be without.
+PARTS = {
+    "menus": "menu menus nav navbar navigation breadcrumb breadcrumbs pager pagination toolbar tabs skip",
+    "headers": "header banner masthead",
+    "footers": "footer foot copyright imprint",
+    "sidebars": "sidebar aside widget related recommended",
+    "notices": "notice notices cookie cookies consent gdpr popup modal overlay",
+    "adverts": "ad ads advert adverts advertisement advertising promo promotion sponsor sponsored",
+    "forms": "form login signup subscribe subscription newsletter search",
+    "comments": "comment comments reply replies response responses discussion",
+    "sharing": "share sharing social",
+}
+UNLIKELY = re.compile(r"(?:^|[\s_-])(?:" + "|".join(w for words in PARTS.values() for w in words.split()) + r")(?:$|[\s_-])", re.I)
+LIKELY = re.compile("article|content|main|prose|story|text", re.I)
 SCORED = frozenset("p pre td blockquote li dd h2 h3 h4".split())
 KEPT_WHOLE = frozenset("article main body html #root".split())
 TEXT_LEAST, SIBLING_SHARE, SIBLING_LEAST = 25, 0.2, 10.0
