@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions.vectors import literal
-from strata.operators import audit, dedupe, export, filters, mutate, rollups, search
+from strata.operators import audit, dedupe, export, filters, ingest, mutate, recovery, rollups, search
+from strata.operators.categories import Categories
 from strata.operators.filters import Filter
 from strata.sources.snapshots import Snapshots
 
@@ -81,8 +82,43 @@ class Engine:
         """The index after a change from ``mutate``."""
         return Engine(files, self.segs, self.batches, self.items, self.dim)
 
+    def status(self) -> DataFrame:
+        return rollups.status(self.files, self.items)
+
+    def batch_page(self, view: str = "pending", category: str = "", limit: int = 30) -> DataFrame:
+        """The newest batches with the number of all that the view has."""
+        return rollups.batch_page(rollups.batch_list(self.files, self.batches, view, category), min(max(limit, 1), 500))
+
+    def recovery(self, probe: DataFrame) -> DataFrame:
+        return recovery.recovery_plan(self.items, self.files, self.batches, probe)
+
     def remove(self, ids: list[int]) -> Engine:
         return self.with_files(mutate.remove(self.files, ids))
 
     def restore(self, ids: list[int]) -> Engine:
         return self.with_files(mutate.restore(self.files, ids))
+
+    def add(self, arrivals: DataFrame, probe: DataFrame, protos: DataFrame, categories: Categories, districts: DataFrame, cities: DataFrame, last_id: int = 0) -> Engine:
+        """Arrivals sorted in, in the order in which they came."""
+        return self.with_files(ingest.ingest(self.files, arrivals, probe, protos, categories.names, self.dim, districts, cities, categories.screenshot, categories.document, last_id=last_id))
+
+    def set_category(self, ids: list[int], category: str, categories: Categories) -> Engine:
+        return self.with_files(mutate.set_category(self.files, ids, category, categories.names))
+
+    def check(self, ids: list[int], value: bool = True) -> Engine:
+        return self.with_files(mutate.check(self.files, ids, value))
+
+    def confirm_batch(self, batch: str | None, value: bool = True) -> Engine:
+        return self.with_files(mutate.confirm_batch(self.files, batch, value))
+
+    def resolve_duplicates(self, keep: list[int], gone: list[int], categories: Categories) -> Engine:
+        return self.with_files(mutate.resolve_duplicates(self.files, keep, gone, categories.names, categories.document))
+
+    def clear_exact(self, batch: str, probe: DataFrame, categories: Categories) -> Engine:
+        return self.with_files(mutate.clear_exact(self.files, probe, batch, categories.names, categories.document))
+
+    def rename_category(self, categories: Categories, old: str, new: str, descriptions: list[str]) -> tuple[Engine, Categories]:
+        return self.with_files(mutate.rename_category(self.files, old, new)), categories.edit(old, new, descriptions)
+
+    def delete_category(self, categories: Categories, name: str) -> tuple[Engine, Categories]:
+        return self.with_files(mutate.delete_category(self.files, name)), categories.delete(name)

@@ -57,11 +57,27 @@ def confirm_batch(files: DataFrame, batch: str | None, value: bool = True, only:
 
 def remove(files: DataFrame, ids: list[int], layout: Layout = Layout()) -> DataFrame:
     """Soft delete: the row stays, with the path that it came from."""
-    mine = F.col("id").isin(ids) & ~F.col("removed")
+    return _removed(files, F.col("id").isin(ids) & ~F.col("removed"), layout)
+
+
+def _removed(files: DataFrame, mine: Column, layout: Layout) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     return _where(files, mine, prev_path=F.col("path"), path=F.concat(F.lit(f"{layout.removed}/"), name), removed=True)
 
 
+def _promoted(files: DataFrame, originals: DataFrame, mine: Column, known: list[str], document: str, layout: Layout) -> DataFrame:
+    """Duplicates become files of their own: they keep a valid category or take their original's, and an exact original's vector."""
+    target = originals.select(F.col("id").alias("duplicate_of"), F.col("vec").alias("__tvec"), F.col("sha256").alias("__tsha"), F.col("category").alias("__tcat"))
+    own = files.withColumn("__mine", mine & F.col("duplicate_of").isNotNull()).join(target, "duplicate_of", "left").select(*files.columns, "__mine", "__tvec", "__tsha", "__tcat")
+    valid = lambda c: F.col(c).isin(*known, UNSORTED)
+    fallback = F.when(F.col("kind") == "document", document).when(F.col("kind") == "other", OTHER).otherwise(UNSORTED)
+    category = F.when(valid("category"), F.col("category")).when(valid("__tcat"), F.col("__tcat")).otherwise(fallback)
+    vec = F.coalesce("vec", F.when(F.col("__tsha") == F.col("sha256"), F.col("__tvec")))
+    own = _where(own, F.col("__mine"), category=category, vec=vec, checked=True)
+    own = _where(own, F.col("__mine") & (F.col("mode") == "sort"), path=F.concat(layout.folder(F.col("category"), F.col("taken")), F.lit("/"), F.element_at(F.split("path", "/"), -1)))
+    return _where(own, F.col("__mine"), duplicate_of=None).select(*files.columns)
+
+
 def restore(files: DataFrame, ids: list[int], layout: Layout = Layout()) -> DataFrame:
     """Undo of remove: a link to a removed or missing original goes, and an exact duplicate without one is unsorted."""
     alive = files.where(~F.col("removed")).select(F.col("id").alias("duplicate_of"), F.lit(True).alias("__alive"))
@@ -95,21 +111,10 @@ def resolve_duplicates(files: DataFrame, keep: list[int], gone: list[int], known
         raise ValueError("keep at least one file")
     if set(keep) & set(gone):
         raise ValueError("a file can't be both kept and removed")
-    out = remove(files, gone, layout)
-    target = files.select(F.col("id").alias("duplicate_of"), F.col("vec").alias("__tvec"), F.col("sha256").alias("__tsha"), F.col("category").alias("__tcat"))
-    own = out.join(target, "duplicate_of", "left").select(*files.columns, "__tvec", "__tsha", "__tcat")
-    mine = F.col("id").isin(keep) & F.col("duplicate_of").isNotNull()
-    valid = lambda c: F.col(c).isin(*known, UNSORTED)
-    fallback = F.when(F.col("kind") == "document", document).when(F.col("kind") == "other", OTHER).otherwise(UNSORTED)
-    category = F.when(valid("category"), F.col("category")).when(valid("__tcat"), F.col("__tcat")).otherwise(fallback)
-    vec = F.coalesce("vec", F.when(F.col("__tsha") == F.col("sha256"), F.col("__tvec")))
-    own = own.withColumn("__mine", mine)
-    own = _where(own, F.col("__mine"), category=category, vec=vec, checked=True)
-    own = _where(own, F.col("__mine") & (F.col("mode") == "sort"), path=F.concat(layout.folder(F.col("category"), F.col("taken")), F.lit("/"), F.element_at(F.split("path", "/"), -1)))
-    own = _where(own, F.col("__mine"), duplicate_of=None)
+    own = _promoted(remove(files, gone, layout), files, F.col("id").isin(keep), known, document, layout)
     if gone:
         own = _where(own, F.col("duplicate_of").isin(gone) & ~F.col("removed") & (F.col("id") != keep[0]), duplicate_of=keep[0])
-    return own.select(*files.columns)
+    return own
 
 
 def exact_plan(files: DataFrame, probe: DataFrame, batch: str) -> DataFrame:
@@ -119,6 +124,14 @@ def exact_plan(files: DataFrame, probe: DataFrame, batch: str) -> DataFrame:
     return rows.join(good, "o", "left").select("id", F.when(F.col("osha") == F.col("sha256"), "remove").otherwise("promote").alias("action"))
 
 
+def clear_exact(files: DataFrame, probe: DataFrame, batch: str, known: list[str], document: str, layout: Layout = Layout()) -> DataFrame:
+    """A batch's exact duplicates go where their original verifies; the others are the only copy and become files of their own."""
+    todo = exact_plan(files, probe, batch).select("id", F.col("action").alias("__action"))
+    own = files.join(todo, "id", "left").select(*files.columns, "__action")
+    own = _removed(own, F.coalesce(F.col("__action") == "remove", F.lit(False)) & ~F.col("removed"), layout)
+    return _promoted(own, files, F.coalesce(F.col("__action") == "promote", F.lit(False)), known, document, layout).select(*files.columns)
+
+
 def rename_category(files: DataFrame, old: str, new: str) -> DataFrame:
     out = _where(files, F.col("category") == old, category=new)
     return _where(out, F.col("second") == old, second=new)

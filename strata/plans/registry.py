@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from strata.constants import DUPLICATE, PLAIN
 from strata.functions import arrays, media, messages, text, vectors
-from strata.operators import audit, classify, dedupe, export, filters, geo, ingest, mutate, rollups, search
+from strata.operators import audit, classify, dedupe, export, filters, geo, ingest, mutate, recovery, rollups, search
 from strata.operators.filters import Filter
 from strata.plans import fixtures as fx
 from strata.plans.fixtures import sql
+from strata.sources import media_files
 
 DIM = 64  # of the test vectors
 Query = Callable[[SparkSession, str], DataFrame]
@@ -607,9 +608,9 @@ def u_delete_category(spark, d):
 
 
 @query(DOUBT_SQL + """, g AS (SELECT f.id FROM live f JOIN probe p USING (path) WHERE p.exists_ AND p.size = f.size AND p.sha256 = f.sha256)
-SELECT rr.id, CASE WHEN g.id IS NOT NULL THEN 'remove' ELSE 'promote' END AS action FROM rr LEFT JOIN g ON g.id = rr.duplicate_of WHERE bid = 'b5' AND exact""")
+SELECT rr.id, CASE WHEN g.id IS NOT NULL THEN 'remove' ELSE 'promote' END AS action FROM rr LEFT JOIN g ON g.id = rr.duplicate_of WHERE bid = 'b36' AND exact""")
 def u_exact_plan(spark, d):
-    return mutate.exact_plan(fx.files(spark, d), fx.probe(spark, d), "b5")
+    return mutate.exact_plan(fx.files(spark, d), fx.probe(spark, d), "b36")
 
 
 @query("SELECT id, path AS src, 'sorted/' || category || CASE WHEN taken IS NULL THEN '' ELSE '/' || taken END || '/' || name AS dst FROM live WHERE duplicate_of IS NULL AND mode = 'sort'")
@@ -759,9 +760,70 @@ def u_reindex(spark, d):
     return ingest.reindexed(f, fx.segs(spark, d), vectors, new)[0].select("id", F.when(F.col("vec").isNotNull(), F.size("vec")).alias("dim"), "seg_done")
 
 
+@query(DOUBT_SQL + """, g AS (SELECT f.id FROM live f JOIN probe p USING (path) WHERE p.exists_ AND p.size = f.size AND p.sha256 = f.sha256),
+ep AS (SELECT rr.id, g.id IS NOT NULL AS away FROM rr LEFT JOIN g ON g.id = rr.duplicate_of WHERE bid = 'b36' AND exact)
+SELECT f.id, f.removed OR coalesce(away, false) AS removed, CASE WHEN NOT coalesce(away, true) THEN NULL ELSE f.duplicate_of END AS duplicate_of, f.checked OR NOT coalesce(away, true) AS checked FROM files f LEFT JOIN ep USING (id)""")
+def u_clear_exact(spark, d):
+    done = mutate.clear_exact(fx.files(spark, d), fx.probe(spark, d), "b36", fx.CATEGORIES, "cat_4")
+    return done.select("id", "removed", "duplicate_of", "checked")
+
+
+@query("""SELECT i.batch, i.fid, CASE WHEN f.id IS NOT NULL THEN 'close' WHEN k % 3 = 0 THEN CASE WHEN b.mode = 'plain' THEN 'register' ELSE 'requeue' END WHEN k % 3 = 1 THEN 'move_back' WHEN k % 2 = 0 THEN 'error' ELSE 'wait' END AS action, f.id AS file_id,
+  CASE WHEN f.id IS NOT NULL THEN NULL WHEN k % 3 = 0 THEN 'inbox/' || i.name WHEN k % 3 = 1 THEN 'sorted/' || i.name END AS src
+  FROM (SELECT *, doc_id AS k FROM items WHERE status IN ('received', 'error')) i LEFT JOIN batches b ON b.id = i.batch LEFT JOIN (SELECT id FROM files WHERE id % 7 = 0) f ON f.id = k""")
+def x7_recovery(spark, d):
+    k = F.substring("fid", 2, 20).cast("long")
+    own = fx.items(spark, d).withColumn("path", F.concat(F.lit("inbox/"), "name")).withColumn("dest", F.when((k % 3 == 1) | (k % 2 == 0), F.concat(F.lit("sorted/"), "name"))).withColumn("sha256", F.concat(F.lit("s"), k.cast("string")))
+    todo = own.where(F.col("status").isin("received", "error"))
+    here = lambda c, mine: todo.where(mine).select(F.col(c).alias("path"), F.lit(True).alias("exists"), F.lit(1).alias("size"), F.lit(True).alias("opens"), "sha256")
+    probe = here("path", k % 3 == 0).unionByName(here("dest", k % 3 == 1))
+    indexed = fx.files(spark, d).where("id % 7 = 0").withColumn("sha256", F.concat(F.lit("s"), F.col("id").cast("string")))
+    return recovery.recovery_plan(own, indexed, fx.batches(spark, d), probe)
+
+
+@query("""SELECT 'p' || (user_id % 40) AS fingerprint, arg_max(event_type, (ts, event_type)) FILTER (event_id % 3 = 0) AS alias, max(ts) AS seen, (1706659200 - floor(epoch(max(ts))))::INT AS ago FROM events
+  WHERE user_id % 40 <> 7 GROUP BY 1 HAVING floor(epoch(max(ts))) >= 1706659200 - 86400""")
+def x10_peers(spark, d):
+    heard = fx.table(spark, d, "events").select(F.concat(F.lit("p"), (F.col("user_id") % 40).cast("string")).alias("fingerprint"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise("").alias("alias"), F.lit("").alias("model"), F.col("ts").cast("timestamp").alias("at"))
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    return recovery.live_peers(heard, now, ("p7",), 86400).select("fingerprint", "alias", F.col("seen").cast("timestamp_ntz").alias("seen"), "ago")
+
+
+@query("SELECT id, name FROM files WHERE id % 2 = 0")
+def k9_backup_restore(spark, d):
+    from strata.sources.snapshots import Snapshots
+    from strata.streaming.ingest import stream_dir
+
+    own = Snapshots(spark, stream_dir(spark))
+    f = fx.files(spark, d).select("id", "name")
+    first = own.commit({"files": f.where("id % 2 = 0")})
+    own.commit({"files": f})
+    own.restore(first)
+    return own.load("files")
+
+
 # ---- dates, sizes, messages
 
 
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN 1577836800 + id * 1000 WHEN id % 3 = 1 THEN NULL ELSE 1704067200 + id * 60 END AS created, CASE WHEN id % 3 = 1 THEN NULL ELSE to_timestamp(CASE WHEN id % 3 = 0 THEN 1577836800 + id * 1000 ELSE 1704067200 + id * 60 END) AT TIME ZONE 'UTC' END AS at FROM files")
+def s18_movie_times(spark, d):
+    i = F.col("id")
+    word = lambda x, n: F.lpad(F.hex(x), 2 * n, "0")
+    old = F.concat(word(F.lit(0), 4), word(F.lit(2082844800 + 1577836800) + i * 1000, 4), word(F.lit(0), 4))  # version 0: 32 bits
+    new = F.concat(F.lit("01000000"), word(F.lit(2082844800 + 1704067200) + i * 60, 8), word(F.lit(0), 4))  # version 1: 64 bits
+    box = lambda kind, body: F.concat(word(F.length(body) / 2 + 8, 4), F.lit(kind.encode().hex()), body)
+    movie = F.concat(box("ftyp", F.lit("71742020")), box("moov", box("mvhd", F.when(i % 3 == 0, old).otherwise(new))))
+    own = fx.files(spark, d).select("id", F.when(i % 3 != 1, F.unhex(movie)).otherwise(F.unhex(F.lit("00000000"))).alias("content"))
+    facts = own.select("id", media_files.video_facts("content").alias("f"))
+    seconds = F.col("f.created")
+    return facts.select("id", (seconds - 2082844800).alias("created"), media.capture_time(F.lit(None).cast("string"), seconds, F.lit(None).cast("timestamp")).cast("timestamp_ntz").alias("at"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(lower(text), '[\\s,，、。.·:：;；''\"「」『』()（）\\[\\]【】\\-_—~～|/\\\\]', '', 'g')) AS norm FROM documents")
+def t1_norm_full(spark, d):
+    return fx.table(spark, d, "documents").select("doc_id", F.md5(text.norm_full()("text")).alias("norm"))
+
+
 @query("""SELECT id, CASE id % 5 WHEN 0 THEN DATE '2021-03-04' WHEN 1 THEN DATE '2020-01-01' + (id % 300)::INT WHEN 2 THEN DATE '2019-12-31' ELSE DATE '2000-01-01' END AS day, CASE WHEN id % 5 = 0 THEN TIMESTAMP '2021-03-04 05:06:07' END AS at FROM files""")
 def s14_capture_date(spark, d):
     i = F.col("id")
