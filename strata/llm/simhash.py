@@ -154,12 +154,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     return fps.join(groups.join(first, "comp").drop("comp"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id", radius: int = 4, words_per_shingle: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id", radius: int = 4, words_per_shingle: int = 4, similarity: float | None = None) -> DataFrame:
     """One row of each group, all columns kept: the one with the smallest id, nulls last.
 
+    With ``similarity`` texts are linked if and only if their shingle sets have that Jaccard similarity: balls of the
+    radius propose pairs, strata.llm.similar those beyond it, and whole sets decide.
+
     Where rows of a group tie on that id, the one with the smallest row hash
     stays; rows that are equal in every column become one.
     """
+    if similarity is not None:
+        from strata.llm.similar import keep_one_similar
+
+        return keep_one_similar(docs, text, id_column, similarity, words_per_shingle)
     scratch = Scratch(docs.sparkSession, "simhash")
     whole = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
     fps = scratch.put(fingerprints(docs, [F.col(id_column).alias("id"), whole.alias("hash")], text, words_per_shingle))

@@ -1,7 +1,8 @@
-"""Near-dedup by word-shingle Jaccard similarity: MinHash bands propose pairs, the shingle sets decide.
+"""Near-dedup by word-shingle Jaccard similarity: SimHash balls and MinHash bands propose pairs, the shingle sets decide.
 
-Rows with equal sets of shingle hashes are one node. A set has BANDS keys of BAND
-minima each; sets of similarity s share no key with probability (1 - s^4)^40, which is
+Rows with equal sets of shingle hashes are one node. Nodes whose SimHash fingerprints lie
+within RADIUS bits are proposed by ball hashing. Sets that are just similar enough differ in
+about ten of 64 bits, where balls are out of reach; for these a set has BANDS keys of BAND minima each; sets of similarity s share no key with probability (1 - s^4)^40, which is
 7e-10 at s = 0.8 and less above. Members of a key are compared with the one of them
 whose keys are the most common; those that aren't all linked by that are compared
 where their rarest shingles meet, which passes over no similar pair. Every link is a
@@ -26,9 +27,9 @@ from pyspark.sql import types as T
 
 from strata.llm.common import Renamed, Scratch, as_bytes, slices
 from strata.llm.components import components
-from strata.llm.simhash import stay_one
+from strata.llm.simhash import BITS, links, stay_one
 
-BANDS, BAND = 40, 4
+BANDS, BAND, RADIUS = 40, 4, 4
 CHUNK = 1 << 13
 ROUNDING = 1e-9  # of counts: a similarity of just 0.8 counts
 _random = np.random.default_rng(8)
@@ -69,9 +70,17 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     return keys
 
 
+def simhash(own: np.ndarray) -> int:
+    """The SimHash fingerprint of the set: a bit is 1 if more than half of the hashes have it."""
+    ones = np.zeros(BITS, np.int64)
+    for k in range(0, len(own), CHUNK):
+        ones += np.unpackbits(own[k : k + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(own), bitorder="little").view("<u8")[0])
+
+
 def marks(docs: DataFrame, keep: list, text: str, words_per_shingle: int) -> DataFrame:
-    """The columns ``keep``, fp long (the key of the shingle set), size long and bands array<long>."""
-    schema = docs.select(*keep).schema.add("fp", "long").add("size", "long").add("bands", T.ArrayType(T.LongType()))
+    """The columns ``keep``, fp long (the key of the shingle set), size long, bits long (its fingerprint) and bands array<long>."""
+    schema = docs.select(*keep).schema.add("fp", "long").add("size", "long").add("bits", "long").add("bands", T.ArrayType(T.LongType()))
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,9 +88,10 @@ def marks(docs: DataFrame, keep: list, text: str, words_per_shingle: int) -> Dat
             sets = [shingles(t, words_per_shingle) for t in as_bytes(batch.column("__text"))]
             fp = np.array([set_key(s) for s in sets], np.uint64).view(np.int64)
             bands = [band_keys(s).view(np.int64) for s in sets]
+            bits = np.array([simhash(s) for s in sets], np.uint64).view(np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *bands])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names) - 3)), pa.array(fp), pa.array([len(s) for s in sets], pa.int64()), listed], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names) - 4)), pa.array(fp), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits), listed], names=names)
 
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
@@ -142,9 +152,19 @@ def rare_pairs(sets: DataFrame, scratch: Scratch, least: float) -> DataFrame:
     return rare.join(other, "shingle").where((F.col("fp") < F.col("fp2")) & (F.col("comp") != F.col("comp2")) & _alike("size", "size2", least) & enough).select(F.col("fp").alias("a"), F.col("fp2").alias("b")).distinct()
 
 
+def ball_pairs(nodes: DataFrame, scratch: Scratch, least: float) -> DataFrame:
+    """(a, b): pairs to compare of nodes (fp, size, bits) whose fingerprints lie within RADIUS bits, by ball hashing; of nodes with one fingerprint the first stands for all."""
+    first = scratch.put(nodes.groupBy("bits").agg(F.min(F.struct("fp", "size")).alias("one")))
+    met = links(first.select(F.col("bits").alias("fp")), first.count(), RADIUS)
+    one = lambda c: first.select(F.col("bits").alias(c), F.col("one.fp").alias(f"{c}_fp"), F.col("one.size").alias(f"{c}_size"))
+    across = met.join(one("a"), "a").join(one("b"), "b").where(_alike("a_size", "b_size", least)).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
+    within = nodes.join(first, "bits").where((F.col("fp") != F.col("one.fp")) & _alike("size", "one.size", least)).select(F.col("one.fp").alias("a"), F.col("fp").alias("b"))
+    return scratch.put(across.unionByName(within))
+
+
 def near_groups(docs: DataFrame, found: DataFrame, whole: Column, text: str, scratch: Scratch, least: float, words_per_shingle: int) -> DataFrame:
     """(fp, comp) for every set in ``found`` (marks with the row hash)."""
-    nodes = scratch.put(found.groupBy("fp").agg(F.min_by(F.struct("hash", "size", "bands"), "hash").alias("one")).select("fp", "one.*"))
+    nodes = scratch.put(found.groupBy("fp").agg(F.min_by(F.struct("hash", "size", "bits", "bands"), "hash").alias("one")).select("fp", "one.*"))
     members = nodes.select("fp", "size", F.explode("bands").alias("band"))
     shared = scratch.put(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     meet = scratch.put(members.join(shared, "band"))
@@ -152,8 +172,10 @@ def near_groups(docs: DataFrame, found: DataFrame, whole: Column, text: str, scr
     lead = meet.join(weight, "fp").groupBy("band").agg(F.max(F.struct("weight", "fp", "size")).alias("lead"))
     meet = scratch.put(meet.join(lead, "band").where(F.col("fp") != F.col("lead.fp")))
     able = _alike("size", "lead.size", least)
-    pairs = scratch.put(meet.where(able).select(F.col("lead.fp").alias("a"), F.col("fp").alias("b")).distinct())
-    wanted = nodes.join(meet.select("fp").union(meet.select("lead.fp")).distinct(), "fp", "left_semi").select("hash")
+    near = ball_pairs(nodes.select("fp", "size", "bits"), scratch, least)
+    pairs = scratch.put(meet.where(able).select(F.col("lead.fp").alias("a"), F.col("fp").alias("b")).unionByName(near).distinct())
+    asked = meet.select("fp").union(meet.select("lead.fp")).union(near.select("a")).union(near.select("b")).distinct()
+    wanted = nodes.join(asked, "fp", "left_semi").select("hash")
     named = Renamed(docs, hash=whole)
     sets = scratch.put(sets_of(named.df.join(scratch.put(wanted), "hash", "left_semi").select(F.col(named[text]).alias("text")), words_per_shingle))
     first = scratch.put(linked(pairs, sets, least))
