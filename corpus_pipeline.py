@@ -16,7 +16,7 @@ from strata.llm.line_dedup import dedup_lines
 from strata.llm.mixing import mix
 from strata.llm.packing import pack_documents
 from strata.llm.registry import tokenizer_path
-from strata.llm.similar import keep_one_similar
+from strata.llm.simhash import keep_one
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies (0.8 of the five-word shingles) stays."""
-    return keep_one_similar(docs)
+    return keep_one(docs, words_per_shingle=5, similarity=0.8)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("simhash_near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
 
-#: SQL can express neither fitted models nor groups of near copies nor packing; tests of the whole check a few facts.
+#: SQL can express neither fitted models nor groups of near copies nor packing; tests hold what each stage keeps against brute force.
 ORACLE_SQL = None
 
 
