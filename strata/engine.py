@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.functions.vectors import literal
+from strata.functions.vectors import has_dim, literal
 from strata.operators import audit, dedupe, export, filters, ingest, mutate, recovery, rollups, search
 from strata.operators.categories import Categories
 from strata.operators.filters import Filter
@@ -39,6 +39,8 @@ class Engine:
         return search.search(self.files, self.segs, text, literal(vector) if vector else None, self.dim, chosen, k, min(max(limit, 1), 5000))
 
     def similar(self, file_id: int, chosen: Filter = Filter(), k: int = 60) -> DataFrame:
+        if not self.files.where((F.col("id") == file_id) & has_dim("vec", self.dim)).limit(1).count():
+            raise ValueError(f"no file {file_id} with a vector of {self.dim} entries")
         return search.similar(self.files, self.segs, file_id, self.dim, chosen, k)
 
     def similar_to(self, vector: list[float], chosen: Filter = Filter(), k: int = 60) -> DataFrame:

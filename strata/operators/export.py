@@ -28,7 +28,8 @@ def archive_names(rows: DataFrame) -> DataFrame:
     """rows (pos, folder, name) with target: names made unique regardless of case, in the order of pos.
 
     A name may only collide with others whose stem is the same but for a number in
-    brackets, so each such family is named on its own.
+    brackets, so each such family is named on its own, by one task: rows are those of
+    a user's request.
     """
     schema = rows.schema.add("target", "string")
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from strata.constants import DUPLICATE, PLAIN, SCREENS, SCREENSHOT_WORDS, REASON_SHOT_NAME, REASON_SHOT_SIZE
 
 
+HINTED = 100_000  # ids
+
+
 @dataclass(frozen=True)
 class Filter:
     """Facets; an empty string is off. place is p1, p1|p2, or - for no place."""
@@ -64,9 +67,9 @@ def listing(files: DataFrame, chosen: Filter, limit: int = 300) -> DataFrame:
 
 
 def multi_get(files: DataFrame, ids: list[int]) -> DataFrame:
-    """Rows in the order of the request, repeats kept, unknown ids left out; column pos."""
+    """Rows in the order of the request, repeats kept, unknown ids left out; column pos. A request of HINTED ids at most is broadcast."""
     wanted = files.sparkSession.range(1).select(F.posexplode(F.array(*(F.lit(i).cast("long") for i in ids))).alias("pos", "id"))
-    return files.join(F.broadcast(wanted), "id").orderBy("pos")  # as long as the request
+    return files.join(F.broadcast(wanted) if len(ids) <= HINTED else wanted, "id").orderBy("pos")
 
 
 def by_hash(files: DataFrame, sha256: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import gzip
 import io
 import json
+import os
 import struct
 import zipfile
 from datetime import datetime, timedelta
@@ -20,6 +21,9 @@ from strata.sources.snapshots import Snapshots
 from strata.streaming import sessions
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def brute_near(rows, threshold, most):
     out = []
     for i, v in rows:
@@ -251,3 +255,29 @@ def test_ctc_and_boxes(spark):
     table = spark.createDataFrame(rows, "id long, boxes array<struct<text:string,left:int,top:int,right:int,bottom:int>>")
     got = {r.id: r.text for r in table.select("id", arrays.reading_lines("boxes").alias("text")).collect()}
     assert got == {1: "a b\nc\nz", 2: "", 3: "p q"}
+
+
+# ---- the index as one object
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_engine_changes(spark, tmp_path):
+    from strata.engine import Engine
+    from strata.plans import fixtures as fx
+
+    own = Engine(fx.files(spark, SF), fx.segs(spark, SF), fx.batches(spark, SF), fx.items(spark, SF), 64)
+    own.save(f"{tmp_path}/index")
+    own = Engine.open(spark, f"{tmp_path}/index", 64)
+    listed = Categories({f"cat_{i}": ["x"] for i in range(7)}, {}, "cat_1", "cat_4")
+    assert own.status().first().removed == own.removed().count() and own.batch_page("all", limit=2).first().batches == own.batch_list("all", limit=500).count()
+    renamed, more = own.rename_category(listed, "cat_2", "New", ["y"])
+    assert more.names[2] == "New" and renamed.files.where("category = 'New'").count() == own.files.where("category = 'cat_2'").count()
+    gone, fewer = renamed.delete_category(more, "New")
+    assert "New" not in fewer.names and gone.files.where("category = 'New' and mode = 'sort'").count() == 0
+    assert own.set_category([1, 2], "cat_6", listed).files.where("id in (1, 2) and category = 'cat_6'").count() == own.files.where("id in (1, 2) and mode = 'sort' and not removed").count()
+    assert own.check([3]).files.where("id = 3 and checked").count() == 1 and own.confirm_batch("b1").files.where("batch = 'b1' and not reviewed").count() == 0
+    cleared = own.clear_exact("b8", fx.probe(spark, SF), listed)
+    assert cleared.files.count() == own.files.count() and cleared.files.where("removed").count() >= own.files.where("removed").count()
+    assert own.similar(7, k=3).count() == 3
+    with pytest.raises(ValueError):
+        own.similar(10**9)
