@@ -48,7 +48,9 @@ class Engine:
         return search.ranked(self.files, self.segs, literal(vector), self.dim, chosen, k)
 
     def text(self, file_id: int) -> DataFrame:
-        return self.files.where(F.col("id") == file_id).select("id", "ocr", "ocr_done")
+        """One row: the text, whether it was read, and how many segments there are."""
+        n = self.segs.where(F.col("file_id") == file_id).agg(F.count(F.lit(1)).alias("segs"))  # one row
+        return self.files.where(F.col("id") == file_id).select("id", F.coalesce("ocr", F.lit("")).alias("text"), F.col("ocr_done").alias("done")).crossJoin(F.broadcast(n))
 
     def timeline(self, chosen: Filter = Filter(), per_month: int = 12) -> DataFrame:
         return rollups.timeline(self.files, chosen, per_month)

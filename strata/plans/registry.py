@@ -805,6 +805,42 @@ def k9_backup_restore(spark, d):
 # ---- dates, sizes, messages
 
 
+@query("SELECT strftime(ts, '%Y-%m') AS month, count(*) AS n FROM events GROUP BY 1")
+def d1_month(spark, d):
+    return fx.table(spark, d, "events").groupBy(media.month("ts").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN NULL ELSE md5(left(regexp_replace(left(coalesce(text, ''), 24000), '^\\s+|\\s+$', '', 'g'), 6000)) END AS text FROM documents")
+def s12_document_text(spark, d):
+    name = F.when(F.col("doc_id") % 10 == 9, "a.pdf").when(F.col("doc_id") % 2 == 0, "b.txt").otherwise("c.MD")
+    read = media_files.document_texts(name, F.encode("text", "UTF-8"))
+    return fx.table(spark, d, "documents").select("doc_id", F.md5(read).alias("text"))
+
+
+@query("SELECT id, CASE WHEN id % 7 <> 0 THEN round((id % 80) + (id % 60) / 60.0 + (id % 5000) / 100.0 / 3600.0, 9) END AS lat, CASE WHEN id % 7 <> 0 THEN -round((id % 170) + (id % 59) / 60.0 + (id % 4000) / 100.0 / 3600.0, 9) END AS lon FROM files")
+def s16_exif_position(spark, d):
+    i = F.col("id")
+
+    def word(x):  # 32 bits, little-endian
+        h = F.lpad(F.hex(x), 8, "0")
+        return F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1)))
+
+    fraction = lambda x, by: F.concat(word(x.cast("long")), word(F.lit(by)))
+    head = "49492A0008000000" + "0100" + "25880400010000001A000000" + "00000000"  # the main directory points to the GPS part
+    gps = "0400" + "0100020002000000" + "4E000000" + "0200050003000000" + "50000000" + "0300020002000000" + "57000000" + "0400050003000000" + "68000000" + "00000000"
+    own = F.concat(F.lit(head + gps), fraction(i % 80, 1), fraction(i % 60, 1), fraction(i % 5000, 100), fraction(i % 170, 1), fraction(i % 59, 1), fraction(i % 4000, 100))
+    rows = fx.files(spark, d).select("id", media_files.image_facts(F.when(i % 7 != 0, F.unhex(own)).otherwise(F.unhex(F.lit("FFD8FF")))).alias("f"))
+    lat, lon = media_files.position(F.col("f"))
+    return rows.select("id", F.round(lat, 9).alias("lat"), F.round(lon, 9).alias("lon"))
+
+
+@query("SELECT id, ocr AS text, ocr_done AS done, (SELECT count(*) FROM segs WHERE file_id = 21) AS segs FROM files WHERE id = 21")
+def q14_file_text(spark, d):
+    from strata.engine import Engine
+
+    return Engine(fx.files(spark, d), fx.segs(spark, d), fx.batches(spark, d), fx.items(spark, d), DIM).text(21)
+
+
 @query("SELECT id, CASE WHEN id % 3 = 0 THEN 1577836800 + id * 1000 WHEN id % 3 = 1 THEN NULL ELSE 1704067200 + id * 60 END AS created, CASE WHEN id % 3 = 1 THEN NULL ELSE to_timestamp(CASE WHEN id % 3 = 0 THEN 1577836800 + id * 1000 ELSE 1704067200 + id * 60 END) AT TIME ZONE 'UTC' END AS at FROM files")
 def s18_movie_times(spark, d):
     i = F.col("id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import io
 import struct
 import zipfile
@@ -45,9 +46,10 @@ def _quoted(text: str) -> str:
 def decode_text(content: bytes | None, limit: int = TEXT_LIMIT) -> str:
     """Text of unknown encoding: UTF-8, UTF-16, then code pages of Traditional Chinese; at most ``limit`` characters."""
     raw = (content or b"")[: limit * 4]
+    cut = len(raw) < len(content or b"")  # perhaps within a character
     for encoding in ("utf-8", "utf-16", "cp950", "big5"):
         try:
-            return raw.decode(encoding).strip()[:limit]
+            return codecs.getincrementaldecoder(encoding)().decode(raw, final=not cut).strip()[:limit]
         except UnicodeError:
             continue
     return raw.decode("utf-8", "ignore").strip()[:limit]
