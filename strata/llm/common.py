@@ -9,6 +9,7 @@ import tempfile
 import types
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -52,6 +53,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: int | str) -> Iterator[pa.
             yield batch.slice(first)
 
 
+ROWS_PER_BATCH = 1_000
+
+
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Texts are long: while a table is written, Python workers get fewer rows at once than a session's own setting hands them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= ROWS_PER_BATCH:
+        spark.conf.set(name, ROWS_PER_BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Written tables that cut lineage and outlive lost executors.
 
@@ -67,7 +84,8 @@ class Scratch:
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        with short_batches(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._strata_path = path
         return out
