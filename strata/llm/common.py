@@ -132,6 +132,12 @@ def bounded_sample(rows: DataFrame, key: Column, most: int, by: Column | None =
     return chosen.withColumn("__first", first).where(F.col("__first") <= quota).drop("__hash", "__class", "__first")
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of the whole row; maps, which have no hash, count as their JSON."""
+    has_map = lambda kind: "map<" in kind.simpleString()
+    return F.xxhash64(*(F.to_json(F.struct(F.col(f"`{f.name}`"))) if has_map(f.dataType) else F.col(f"`{f.name}`") for f in docs.schema))
+
+
 class Renamed:
     """A DataFrame whose columns are named c0, c1, ... so that any names of an operator's own are free.
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import Renamed, Scratch, as_bytes, slices
+from strata.llm.common import Renamed, Scratch, as_bytes, row_hash, slices
 from strata.llm.components import components
 
 BITS = 64
@@ -145,7 +145,10 @@ def near_groups(fps: DataFrame, scratch: Scratch, radius: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", radius: int = 4, words_per_shingle: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id) per row: fingerprints as 16 hex digits, and the smallest id reachable over links."""
+    """(doc_id, fingerprint, component_id) per row: fingerprints as 16 hex digits, and the smallest id reachable over links.
+
+    Groups are found in about as many rounds as a chain's length has binary digits; after components.MAX_ROUNDS an error is raised.
+    """
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.put(fingerprints(docs, [F.col(id_column).alias("doc_id")], text, words_per_shingle))
     groups = scratch.put(near_groups(fps, scratch, radius))
@@ -168,7 +171,7 @@ def keep_one(docs: DataFrame, text: str = "text", id_column: str = "doc_id", rad
 
         return keep_one_similar(docs, text, id_column, similarity, words_per_shingle)
     scratch = Scratch(docs.sparkSession, "simhash")
-    whole = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    whole = row_hash(docs)
     fps = scratch.put(fingerprints(docs, [F.col(id_column).alias("id"), whole.alias("hash")], text, words_per_shingle))
     return stay_one(docs, id_column, whole, fps, near_groups(fps, scratch, radius), scratch)
 
@@ -179,6 +182,6 @@ def stay_one(docs: DataFrame, id_column: str, whole: Column, fps: DataFrame, gro
     best = fps.groupBy("fp").agg(F.min(row).alias("best")).join(groups, "fp").groupBy("comp").agg(F.min("best").alias("best"))
     stay = scratch.put(best.select("best.id", "best.hash"))
     named = Renamed(docs, hash=whole)
-    rows = named.df.join(stay, (named.df["hash"] == stay["hash"]) & named.df[named[id_column]].eqNullSafe(stay["id"]), "left_semi").select(named.back())
+    rows = named.df.join(stay, (named.df["hash"] == stay["hash"]) & named.df[named[id_column]].eqNullSafe(stay["id"]), "left_semi")
     repeated = fps.groupBy("id", "hash").count().where("count > 1").limit(1).count()
-    return rows.distinct() if repeated else rows
+    return (rows.dropDuplicates(["hash", named[id_column]]) if repeated else rows).select(named.back())

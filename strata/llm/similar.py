@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.common import Renamed, Scratch, as_bytes, slices
+from strata.llm.common import Renamed, Scratch, as_bytes, row_hash, slices
 from strata.llm.components import components
 from strata.llm.simhash import BITS, links, stay_one
 
@@ -193,6 +193,6 @@ def near_groups(docs: DataFrame, found: DataFrame, whole: Column, text: str, scr
 def keep_one_similar(docs: DataFrame, text: str = "text", id_column: str = "doc_id", least: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
     """One row of each group of texts linked by the similarity, as in simhash.keep_one."""
     scratch = Scratch(docs.sparkSession, "similar")
-    whole = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    whole = row_hash(docs)
     found = scratch.put(marks(docs, [F.col(id_column).alias("id"), whole.alias("hash")], text, words_per_shingle))
     return stay_one(docs, id_column, whole, found.select("id", "hash", "fp"), near_groups(docs, found, whole, text, scratch, least, words_per_shingle), scratch)

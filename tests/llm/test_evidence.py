@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strata.llm import common, html_extract, language, media, mixing, packing, url_filter
+from strata.llm import common, html_extract, language, media, mixing, packing, simhash, url_filter
 
 SF = "/root/testdata/sf0.1"
 WORDS = {"en": "the of and to in that is was for with this from have not are", "fr": "de la le les des une dans pour que qui avec sur être pas ce été", "de": "der die und das nicht ein eine für mit auf ist über können wird auch", "es": "de el la los una que por con para como más pero sus está sobre también"}
@@ -236,6 +236,13 @@ def test_clashing_columns(spark):
     assert got.columns == ["length", "tag", "shard", "sequence_id", "offset"] and sorted((r.length, r.tag, r.shard) for r in got.collect()) == [(5, 1, 2), (7, 1, 2), (2048, 1, 2)]
 
 
+def test_one_of_a_group_stays_whatever_its_columns(spark):
+    rows = [(1, "a b c d e f", {"k": 1}, "x"), (1, "a b c d e f", {"k": 1}, "x"), (2, "a b c d e f", {"k": 2}, "y"), (3, "other words here now", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp map<string,int>, hash string")
+    for kept in (simhash.keep_one(docs), simhash.keep_one(docs, words_per_shingle=5, similarity=0.8)):
+        assert sorted((r.doc_id, r.fp and r.fp["k"], r.hash) for r in kept.collect()) == [(1, 1, "x"), (3, None, None)] and kept.columns == docs.columns
+
+
 # ---- the pipeline on odd tables
 
 
