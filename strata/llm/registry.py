@@ -15,7 +15,7 @@ from strata.llm.mixing import MIX_SQL, mix
 from strata.llm.mtree import TOP_SQL, top_products
 from strata.llm.packing import pack_documents
 from strata.llm.simhash import near_duplicates
-from strata.llm.substring_dedup import remove_repeats
+from strata.llm.substring_dedup import REPEATS_SQL, remove_repeats
 from strata.llm.url_filter import RULES, filter_urls, blocklist_labels
 
 
@@ -99,4 +99,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": MIX_SQL, "op8_exact_top_k": TOP_SQL, "op10_line_dedup": LINE_SQL}
+    return {"op1_source_mixing": MIX_SQL, "op2_suffix_array_dedup": REPEATS_SQL, "op8_exact_top_k": TOP_SQL, "op10_line_dedup": LINE_SQL}

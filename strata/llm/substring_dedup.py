@@ -273,3 +273,17 @@ def _twins(nodes: DataFrame, tag: str = "tag") -> DataFrame:
 def _bytes_id(first, size: int):
     """The bucket identifier refined by the bytes at an offset into column near, counted from 0."""
     return F.xxhash64("core", "low", F.substring(F.col("near"), first.cast("int") + 1, F.lit(size)))
+
+
+#: The same in DuckDB: bytes as pairs of hex digits, every window by its MD5, runs as islands. For small tables.
+REPEATS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5_number(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d WHERE length(h) >= 800)),
+x AS (SELECT r, i FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) m ON m.k = w.k),
+g AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM x),
+s AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS n FROM g),
+v AS (SELECT r, n, min(i) AS a, max(i) + 400 AS b FROM s GROUP BY r, n),
+l AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY n), 0) AS prev FROM v),
+c AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY n) AS head FROM l JOIN d USING (r) GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN c USING (r)
+"""
