@@ -1,8 +1,8 @@
 """HTML extraction by tree scoring.
 
 Paragraphs pass points (one, one for each comma, one for each 100 characters up to
-three) to their parent whole and to the grandparent by half, further up by less;
-class and id names add or take some, and a container's points are discounted by
+three) to their parent whole and to the grandparent by half, further up by less; an
+article or main above them gets them whole, as its parts are one text; class and id names add or take some, and a container's points are discounted by
 the share of its text that is links. The best container is kept, and those of its
 siblings that score well enough or are prose; within them, menus, notices,
 adverts, forms and reader comments are left out.
@@ -44,6 +44,7 @@ UNLIKELY = re.compile(r"(?:^|[\s_-])(?:" + "|".join(w for words in PARTS.values(
 LIKELY = re.compile("article|content|main|prose|story|text", re.I)
 SCORED = frozenset("p pre td blockquote li dd h2 h3 h4".split())
 KEPT_WHOLE = frozenset("article main body html #root".split())
+WHOLE = frozenset(("article", "main"))
 TEXT_LEAST, SIBLING_SHARE, SIBLING_LEAST = 25, 0.2, 10.0
 
 
@@ -108,18 +109,17 @@ def score(root: Node, names: bool = True) -> tuple[dict[Node, float], dict[Node,
             continue
         worth, share = 1 + commas[x] + min(n // 100, 3), 1.0
         for level, up in enumerate(_above(x)):
-            if level > 4:
-                break
-            if up.tag not in SCORED or level:
+            whole = up.tag in WHOLE
+            if (whole or level <= 4) and (up.tag not in SCORED or level):
                 if up not in points:
                     points[up] = _first(up)
-                points[up] += worth * share
+                points[up] += worth * (1.0 if whole else share)
                 share = 0.5 if level == 0 else share * 0.6
     return {x: v * (1 - chars[x][1] / max(1, chars[x][0])) for x, v in points.items()}, chars
 
 
 def _first(x: Node) -> float:
-    base = 8.0 if x.tag in ("article", "main") else 5.0 if x.tag in ("div", "section") else -5.0 if x.tag in ("ul", "ol", "dl", "form", "th") else 0.0
+    base = 15.0 if x.tag in WHOLE else 5.0 if x.tag in ("div", "section") else -5.0 if x.tag in ("ul", "ol", "dl", "form", "th") else 0.0
     return base + (5.0 if x.raw and LIKELY.search(f"{x.attrs.get('class', '')} {x.attrs.get('id', '')}") else 0.0)
 
 
@@ -129,9 +129,6 @@ def chosen(root: Node, names: bool = True) -> list[Node]:
     if not points:
         return [root]
     best = max(points, key=lambda x: points[x])
-    for up in _above(best):  # parts of one article, each scored alone
-        if up.tag in ("article", "main"):
-            best = up
     if best.parent is None:
         return [best]
     least = max(SIBLING_LEAST, SIBLING_SHARE * points.get(best, 0.0))
