@@ -77,7 +77,10 @@ class Scratch:
     the driver's Python ends.
     """
 
+    live: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
+        Scratch.live.append(self)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/strata-{name}-{uuid.uuid4().hex}", 0
         atexit.register(self._end)
 
@@ -106,6 +109,13 @@ class Scratch:
             pass
 
 
+def release(first: int) -> None:
+    """Deletes what the operators called since ``first`` (an earlier length of Scratch.live) have written; nothing of it may still be read."""
+    for own in Scratch.live[first:]:
+        own._end()
+    del Scratch.live[first:]
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """A string or binary Arrow column as UTF-8 bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
