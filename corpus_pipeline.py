@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows it gets, and returns
 documents in the columns of its input; the last returns packed sequences. Each
-stage's rows are written to the shared folder and reread by the next.
+stage's rows are written to the shared folder and reread by the next; spent ones are deleted.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import Scratch
+from strata.llm.common import Scratch, release
 from strata.llm.language import identify
 from strata.llm.line_dedup import dedup_lines
 from strata.llm.mixing import mix
@@ -52,8 +52,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
-    for k, (_, stage) in enumerate(STAGES):
-        new = stage(spark, docs, sf_dir)
-        docs = new if k == len(STAGES) - 1 else scratch.put(new)
-    return docs
+    docs, scratch, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline"), None
+    for _, stage in STAGES[:-1]:
+        held = len(Scratch.live)
+        docs = scratch.put(stage(spark, docs, sf_dir))
+        release(held)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
