@@ -202,8 +202,21 @@ def nearest_pivots(rows: pd.Series, pivots: dict[int, np.ndarray]) -> np.ndarray
 
 
 def build_trees(rows: DataFrame, n: int, tree_rows: int, scratch: Scratch) -> DataFrame:
-    """(tree, size, pages, outline) over rows (vec_id, v); the outline is the centre's vector, the largest norm and the radius."""
+    """(tree, size, pages, outline) over rows (vec_id, v); the outline is the centre's vector, the largest norm and the radius.
+
+    Where one tree can hold all rows, there is one for each length.
+    """
     trees = max(1, -(-n // tree_rows))
+
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        size = int(group["size"].iloc[0])
+        tree = Tree(group["vec_id"].to_numpy(), np.stack(group["v"].to_list()).astype(np.int64).reshape(len(group), size))
+        outline = np.append(tree.points[tree.root_row], [tree.top, tree.radius])
+        return pd.DataFrame({"tree": group["tree"].iloc[:1], "size": [size], "pages": [tree.dump()], "outline": [outline.tobytes()]})
+
+    made = lambda dealt: scratch.put(dealt.groupBy("tree").applyInPandas(build, "tree long, size int, pages binary, outline binary"))
+    if trees == 1:
+        return made(rows.select(F.size("v").cast("long").alias("tree"), F.size("v").alias("size"), "vec_id", "v"))
     chosen: dict[int, list] = {}
     for r in rows.orderBy(F.xxhash64("v"), "vec_id").limit(min(PIVOTS, trees)).select("v").collect():  # at most PIVOTS vectors
         chosen.setdefault(len(r.v), []).append(r.v)
@@ -216,23 +229,22 @@ def build_trees(rows: DataFrame, n: int, tree_rows: int, scratch: Scratch) -> Da
     near = scratch.put(rows.withColumn("size", F.size("v")).withColumn("pivot", nearest("v")))
     parts = near.groupBy("size", "pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(tree_rows))).alias("parts"))  # one row per pivot and length
     dealt = near.join(parts, ["size", "pivot"]).withColumn("tree", F.xxhash64("size", "pivot", F.pmod(F.xxhash64("v", "vec_id"), "parts")))
+    return made(dealt.select("tree", "size", "vec_id", "v").repartition(2 * trees, "tree"))
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        size = int(group["size"].iloc[0])
-        tree = Tree(group["vec_id"].to_numpy(), np.stack(group["v"].to_list()).astype(np.int64).reshape(len(group), size))
-        outline = np.append(tree.points[tree.root_row], [tree.top, tree.radius])
-        return pd.DataFrame({"tree": group["tree"].iloc[:1], "size": [size], "pages": [tree.dump()], "outline": [outline.tobytes()]})
 
-    return scratch.put(dealt.select("tree", "size", "vec_id", "v").repartition(2 * trees, "tree").groupBy("tree").applyInPandas(build, "tree long, size int, pages binary, outline binary"))
+def outlines(trees: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(size, chunk, held): the trees' outlines in chunks of REGION_BYTES or so by length; and the chunks' keys."""
+    per_chunk = F.greatest(F.lit(1), F.lit(REGION_BYTES) / (8 * (F.col("size") + 3))).cast("int")
+    dealt = trees.select("tree", "size", "outline", F.pmod(F.xxhash64("tree"), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("size")) / per_chunk))).alias("chunk"))
+    chunks = scratch.put(dealt.groupBy("size", "chunk").agg(F.sort_array(F.collect_list(F.struct("tree", "outline"))).alias("held")))
+    return chunks, scratch.put(chunks.select("size", "chunk"))
 
 
-def asks(queries: DataFrame, trees: DataFrame, first: bool, n: int, scratch: Scratch) -> DataFrame:
+def asks(queries: DataFrame, chunked: tuple[DataFrame, DataFrame], first: bool, n: int) -> DataFrame:
     """(tree, slice, query, own_id, v, least): which trees the queries (query, own_id, size, v, least) meet: with ``first`` the most promising, else all that can hold a score of at least ``least``."""
-    per_chunk = F.greatest(F.lit(1), F.lit(REGION_BYTES) / (8 * (F.col("size") + 3))).cast("int")
-    outlines = trees.select("tree", "size", "outline", F.pmod(F.xxhash64("tree"), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("size")) / per_chunk))).alias("chunk"))
-    chunks = scratch.put(outlines.groupBy("size", "chunk").agg(F.sort_array(F.collect_list(F.struct("tree", "outline"))).alias("held")))  # at most REGION_BYTES or so
-    blocks, slices = max(1, -(-n // REGION_QUERIES)), max(1, -(-n // SLICE_ROWS))
-    left = queries.join(scratch.put(chunks.select("size", "chunk")), "size").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    chunks, keys = chunked
+    blocks = max(1, -(-n // REGION_QUERIES))
+    left = queries.join(keys, "size").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
     right = chunks.select("size", "chunk", "held").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def choose(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -260,7 +272,11 @@ def asks(queries: DataFrame, trees: DataFrame, first: bool, n: int, scratch: Scr
 
     names = ["tree", "query", "own_id", "v", "least"]
     found = left.groupBy("size", "chunk", "block").cogroup(right.groupBy("size", "chunk", "block")).applyInPandas(choose, "tree long, query long, own_id long, v binary, least decimal(20,0)")
-    return scratch.put(found.withColumn("slice", F.pmod(F.xxhash64("query"), F.lit(slices))))
+    return found.withColumn("slice", _slice(n))
+
+
+def _slice(n: int) -> Column:
+    return F.pmod(F.xxhash64("query"), F.lit(max(1, -(-n // SLICE_ROWS))))
 
 
 def search_trees(wanted: DataFrame, trees: DataFrame, k: int, scratch: Scratch) -> DataFrame:
@@ -288,17 +304,27 @@ def top_products(vectors: DataFrame, k: int = 5, query_step: int = 50, id_column
     kept = own.withColumn("r", F.row_number().over(Window.partitionBy("v", "vec_id").orderBy("vec_id"))).where(F.col("r") <= k)
     kept = kept.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= 2 * k)
     rows = scratch.put(kept.select("vec_id", "v"))
-    trees = build_trees(rows, rows.count(), tree_rows, scratch)
+    n_rows = rows.count()
+    trees = build_trees(rows, n_rows, tree_rows, scratch)
 
     pack = F.pandas_udf(lambda vs: vs.map(lambda v: np.asarray(v, np.int64).tobytes()), "binary")
-    asked = scratch.put(own.where(F.col("vec_id") % query_step == 0).distinct())
+    asked = own.where(F.col("vec_id") % query_step == 0).distinct()
     none = F.lit(None).cast("decimal(20,0)").alias("least")  # as a long, pandas would make it a double where some are null
     queries = scratch.put(asked.select(F.monotonically_increasing_id().alias("query"), F.col("vec_id").alias("own_id"), F.size("v").alias("size"), pack("v").alias("v"), none))
     n = queries.count()
-    near = search_trees(asks(queries, trees, True, n, scratch), trees, k, scratch)
+    if n_rows <= tree_rows:
+        each = queries.join(trees.select("tree", "size"), "size").withColumn("slice", _slice(n))
+        return best_of(search_trees(scratch.put(each), trees, k, scratch), queries, k)
+    chunked = outlines(trees, scratch)
+    near = search_trees(scratch.put(asks(queries, chunked, True, n)), trees, k, scratch)
     bounds = near.groupBy("query").agg(F.sort_array(F.collect_list("score"), asc=False).alias("best")).where(F.size("best") >= k).select("query", F.col("best")[k - 1].cast("decimal(20,0)").alias("least"))  # k for each tree searched
-    far = asks(queries.drop("least").join(bounds, "query", "left"), trees, False, n, scratch).join(near.select("query", "tree").distinct(), ["query", "tree"], "left_anti")
-    found = near.unionByName(search_trees(scratch.put(far), trees, k, scratch)).join(queries.select("query", F.col("own_id").alias("query_id")), "query")
+    far = asks(queries.drop("least").join(bounds, "query", "left"), chunked, False, n).join(near.select("query", "tree").distinct(), ["query", "tree"], "left_anti")
+    return best_of(near.unionByName(search_trees(scratch.put(far), trees, k, scratch)), queries, k)
+
+
+def best_of(found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) from what the trees gave."""
+    found = found.join(queries.select("query", F.col("own_id").alias("query_id")), "query")
     ranks = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     score = F.when(F.abs("score") < EDGE, F.col("score")).otherwise(F.raise_error(F.lit("a score isn't a long")).cast("long"))
     return found.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
