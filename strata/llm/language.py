@@ -199,5 +199,6 @@ def page_languages(pages: DataFrame) -> DataFrame:
 
     host = F.nullif(F.lower(F.regexp_extract("url", r"^.*?://([^/?#:]*)", 1)), F.lit(""))
     read = pages.select("page_id", host.alias("host"), "html").mapInArrow(run, f"page_id {kind}, host string, declared string, text string")
+    read = Scratch(pages.sparkSession, "pages").put(read)  # every page is read once
     own = identify(read, declared=F.col("declared"), host=F.col("host"), suffix=F.substring_index("host", ".", -1), keep=("page_id", "declared"))
     return own.select("page_id", "declared", F.col("__language").alias("language"), F.round("__posterior", 6).alias("posterior"), F.col("__keep").alias("keep"))
