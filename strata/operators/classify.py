@@ -24,7 +24,7 @@ def learned(items: DataFrame, examples: DataFrame, names: list[str], threshold:
     Examples are what users corrected by hand. The votes are counted inside each item's row.
     """
     known = examples.where(F.col("corrected") & ~F.col("removed") & F.col("vec").isNotNull() & F.col("category").isin(names)).select("id", F.col("category").alias("label"), "vec")
-    near = nearest_examples(items, known, most)
+    near = nearest_examples(items, known, most, threshold)
     of = lambda c: F.filter("top", lambda t: t["label"] == c)
     votes = lambda c: F.aggregate(F.filter(of(c), lambda t: t["sim"] >= threshold), F.lit(0.0), lambda a, t: a + t["sim"])
     best = lambda c: F.array_max(F.transform(of(c), lambda t: t["sim"]))

@@ -37,45 +37,44 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in vectors])
 
 
-def nearest_examples(items: DataFrame, examples: DataFrame, most: int = 5) -> DataFrame:
-    """(id, top) of items (id, vec): the best of the examples (id, label, vec) of the same length, an array of (sim, other, label).
+def nearest_examples(items: DataFrame, examples: DataFrame, most: int = 5, least: float = -math.inf) -> DataFrame:
+    """(id, top) of items (id, vec): the best of the examples (id, label, vec) of the same length whose product is at least ``least``, as an array of (sim, other, label).
 
     Examples of at most HELD_BYTES together, counted first, go to every task, and items aren't moved.
-    More of them are cut into parts of that size, and the best of each part are merged.
+    More of them are met through pivots, as in near_earlier.
     """
-    own = written(examples.where(F.col("vec").isNotNull()).select(F.col("id").alias("other"), "label", F.transform("vec", lambda x: x.cast("double")).alias("vec")))
+    own = written(_doubles(examples.where(F.col("vec").isNotNull()).select("id", "vec", "label")))
     size = own.agg(F.sum(F.size("vec") * 8 + 64)).first()[0] or 0
-    parts = max(1, math.ceil(size / HELD_BYTES))
-    dealt = own.withColumn("part", F.pmod(F.xxhash64("other"), F.lit(parts)))
-    found = None
-    for k in range(parts):
-        rows = dealt.where(F.col("part") == k).collect()  # HELD_BYTES or so
-        by_size: dict[int, list] = {}
-        for r in rows:
-            by_size.setdefault(len(r.vec), []).append(r)
-        held = {d: (np.array([r.other for r in rs], np.int64), np.array([r.vec for r in rs]).reshape(len(rs), d), np.array([r.label for r in rs], object)) for d, rs in by_size.items()}
-        shared = items.sparkSession.sparkContext.broadcast(held)
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                top: list = [[] for _ in range(len(pdf))]
-                sizes = pdf["vec"].map(len).to_numpy()
-                for d in np.unique(sizes) if len(pdf) else []:
-                    if int(d) in shared.value:
-                        for first in range(0, int((sizes == d).sum()), ASKED_ROWS):
-                            at = np.flatnonzero(sizes == d)[first : first + ASKED_ROWS]
-                            found = _best(pdf["id"].to_numpy()[at], _matrix(pdf["vec"].iloc[at]), *shared.value[int(d)], most, False, -np.inf)
-                            for i, best in zip(at, found):
-                                top[i] = best
-                yield pd.DataFrame({"id": pdf["id"], "top": top})
-
-        one = items.where(F.col("vec").isNotNull()).select("id", "vec").mapInPandas(run, f"id long, top {TOP}")
-        found = one if found is None else found.unionByName(one)
-    if parts == 1:
-        return found
-    every = found.groupBy("id").agg(F.flatten(F.collect_list("top")).alias("top"))  # ``most`` for each part
-    ordered = F.transform(F.sort_array(F.transform("top", lambda t: F.struct((-t["sim"]).alias("s"), t["other"].alias("o"), t["label"].alias("l")))), lambda t: F.struct((-t["s"]).alias("sim"), t["o"].alias("other"), t["l"].alias("label")))
-    return every.select("id", F.slice(ordered, 1, most).alias("top"))
+    if size > HELD_BYTES:
+        asked = written(_doubles(items.where(F.col("vec").isNotNull()).select("id", "vec")))
+        pivots, radius = _pivots(own), _radius(own, asked, least)
+        met = own.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("r") <= most + 1).drop("r")
+        found = _meet(_placed(asked.withColumn("label", F.lit(None).cast("string")), pivots, radius), _placed(met, pivots, radius), least, most, False)
+        top = F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("s"), F.col("other").alias("o"), F.col("label").alias("l"))))  # ``most`` for each block that the item met
+        best = found.groupBy("id").agg(F.slice(top, 1, most).alias("top"))
+        best = best.select("id", F.transform("top", lambda t: F.struct((-t["s"]).alias("sim"), t["o"].alias("other"), t["l"].alias("label"))).alias("top"))
+        return asked.select("id").join(best, "id", "left").select("id", F.coalesce("top", F.array().cast(TOP)).alias("top"))
+    by_size: dict[int, list] = {}
+    for r in own.collect():  # HELD_BYTES at most
+        by_size.setdefault(len(r.vec), []).append(r)
+    held = {d: (np.array([r.id for r in rs], np.int64), np.array([r.vec for r in rs]).reshape(len(rs), d), np.array([r.label for r in rs], object)) for d, rs in by_size.items()}
+    shared = items.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            top: list = [[] for _ in range(len(pdf))]
+            sizes = pdf["vec"].map(len).to_numpy()
+            for d in np.unique(sizes) if len(pdf) else []:
+                if int(d) in shared.value:
+                    own = np.flatnonzero(sizes == d)
+                    for first in range(0, len(own), ASKED_ROWS):
+                        at = own[first : first + ASKED_ROWS]
+                        found = _best(pdf["id"].to_numpy()[at], _matrix(pdf["vec"].iloc[at]), *shared.value[int(d)], most, False, least)
+                        for i, best in zip(at, found):
+                            top[i] = best
+            yield pd.DataFrame({"id": pdf["id"], "top": top})
+
+    return items.where(F.col("vec").isNotNull()).select("id", "vec").mapInPandas(run, f"id long, top {TOP}")
 
 
 def near_earlier(rows: DataFrame, threshold: float, most: int = 1, since: int | None = None) -> DataFrame:
@@ -88,21 +87,47 @@ def near_earlier(rows: DataFrame, threshold: float, most: int = 1, since: int |
     meets each block of the cell; only the best leave a block. A low threshold makes r so large that every cell
     meets every row: then all products are computed, as nothing less would be exact.
     """
-    own = written(rows.where(F.col("vec").isNotNull() & (F.size("vec") > 0)).select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec")))
-    n, top = own.agg(F.count(F.lit(1)), F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))).first()
-    radius = math.sqrt(max(0.0, 2.0 * (top or 0.0) - 2.0 * threshold)) * (1 + 1e-9) + 1e-9
+    own = written(_doubles(rows.where(F.col("vec").isNotNull() & (F.size("vec") > 0)).select("id", "vec")))
+    pivots, radius = _pivots(own), _radius(own, own, threshold)
+    placed = _placed(own.withColumn("label", F.lit(None).cast("string")), pivots, radius)
+    met = placed.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("r") <= most).drop("r")
+    found = _meet(placed if since is None else placed.where(F.col("id") >= since), met, threshold, most, True)
+    if most == 1:
+        best = found.groupBy("id").agg(F.max(F.struct("sim", (-F.col("other")).alias("o"))).alias("m"))
+        return best.select("id", (-F.col("m.o")).alias("other"), F.col("m.sim").alias("sim"))
+    ranks = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
+    return found.withColumn("r", F.row_number().over(ranks)).where(F.col("r") <= most).select("id", "other", "sim")
+
+
+def _doubles(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("vec", F.transform("vec", lambda x: x.cast("double")))
+
+
+def _pivots(rows: DataFrame) -> dict[int, np.ndarray]:
+    """One in ASKED_ROWS vectors by their hash, at most PIVOTS, by length."""
     chosen: dict[int, list] = {}
-    for r in own.orderBy(F.xxhash64("vec"), "id").limit(max(1, min(PIVOTS, -(-n // ASKED_ROWS)))).select("vec").collect():  # at most PIVOTS vectors
+    for r in rows.orderBy(F.xxhash64("vec"), "id").limit(max(1, min(PIVOTS, -(-rows.count() // ASKED_ROWS)))).select("vec").collect():
         chosen.setdefault(len(r.vec), []).append(r.vec)
-    pivots = {d: np.array(vs) for d, vs in chosen.items()}
+    return {d: np.array(vs).reshape(len(vs), d) for d, vs in chosen.items()}
+
+
+def _radius(a: DataFrame, b: DataFrame, threshold: float) -> float:
+    """How far apart vectors with a product of the threshold can be."""
+    largest = lambda df: df.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))).first()[0] or 0.0
+    top = largest(a) if a is b else max(largest(a), largest(b))
+    return math.sqrt(max(0.0, 2.0 * top - 2.0 * threshold)) * (1 + 1e-9) + 1e-9
+
+
+def _placed(rows: DataFrame, pivots: dict[int, np.ndarray], radius: float) -> DataFrame:
+    """rows (id, vec, label) with dim, home (the nearest pivot's cell) and cells (where it is met)."""
 
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             homes, others = np.zeros(len(pdf), np.int64), [[0] for _ in range(len(pdf))]
             sizes = pdf["vec"].map(len).to_numpy()
             for d in np.unique(sizes) if len(pdf) else []:
                 centres = pivots.get(int(d))
-                if centres is None:
+                if centres is None or not d:
                     continue
                 at = np.flatnonzero(sizes == d)
                 v = _matrix(pdf["vec"].iloc[at])
@@ -111,30 +136,27 @@ def near_earlier(rows: DataFrame, threshold: float, most: int = 1, since: int |
                 near = far <= far[np.arange(len(at)), home][:, None] + 2.0 * radius + 1e-6
                 for i, h, row in zip(at, home, near):
                     homes[i], others[i] = h, np.flatnonzero(row).tolist()
-            yield pd.DataFrame({"id": pdf["id"], "dim": sizes, "home": homes, "cells": others, "vec": pdf["vec"]})
+            yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "dim": sizes, "home": homes, "cells": others, "vec": pdf["vec"]})
 
-    placed = written(own.mapInPandas(cells, "id long, dim int, home long, cells array<long>, vec array<double>"))
-    askers = placed if since is None else placed.where(F.col("id") >= since)
+    return written(rows.select("id", "label", "vec").mapInPandas(run, "id long, label string, dim int, home long, cells array<long>, vec array<double>"))
+
+
+def _meet(askers: DataFrame, held: DataFrame, threshold: float, most: int, earlier: bool) -> DataFrame:
+    """(id, other, label, sim): the best of each block that an asker meets in its cell."""
     asked = askers.groupBy("dim", F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(ASKED_ROWS))).alias("blocks"))  # one row per cell
-    first = placed.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("r") <= most)
-    met = written(first.select("dim", F.explode("cells").alias("cell"), F.col("id").alias("other"), F.col("vec").alias("held")))
+    met = written(held.select("dim", F.explode("cells").alias("cell"), F.col("id").alias("other"), "label", F.col("vec").alias("held")))
     counted = written(met.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(MET_ROWS))).alias("parts")).join(asked, ["dim", "cell"]))
-    pairs = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    blocks = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    pairs, blocks = (F.sequence(F.lit(0).cast("long"), F.col(c) - 1) for c in ("parts", "blocks"))
     left = askers.withColumnRenamed("home", "cell").join(counted, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("part", F.explode(pairs)).select("dim", "cell", "block", "part", "id", "vec")
-    right = met.join(counted.select(*(F.col(c).alias(c) for c in counted.columns)), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("other"), "parts")).withColumn("block", F.explode(blocks)).select("dim", "cell", "block", "part", "other", "held")
+    again = counted.select(*(F.col(c).alias(c) for c in counted.columns))
+    right = met.join(again, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("other"), "parts")).withColumn("block", F.explode(blocks)).select("dim", "cell", "block", "part", "other", "label", "held")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
-            held, others = _matrix(b["held"]), b["other"].to_numpy()
-            best = _best(a["id"].to_numpy(), _matrix(a["vec"]), others, held, np.full(len(b), None, object), most, True, threshold)
-            out = [(i, t["other"], t["sim"]) for i, found in zip(a["id"].tolist(), best) for t in found]
-        return pd.DataFrame(out, columns=["id", "other", "sim"]).astype({"id": "int64", "other": "int64", "sim": "float64"})
+            best = _best(a["id"].to_numpy(), _matrix(a["vec"]), b["other"].to_numpy(), _matrix(b["held"]), b["label"].to_numpy(object), most, earlier, threshold)
+            out = [(i, t["other"], t["label"], t["sim"]) for i, found in zip(a["id"].tolist(), best) for t in found]
+        return pd.DataFrame(out, columns=["id", "other", "label", "sim"]).astype({"id": "int64", "other": "int64", "label": object, "sim": "float64"})
 
     keys = ("dim", "cell", "block", "part")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "id long, other long, sim double")
-    if most == 1:
-        best = found.groupBy("id").agg(F.max(F.struct("sim", (-F.col("other")).alias("o"))).alias("m"))
-        return best.select("id", (-F.col("m.o")).alias("other"), F.col("m.sim").alias("sim"))
-    return found.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "other"))).where(F.col("r") <= most).drop("r")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "id long, other long, label string, sim double")

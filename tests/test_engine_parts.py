@@ -59,6 +59,8 @@ def test_nearest_examples(spark, monkeypatch, held):
     items = [(i, r.normal(size=3 if i % 4 else 2).tolist()) for i in range(40)]
     examples = [(i, "ab"[i % 2], r.normal(size=3 if i % 3 else 2).tolist()) for i in range(30, 70)]
     got = neighbours.nearest_examples(spark.createDataFrame(items, "id long, vec array<double>"), spark.createDataFrame(examples, "id long, label string, vec array<double>"), 3).collect()
+    some = neighbours.nearest_examples(spark.createDataFrame(items, "id long, vec array<double>"), spark.createDataFrame(examples, "id long, label string, vec array<double>"), 3, 1.5).collect()
+    assert {x.id: [t.other for t in x.top] for x in some} == {x.id: [t.other for t in x.top if t.sim >= 1.5] for x in got}
     assert len(got) == 40
     for x in got:
         v = dict(items)[x.id]
