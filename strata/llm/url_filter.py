@@ -9,8 +9,8 @@ read labels off the terms that a labelled list was made by.
 
 Defined results: a null URL, or one without ://, has an empty host and path and is
 judged by the trees; repeated rows are judged alike; without labelled URLs, or with
-one label alone, that label (else allow) holds for all; of a URL that is labelled
-twice the smaller row hash counts; columns beside the id and the URL are passed over,
+one label alone, that label (else allow) holds for all; a URL that is labelled both
+ways counts both ways; columns beside the id and the URL are passed over,
 whatever their names.
 """
 
@@ -172,7 +172,7 @@ def fit(urls: list[str], labels: list[int], trees: int = 40, depth: int = 3, rat
 def labelled_sample(labelled: DataFrame, most_labelled: int) -> tuple[list[str], list[int]]:
     """(URLs, labels) of at most so many labelled rows, sampled by the hashes of their URLs."""
     known = labelled.where("url is not null and label is not null").select("url", F.col("label").cast("int").alias("label"))
-    rows = sorted((r.url, r.label) for r in bounded_sample(known, F.col("url"), most_labelled).collect())
+    rows = sorted((r.url, r.label) for r in bounded_sample(known, F.struct("url", "label"), most_labelled).collect())
     return [u for u, _ in rows], [v for _, v in rows]
 
 
