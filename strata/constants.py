@@ -18,7 +18,7 @@ DOCUMENT_EXTENSIONS = ("pdf", "docx", "txt", "md", "csv", "rtf")
 # Words in the names of screenshots.
 SCREENSHOT_WORDS = ("screenshot", "screen_shot", "screen shot", "screencapture", "螢幕截圖", "螢幕擷取", "截圖", "截屏", "スクリーンショット")
 
-# Screen sizes (shorter side, longer side) of phones and tablets.
+# Screen sizes (shorter side, longer side) of phones and tablets, as makers publish them; which of them count is fixed by what is stored.
 SCREENS = (
     (720, 1280), (720, 1520), (720, 1560), (720, 1600), (720, 1612), (720, 1640), (750, 1334), (828, 1792), (1008, 2244),
     (1080, 1920), (1080, 2160), (1080, 2220), (1080, 2232), (1080, 2244), (1080, 2280), (1080, 2310), (1080, 2340), (1080, 2376),
