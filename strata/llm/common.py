@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import sys
 import tempfile
@@ -35,7 +36,7 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-BYTES_AT_ONCE = 16 << 20
+BYTES_AT_ONCE = 4 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int | str) -> Iterator[pa.RecordBatch]:
@@ -51,6 +52,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: int | str) -> Iterator[pa.
             held += n
         if first < batch.num_rows:
             yield batch.slice(first)
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that a task has freed goes back to the machine: Python workers live on between tasks, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 ROWS_PER_BATCH = 1_000
