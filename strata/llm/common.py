@@ -108,6 +108,13 @@ class Scratch:
         for t in tables:
             delete_path(self.spark, t._strata_path)
 
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Deletes all other tables of this scratch."""
+        kept = {t._strata_path for t in tables}
+        for k in range(1, self.n + 1):
+            if f"{self.root}/{k}" not in kept:
+                delete_path(self.spark, f"{self.root}/{k}")
+
     def sweep(self) -> None:
         """Lets Spark's cleaner remove the shuffle files of steps whose results are written and whose DataFrames are gone."""
         gc.collect()

@@ -184,4 +184,5 @@ def stay_one(docs: DataFrame, id_column: str, whole: Column, fps: DataFrame, gro
     named = Renamed(docs, hash=whole)
     rows = named.df.join(stay, (named.df["hash"] == stay["hash"]) & named.df[named[id_column]].eqNullSafe(stay["id"]), "left_semi")
     repeated = fps.groupBy("id", "hash").count().where("count > 1").limit(1).count()
+    scratch.keep_only(stay)
     return (rows.dropDuplicates(["hash", named[id_column]]) if repeated else rows).select(named.back())

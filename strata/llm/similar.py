@@ -147,6 +147,7 @@ def rare_pairs(sets: DataFrame, scratch: Scratch, least: float) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("fp").orderBy("n", "shingle"))
     rare = spelled.join(counts, "shingle").withColumn("behind", F.col("size") - place + 1)  # itself and what follows
     rare = scratch.put(rare.where((F.col("n") > 1) & (F.col("behind") >= F.col("size") * F.lit(least) - F.lit(ROUNDING))).drop("n"))
+    scratch.drop(spelled)
     other = rare.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("fp", "comp", "size", "behind")))
     enough = F.least("behind", "behind2") >= (F.col("size") + F.col("size2")) * F.lit(least / (1 + least)) - F.lit(ROUNDING)
     return rare.join(other, "shingle").where((F.col("fp") < F.col("fp2")) & (F.col("comp") != F.col("comp2")) & _alike("size", "size2", least) & enough).select(F.col("fp").alias("a"), F.col("fp2").alias("b")).distinct()
@@ -167,25 +168,35 @@ def near_groups(docs: DataFrame, found: DataFrame, whole: Column, text: str, scr
     nodes = scratch.put(found.groupBy("fp").agg(F.min_by(F.struct("hash", "size", "bits", "bands"), "hash").alias("one")).select("fp", "one.*"))
     members = nodes.select("fp", "size", F.explode("bands").alias("band"))
     shared = scratch.put(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    meet = scratch.put(members.join(shared, "band"))
-    weight = meet.groupBy("fp").agg(F.sum("n").alias("weight"))
-    lead = meet.join(weight, "fp").groupBy("band").agg(F.max(F.struct("weight", "fp", "size")).alias("lead"))
-    meet = scratch.put(meet.join(lead, "band").where(F.col("fp") != F.col("lead.fp")))
+    every = scratch.put(members.join(shared, "band"))
+    weight = every.groupBy("fp").agg(F.sum("n").alias("weight"))
+    lead = every.join(weight, "fp").groupBy("band").agg(F.max(F.struct("weight", "fp", "size")).alias("lead"))
+    meet = scratch.put(every.join(lead, "band").where(F.col("fp") != F.col("lead.fp")))
+    scratch.drop(shared, every)
+    del members, shared, every, weight, lead
+    scratch.sweep()
     able = _alike("size", "lead.size", least)
     near = ball_pairs(nodes.select("fp", "size", "bits"), scratch, least)
     pairs = scratch.put(meet.where(able).select(F.col("lead.fp").alias("a"), F.col("fp").alias("b")).unionByName(near).distinct())
     asked = meet.select("fp").union(meet.select("lead.fp")).union(near.select("a")).union(near.select("b")).distinct()
     wanted = nodes.join(asked, "fp", "left_semi").select("hash")
     named = Renamed(docs, hash=whole)
-    sets = scratch.put(sets_of(named.df.join(scratch.put(wanted), "hash", "left_semi").select(F.col(named[text]).alias("text")), words_per_shingle))
+    hashes = scratch.put(wanted)
+    sets = scratch.put(sets_of(named.df.join(hashes, "hash", "left_semi").select(F.col(named[text]).alias("text")), words_per_shingle))
     first = scratch.put(linked(pairs, sets, least))
+    scratch.drop(near, pairs, hashes)
+    del near, pairs, asked, wanted, hashes
+    scratch.sweep()
 
     # What is left: other members of a key that aren't all linked yet.
     groups = scratch.put(components(first, scratch))
     held = meet.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", F.coalesce("comp", "fp").alias("comp"))
     open_bands = held.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
     rest = held.join(open_bands, "band").select("fp", "comp").distinct()
-    pairs = scratch.put(rare_pairs(scratch.put(rest.join(sets, "fp")), scratch, least))
+    others = scratch.put(rest.join(sets, "fp"))
+    pairs = scratch.put(rare_pairs(others, scratch, least))
+    scratch.drop(others)
+    scratch.sweep()
     groups = components(first.unionByName(linked(pairs, sets, least)), scratch)
     return nodes.select("fp").join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp"))
 
