@@ -8,7 +8,7 @@ probability and takes what reads like no language.
 
 The trigram models are fitted on a bounded sample of distinct declared texts, as many
 of each language (``most_labelled``); priors and the reliability of declarations are
-grouped sums of text posteriors over all rows. Every text is read once: its log
+grouped sums of text posteriors over all rows. Every text is scored once: its log
 likelihoods are written with the row, and the tables of priors are joined to that.
 Where they are small, Spark measures that and broadcasts them; beyond that its skew
 join splits hosts that have many rows.
@@ -130,7 +130,7 @@ def identify(
     given = [*(c for c in kept if c != text), text]
     named = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(given)]
     held = docs.select(*named[:-1], lower(declared).alias("declared"), lower(host).alias("host"), lower(suffix).alias("suffix"), named[-1])
-    seen = scratch.put(_with_evidence(held, model, text in kept))  # every text is read once
+    seen = scratch.put(_with_evidence(held, model, text in kept))  # every text is scored once
 
     # Grouped sums of text posteriors over all rows, from the finest level up.
     flat = F.array(*(F.lit((1 - unknown) / m) for _ in languages), F.lit(unknown))
