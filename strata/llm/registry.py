@@ -18,6 +18,7 @@ from strata.llm.simhash import near_duplicates
 from strata.llm.substring_dedup import REPEATS_SQL, remove_repeats
 from strata.llm.target_encoding import RATES_SQL, sale_rates
 from strata.llm.url_filter import RULES, filter_urls, blocklist_labels
+from strata.llm.vector_codes import CODES_SQL, compress
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -80,6 +81,10 @@ def op11_time_ordered_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sale_rates(*(_table(spark, sf_dir, n) for n in ("sale_lines", "sales", "items", "vendors", "clients")))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(_table(spark, sf_dir, "embeddings"))
+
+
 #: Lines as keys: split at \n, ASCII white space stripped, A-Z lower-cased; the SQL says the same over whole texts.
 LINE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
@@ -99,9 +104,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_source_mixing, op2_suffix_array_dedup, op3_url_filter, op4_html_extraction, op5_media_columns, op6_simhash_near_dedup, op7_best_fit_packing, op8_exact_top_k, op9_language_id, op10_line_dedup, op11_time_ordered_encoding, page_language_id, pipeline)
+    own = (op1_source_mixing, op2_suffix_array_dedup, op3_url_filter, op4_html_extraction, op5_media_columns, op6_simhash_near_dedup, op7_best_fit_packing, op8_exact_top_k, op9_language_id, op10_line_dedup, op11_time_ordered_encoding, op12_vector_codes, page_language_id, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": MIX_SQL, "op2_suffix_array_dedup": REPEATS_SQL, "op8_exact_top_k": TOP_SQL, "op10_line_dedup": LINE_SQL, "op11_time_ordered_encoding": RATES_SQL}
+    return {"op1_source_mixing": MIX_SQL, "op2_suffix_array_dedup": REPEATS_SQL, "op8_exact_top_k": TOP_SQL, "op10_line_dedup": LINE_SQL, "op11_time_ordered_encoding": RATES_SQL, "op12_vector_codes": CODES_SQL}
