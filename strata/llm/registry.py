@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.llm.byte_bpe import token_digests
 from strata.llm.html_extract import extract
 from strata.llm.language import document_languages, page_languages
 from strata.llm.line_dedup import dedup_lines
@@ -85,6 +86,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 #: Lines as keys: split at \n, ASCII white space stripped, A-Z lower-cased; the SQL says the same over whole texts.
 LINE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
@@ -104,7 +109,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_source_mixing, op2_suffix_array_dedup, op3_url_filter, op4_html_extraction, op5_media_columns, op6_simhash_near_dedup, op7_best_fit_packing, op8_exact_top_k, op9_language_id, op10_line_dedup, op11_time_ordered_encoding, op12_vector_codes, page_language_id, pipeline)
+    own = (op1_source_mixing, op2_suffix_array_dedup, op3_url_filter, op4_html_extraction, op5_media_columns, op6_simhash_near_dedup, op7_best_fit_packing, op8_exact_top_k, op9_language_id, op10_line_dedup, op11_time_ordered_encoding, op12_vector_codes, op13_byte_bpe, page_language_id, pipeline)
     return {f.__name__: f for f in own}
 
 
