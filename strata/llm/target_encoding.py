@@ -45,12 +45,15 @@ def rate(hits: Column, count: Column, prior: Column, weight: int = 50) -> Column
     return F.when(count < 1, prior).otherwise(drawn).cast("long")
 
 
-def long_keys(bases: dict[str, DataFrame], scratch: Scratch, slice_rows: int = SLICE_ROWS) -> dict[str, DataFrame]:
-    """By key column, where some have more than slice_rows rows in their base: (hot, since, width), the keys and the slices they are cut into."""
-    found = None
+def long_keys(bases: dict[str, DataFrame], scratch: Scratch, folds: int = 5, slice_rows: int = SLICE_ROWS) -> dict[str, DataFrame]:
+    """By key column, where some have more than slice_rows rows in their base: (hot, since, width), the keys and the slices they are cut into.
+
+    A slice holds 4 * folds rows at least, so that the level above, a row for each slice and fold, has at most about a quarter of the rows.
+    """
+    found, slice_rows = None, max(slice_rows, 4 * folds)
     for key, base in bases.items():
         spans = base.groupBy(F.col(key).alias("hot")).agg(F.count("*").alias("rows"), F.min("t").alias("since"), F.max("t").alias("until")).where(F.col("rows") > slice_rows)
-        spans = spans.select(F.lit(key).alias("key"), F.col("hot").cast("string").alias("hot"), "since", F.expr(f"(until - since) div (rows div {slice_rows} + 1) + 1").alias("width"))
+        spans = spans.select(F.lit(key).alias("key"), F.col("hot").cast("string").alias("hot"), "since", F.expr(f"(until - since) div (rows div {slice_rows}) + 1").alias("width"))
         found = spans if found is None else found.unionByName(spans)
     found = scratch.put(found)
     names = [r["key"] for r in found.select("key").distinct().collect()]  # of columns, not of keys
@@ -69,7 +72,7 @@ def with_history(rows: DataFrame, base: DataFrame, key: str, n: str, s: str, scr
     (``long``: what long_keys has found).
     """
     given, carried = rows.columns, None
-    long = long_keys({key: base}, scratch, slice_rows) if long is None else long
+    long = long_keys({key: base}, scratch, folds, slice_rows) if long is None else long
     if key not in long:
         held = rows.withColumn("__slice", F.lit(None).cast("long"))
     else:
@@ -112,7 +115,7 @@ def sale_rates(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: Da
     by_sale = scratch.put(by_sale.join(_lookup(clients, "client_id", "segment"), F.col("client_id") == F.col("known"), "left").drop("known").withColumn("everything", F.lit(0)))
 
     bases = {"everything": by_sale, "segment": by_sale, "client_id": by_sale, "kind": rows, "item_id": rows, "nation_id": rows, "vendor_id": rows}
-    long = long_keys(bases, scratch, slice_rows)
+    long = long_keys(bases, scratch, folds, slice_rows)
 
     def step(frame: DataFrame, key: str, before: Column, name: str, keep_n: bool = False) -> DataFrame:
         found = with_history(frame, bases[key], key, "n_", "s_", scratch, folds, slice_rows, long)
