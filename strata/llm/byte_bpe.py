@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import as_bytes, slices, worker_cache
 
-CACHE_PIECES, LONGEST_HELD = 400_000, 64
-STRETCHES_AT_ONCE, WINDOW = 20_000, 1 << 20
+CACHE_PIECES, LONGEST_HELD = 800_000, 48
+STRETCHES_AT_ONCE, PAIRS_AT_ONCE, WINDOW = 20_000, 10_000, 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -128,7 +128,10 @@ class BytePairs:
                 raise ValueError("two merges make one token")
             self.splits[made], self.pairs[left, right], self.rank[made] = (left, right), k, k
         self.bytes = {i: self._bytes(w) for w, i in ids.items() if w not in special}
-        self.special, self.table = special, self.bytes | {i: w.encode() for w, i in special.items()}
+        table = self.bytes | {i: w.encode() for w, i in special.items()}
+        self.special, self.letters = special, np.frombuffer(b"".join(table.get(i, b"") for i in range(max(table) + 1)), np.uint8)
+        self.sizes = np.array([len(table.get(i, b"")) for i in range(max(table) + 1)])
+        self.starts = np.cumsum(self.sizes) - self.sizes
         whole = {i for i, w in self.bytes.items() if len(w) == 1}
         if len(whole) != 256:
             raise ValueError("the vocabulary lacks a byte")
@@ -141,6 +144,7 @@ class BytePairs:
         self.columns["key"] = np.array(sorted(auto.go), np.int64)
         self.columns["to"] = np.array([auto.go[k] for k in self.columns["key"].tolist()], np.int64)
         self.fits: dict[int, bool] = {}
+        self.pair, self.pair_fine = np.array([-1]), np.array([False])
         self.words: dict[str, bytes] = {}  # by text behind a space
         self.pieces: dict[str, bytes] = {}  # by pre-token, in the file's letters
         self.pre_tokens = ByteLevel(add_prefix_space=False).pre_tokenize_str
@@ -229,8 +233,7 @@ class BytePairs:
                 begin = end - size[t]
                 asked = np.flatnonzero(begin)
                 fits = np.ones(len(rows), bool)
-                pairs, back = np.unique(last[rows[asked], begin[asked]] << 32 | t[asked], return_inverse=True)
-                fits[asked] = np.fromiter(map(self._fine, pairs.tolist()), bool, len(pairs))[back]
+                fits[asked] = self._fits(last[rows[asked], begin[asked]] << 32 | t[asked])
                 last[rows[fits], end] = t[fits]
                 rows, v = rows[~fits], above[link[v[~fits]]]
         steps, rows, end = [], np.arange(len(order)), lens
@@ -251,6 +254,22 @@ class BytePairs:
             out[i] = whole[x:y]
         return out
 
+    def _fits(self, keys: np.ndarray) -> np.ndarray:
+        """_fine() of many: found among those remembered in order, which take in the new ones some thousand at a time."""
+        at = np.minimum(np.searchsorted(self.pair, keys), len(self.pair) - 1)
+        out, miss = self.pair_fine[at], np.flatnonzero(self.pair[at] != keys)
+        if len(miss):
+            new, back = np.unique(keys[miss], return_inverse=True)
+            out[miss] = np.fromiter(map(self._fine, new.tolist()), bool, len(new))[back]
+            if len(self.fits) > PAIRS_AT_ONCE:
+                held = len(self.pair) < CACHE_PIECES
+                pair = np.concatenate([self.pair[: len(self.pair) if held else 1], np.fromiter(self.fits.keys(), np.int64)])
+                fine = np.concatenate([self.pair_fine[: len(self.pair) if held else 1], np.fromiter(self.fits.values(), bool)])
+                self.pair, first = np.unique(pair, return_index=True)
+                self.pair_fine = fine[first]
+                self.fits.clear()
+        return out
+
     def _go(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
         key = state << 8 | byte
         at = np.minimum(np.searchsorted(self.columns["key"], key), len(self.columns["key"]) - 1)
@@ -295,18 +314,28 @@ class BytePairs:
         new = set().union(*plans).difference(known)
         more = {}  # what isn't held: long stretches
         easy = [w for w in new if w[0].isspace() and not "\x1c" <= w[0] <= "\x1f" and not w[-1].isspace() and len(w) <= LONGEST_HELD]
-        for k in range(0, len(easy), STRETCHES_AT_ONCE):
-            some = easy[k : k + STRETCHES_AT_ONCE]
-            known.update(zip(some, self._learn("".join(some), list(accumulate(map(len, some))))))
-        for w in new.difference(easy):
+        bare = [w for w in new if (not w[0].isspace() or "\x1c" <= w[0] <= "\x1f") and not w[-1].isspace() and len(w) <= LONGEST_HELD]
+        for own, before in ((easy, ""), (bare, "\n")):  # a line end before a text's first stretch is one byte's id
+            for k in range(0, len(own), STRETCHES_AT_ONCE):
+                some = own[k : k + STRETCHES_AT_ONCE]
+                found = self._learn("".join([before + w for w in some]), list(accumulate(len(before) + len(w) for w in some)))
+                known.update(zip(some, [x[4 * len(before) :] for x in found]))
+        for w in new.difference(easy, bare):
             (known if len(w) <= LONGEST_HELD else more)[w] = self._learn(w, [len(w)])[0]
         return [b"".join([more[w] if w in more else known[w] for w in plan] if more else map(known.__getitem__, plan)) for plan in plans]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_batch([text])[0], "<u4").tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        """The text of ids; an IndexError where one is unknown."""
+        ids = np.asarray(ids, np.int64)
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.sizes) or not self.sizes[ids].all()):
+            raise IndexError("an id is not in the vocabulary")
+        sizes = self.sizes[ids]
+        stop = np.cumsum(sizes)
+        at = np.repeat(self.starts[ids] - stop + sizes, sizes)
+        return self.letters[at + np.arange(len(at))].tobytes().decode("utf-8", "replace")
 
 
 #: White space and what follows up to the next, or white space that ends a text. No pre-token spans two stretches, as only
@@ -357,7 +386,7 @@ def token_digests(docs: DataFrame, tokenizer: str, text: str = "text", id_column
             for found in bpe.encode_batch([t.decode("utf-8", "replace") for t in as_bytes(batch.column(1))]):
                 count.append(len(found) // 4)
                 ids.append(hashlib.sha256(found).hexdigest())
-                decoded.append(hashlib.sha256(bpe.decode(np.frombuffer(found, "<u4").tolist()).encode()).hexdigest())
+                decoded.append(hashlib.sha256(bpe.decode(np.frombuffer(found, "<u4")).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=names)
 
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text)).mapInArrow(run, f"doc_id {docs.schema[id_column].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
