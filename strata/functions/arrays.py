@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pandas as pd
@@ -71,16 +70,6 @@ def sharpness(grey: np.ndarray) -> float:
     return float(edges.astype(np.float32).var())
 
 
-def test_vector(text: str, dim: int = 256) -> np.ndarray:
-    """A unit vector that stands in for an embedding in tests: normal numbers drawn from the text's MD5."""
-    seed = int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "big")
-    v = np.random.default_rng(seed).normal(size=dim)
-    return v / (np.linalg.norm(v) + 1e-9)
-
-
-test_vector.__test__ = False
-
-
 def unclipped(points: np.ndarray, ratio: float = 1.5) -> np.ndarray:
     """A rectangle's corners moved outwards by area * ratio / perimeter on each side."""
     p = np.asarray(points, np.float64)
@@ -94,7 +83,8 @@ def unclipped(points: np.ndarray, ratio: float = 1.5) -> np.ndarray:
 
 
 def corners(points: np.ndarray) -> np.ndarray:
-    """Four corners as upper left, upper right, lower right, lower left."""
+    """A rectangle's corners in their order around its centre, clockwise as seen, from the upper left one on."""
     p = np.asarray(points, np.float64)
-    total, lean = p.sum(1), p[:, 1] - p[:, 0]
-    return p[[total.argmin(), lean.argmin(), total.argmax(), lean.argmax()]]
+    out = p - p.mean(0)
+    around = p[np.argsort(np.arctan2(out[:, 1], out[:, 0]), kind="stable")]
+    return np.roll(around, -int(around.sum(1).argmin()), axis=0)

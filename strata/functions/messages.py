@@ -2,33 +2,38 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SLOT = re.compile(r"\{(\w+)\}")
+SLOT = r"\{(\w+)\}"
 FALLBACK = "zh"
 
 
-def fill(template: str, values: Mapping[str, object]) -> str:
-    """{name} becomes the value, unknown ones stay; with n there are s, es and are for its plural."""
-    known = dict(values)
-    if "n" in known:
-        try:
-            one = float(known["n"]) == 1
-        except (TypeError, ValueError):
-            one = False
-        known = {"s": "s" * (not one), "es": "es" * (not one), "are": "is" if one else "are"} | known
-    return SLOT.sub(lambda m: str(known.get(m[1], m[0])), template)
+def plural(n: Column) -> dict[str, Column]:
+    """The endings that follow a number in English templates: s, es and are."""
+    single = F.coalesce(n.cast("string").try_cast("double") == 1, F.lit(False))
+    return {"s": F.when(single, "").otherwise("s"), "es": F.when(single, "").otherwise("es"), "are": F.when(single, "is").otherwise("are")}
 
 
-def say(key: str, tables: Mapping[str, Mapping[str, str]], lang: str, **values: object) -> str:
-    """The text of a key in a language, else in the fallback, else the key."""
-    found = tables.get(lang, {}).get(key)
-    text = tables.get(FALLBACK, {}).get(key, key) if found is None else found
-    return fill(text, values) if values else text
+def filled(template: Column, **values: Column) -> Column:
+    """The template with every {name} that has a value replaced by it, others left as they stand; a number n brings its plural along.
+
+    Values aren't read as templates again. A null value reads as nothing.
+    """
+    known = (plural(values["n"]) if "n" in values else {}) | values
+    named = F.create_map(*(x for k, v in known.items() for x in (F.lit(k), F.coalesce(v.cast("string"), F.lit(""))))) if known else F.create_map().cast("map<string,string>")
+    between, slots = F.split(template, SLOT), F.regexp_extract_all(template, F.lit(SLOT), F.lit(1))
+    shown = F.transform(slots, lambda k: F.coalesce(F.try_element_at(named, k), F.concat(F.lit("{"), k, F.lit("}"))))
+    return F.array_join(F.zip_with(between, shown, lambda text, value: F.concat(text, F.coalesce(value, F.lit("")))), "")
+
+
+def said(key: Column, tables: Mapping[str, Mapping[str, str]], lang: Column, **values: Column) -> Column:
+    """The text of a key in the row's language, else in the fallback, else the key itself, filled in."""
+    words = F.create_map(*(F.lit(x) for code, own in tables.items() for k, text in own.items() for x in (f"{code}/{k}", text)))
+    in_ = lambda code: F.try_element_at(words, F.concat(code, F.lit("/"), key))
+    return filled(F.coalesce(in_(lang), in_(F.lit(FALLBACK)), key), **values)
 
 
 #: Stored reasons with a part of their own: pattern, key, name of the part. The patterns are fixed by what is stored.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,12 @@ from pyspark.sql import functions as F
 
 from strata.constants import DUPLICATE, PLAIN
 from strata.functions import arrays, media, messages, text, vectors
-from strata.operators import audit, classify, dedupe, export, filters, geo, ingest, mutate, recovery, rollups, search
+from strata.operators import audit, categories, classify, dedupe, export, filters, geo, ingest, mutate, recovery, rollups, search
 from strata.operators.filters import Filter
 from strata.plans import fixtures as fx
 from strata.plans.fixtures import sql
-from strata.sources import media_files
+from strata.sources import media_files, media_ranges
+from strata.sources.shared import shared_dir
 
 DIM = 64  # of the test vectors
 Query = Callable[[SparkSession, str], DataFrame]
@@ -850,10 +852,10 @@ def s18_movie_times(spark, d):
     new = F.concat(F.lit("01000000"), word(F.lit(2082844800 + 1704067200) + i * 60, 8), word(F.lit(0), 4))  # version 1: 64 bits
     box = lambda kind, body: F.concat(word(F.length(body) / 2 + 8, 4), F.lit(kind.encode().hex()), body)
     movie = F.concat(box("ftyp", F.lit("71742020")), box("moov", box("mvhd", F.when(i % 3 == 0, old).otherwise(new))))
-    own = fx.files(spark, d).select("id", F.when(i % 3 != 1, F.unhex(movie)).otherwise(F.unhex(F.lit("00000000"))).alias("content"))
-    facts = own.select("id", media_files.video_facts("content").alias("f"))
-    seconds = F.col("f.created")
-    return facts.select("id", (seconds - 2082844800).alias("created"), media.capture_time(F.lit(None).cast("string"), seconds, F.lit(None).cast("timestamp")).cast("timestamp_ntz").alias("at"))
+    own = fx.files(spark, d).select(F.concat(F.lit("m"), i.cast("string"), F.lit(".mp4")).alias("name"), F.when(i % 3 != 1, F.unhex(movie)).otherwise(F.unhex(F.lit("00000000"))).alias("content"))
+    facts = media_ranges.read_media(spark, media_ranges.write_files(own, f"{shared_dir(spark)}/strata-movies-{uuid.uuid4().hex}"), "created")
+    seconds = F.col("created")
+    return facts.select(F.regexp_extract("name", "[0-9]+", 0).cast("long").alias("id"), (seconds - 2082844800).alias("created"), media.capture_time(F.lit(None).cast("string"), seconds, F.lit(None).cast("timestamp")).cast("timestamp_ntz").alias("at"))
 
 
 @query("SELECT doc_id, md5(regexp_replace(lower(text), '[\\s,，、。.·:：;；''\"「」『』()（）\\[\\]【】\\-_—~～|/\\\\]', '', 'g')) AS norm FROM documents")
@@ -897,6 +899,37 @@ def t10_messages(spark, d):
     return fx.files(spark, d).select("id", messages.reason(F.col("reason"), words, templates).alias("words"), full.alias("full_path"), messages.relative(full, "lib").alias("short"))
 
 
+SAID = {"zh": {"k0": "{n} 個項目", "k1": "甲 {who}"}, "en": {"k0": "{n} item{s} {are} by {who}", "k2": "{n} box{es} {odd}"}}
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN CASE WHEN event_id % 3 = 1 THEN (event_id % 5) || ' item' || CASE WHEN event_id % 5 = 1 THEN ' is' ELSE 's are' END || ' by ' || event_type ELSE (event_id % 5) || ' 個項目' END
+  WHEN 1 THEN '甲 ' || event_type WHEN 2 THEN CASE WHEN event_id % 3 = 1 THEN (event_id % 5) || ' box' || CASE WHEN event_id % 5 = 1 THEN '' ELSE 'es' END || ' {odd}' ELSE 'k2' END ELSE 'k3' END AS said FROM events""")
+def t9_said(spark, d):
+    i = F.col("event_id")
+    key, lang = F.concat(F.lit("k"), (i % 4).cast("string")), F.element_at(F.array(*map(F.lit, ("zh", "en", "fr"))), (i % 3 + 1).cast("int"))
+    return fx.table(spark, d, "events").select("event_id", messages.said(key, SAID, lang, n=i % 5, who=F.col("event_type")).alias("said"))
+
+
+@query("SELECT event_id, event_type || ' {x} ' || event_id || CASE WHEN event_id = 1 THEN '' ELSE 's' END || ' {other}' AS line FROM events")
+def t8_filled(spark, d):
+    return fx.table(spark, d, "events").select("event_id", messages.filled(F.lit("{what} {n}{s} {other}"), what=F.concat("event_type", F.lit(" {x}")), n=F.col("event_id")).alias("line"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(bare) NOT BETWEEN 1 AND 20 OR regexp_matches(bare, '[<>:"/\\\\|?*.\\x00-\\x1f]') THEN 'form' WHEN bare = '未分類' THEN 'reserved' WHEN regexp_full_match(bare, 'cat_[0-6]') THEN 'taken' END AS fault FROM
+  (SELECT doc_id, regexp_extract(coalesce(CASE doc_id % 6 WHEN 0 THEN 'cat_' || (doc_id % 9) WHEN 1 THEN ' 未分類 ' WHEN 2 THEN substr(text, 1, (doc_id % 24)::INT) WHEN 3 THEN 'a/' || doc_id WHEN 4 THEN repeat('x', (doc_id % 30)::INT) END, ''), '(?s)\\S(?:.*\\S)?') AS bare FROM documents)""")
+def f11_name_fault(spark, d):
+    i = F.col("doc_id")
+    name = F.when(i % 6 == 0, F.concat(F.lit("cat_"), (i % 9).cast("string"))).when(i % 6 == 1, " 未分類 ").when(i % 6 == 2, F.expr("substr(text, 1, int(doc_id % 24))")).when(i % 6 == 3, F.concat(F.lit("a/"), i.cast("string"))).when(i % 6 == 4, F.repeat(F.lit("x"), (i % 30).cast("int")))
+    return fx.table(spark, d, "documents").select("doc_id", categories.name_fault(name, fx.CATEGORIES).alias("fault"))
+
+
+@query("""SELECT doc_id, len(found) AS n, md5(array_to_string(found, chr(10))) AS found FROM
+  (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')[1:12] AS found FROM documents)""")
+def f12_descriptions(spark, d):
+    found = categories.descriptions(F.col("text"))
+    return fx.table(spark, d, "documents").select("doc_id", F.size(found).cast("long").alias("n"), F.md5(F.array_join(found, "\n")).alias("found"))
+
+
 @query("SELECT event_id, strftime(ts, '%Y%m%d-%H%M%S') || '-' || substr(md5(event_id::VARCHAR), 1, 6) AS batch, CASE event_id % 4 WHEN 0 THEN 'zh' WHEN 1 THEN 'en' ELSE '' END AS lang FROM events")
 def d6_batch_id(spark, d):
     codes = F.element_at(F.array(*(F.lit(x) for x in ("zh_TW", "EN-us.utf8", "fr-FR", ""))), (F.col("event_id") % 4 + 1).cast("int"))

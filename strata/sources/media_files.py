@@ -6,9 +6,12 @@ import codecs
 import io
 import struct
 import zipfile
+from collections.abc import Iterator
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,37 +58,59 @@ def decode_text(content: bytes | None, limit: int = TEXT_LIMIT) -> str:
     return raw.decode("utf-8", "ignore").strip()[:limit]
 
 
-def boxes(data: bytes, start: int = 0, end: int | None = None):
-    """(kind, first, end) of the boxes of an MP4 file."""
-    end = len(data) if end is None else end
+class Ranges:
+    """A file, or bytes, read by ranges; ``touched`` counts what has been read."""
+
+    def __init__(self, source: pa.NativeFile | bytes):
+        self.file = pa.BufferReader(source) if isinstance(source, bytes) else source
+        self.size, self.touched = self.file.size(), 0
+
+    def read(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        found = self.file.read(max(0, min(n, self.size - at)))
+        self.touched += len(found)
+        return found
+
+
+def boxes(source: Ranges, start: int = 0, end: int | None = None) -> Iterator[tuple[bytes, int, int]]:
+    """(kind, first, end) of an MP4 file's boxes between two places, by reading their headers alone; ends where one is damaged."""
+    end = source.size if end is None else end
     while start + 8 <= end:
-        size, kind = struct.unpack_from(">I4s", data, start)
-        head = 8
-        if size == 1 and start + 16 <= end:
-            size, head = struct.unpack_from(">Q", data, start + 8)[0], 16
-        elif size == 0:
-            size = end - start
-        if size < head or start + size > end:
+        head = source.read(start, 16)
+        size, kind, first = int.from_bytes(head[:4], "big"), head[4:8], start + 8
+        if size == 1 and len(head) == 16:
+            size, first = int.from_bytes(head[8:], "big"), start + 16
+        after = end if size == 0 else start + size
+        if not first <= after <= end:
             return
-        yield kind, start + head, start + size
-        start += size
+        yield kind, first, after
+        start = after
+
+
+def movie_part(source: Ranges) -> tuple[int, int] | None:
+    """Where the moov box's content lies, unless it is damaged or larger than 64 MiB."""
+    found = next(((a, b) for kind, a, b in boxes(source) if kind == b"moov"), None)
+    return found if found and found[1] - found[0] <= MOOV_LIMIT else None
+
+
+def created(source: Ranges, part: tuple[int, int] | None) -> int | None:
+    """Seconds since 1904 from the mvhd box in that part; what lies around it isn't read."""
+    for kind, first, end in boxes(source, *part) if part else ():
+        if kind == b"mvhd" and end - first >= 12:
+            head = source.read(first, 12)
+            return int.from_bytes(head[4:12] if head[0] == 1 else head[4:8], "big")
+    return None
 
 
 def movie_header(data: bytes | None) -> bytes | None:
     """The moov box, unless it is damaged or larger than 64 MiB."""
-    for kind, first, end in boxes(data or b""):
-        if kind == b"moov":
-            return data[first:end] if end - first <= MOOV_LIMIT else None
-    return None
+    part = movie_part(Ranges(data or b""))
+    return data[slice(*part)] if part else None
 
 
 def creation_seconds(moov: bytes | None) -> int | None:
     """Seconds since 1904 from the mvhd box."""
-    for kind, first, end in boxes(moov or b""):
-        if kind == b"mvhd" and end - first >= 12:
-            version = moov[first]
-            return struct.unpack_from(">Q" if version == 1 else ">I", moov, first + 4)[0]
-    return None
+    return created(Ranges(moov or b""), (0, len(moov or b"")))
 
 
 @F.pandas_udf(T.StructType([T.StructField("moov", T.BinaryType()), T.StructField("created", T.LongType())]))
@@ -99,10 +124,10 @@ WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 XML_LIMIT = 64 << 20  # bytes of a document's main part
 
 
-def docx_text(content: bytes | None, limit: int = TEXT_LIMIT) -> str | None:
+def docx_text(content: bytes | BinaryIO | None, limit: int = TEXT_LIMIT) -> str | None:
     """Paragraphs of a DOCX file, one a line; None if it can't be read as one."""
     try:
-        with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+        with zipfile.ZipFile(io.BytesIO(content or b"") if isinstance(content, bytes | None) else content) as z:
             if z.getinfo("word/document.xml").file_size > XML_LIMIT:
                 return None
             raw = z.read("word/document.xml")

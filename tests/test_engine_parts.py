@@ -1,6 +1,7 @@
 """Neighbours, categories, sessions, readers and helpers against brute force and hand-made cases."""
 
 import gzip
+import hashlib
 import io
 import json
 import os
@@ -20,10 +21,15 @@ from strata.sources.shared import shared_dir
 from strata.sources.snapshots import Snapshots
 from strata.streaming import sessions
 
-
 SF = "/root/testdata/sf0.001"
 
 
+def drawn_vector(text: str, dim: int = 256) -> np.ndarray:
+    """A unit vector that stands in for an embedding: normal numbers drawn from the text's MD5."""
+    v = np.random.default_rng(int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "big")).normal(size=dim)
+    return v / (np.linalg.norm(v) + 1e-9)
+
+
 def brute_near(rows, threshold, most):
     out = []
     for i, v in rows:
@@ -96,10 +102,32 @@ def test_categories(spark):
     assert {r.text for r in own.prototype_texts(spark).collect()} == {"Food: a meal", "Shots: a screen", "Papers: a form"}
 
 
-def test_messages():
-    assert messages.fill("{n} item{s} {are} in {place}", {"n": 1}) == "1 item is in {place}" and messages.fill("{n} box{es}", {"n": 2}) == "2 boxes"
-    tables = {"zh": {"a": "甲", "b": "{x} 乙"}, "en": {"a": "A"}}
-    assert [messages.say(k, tables, "en", x=1) for k in ("a", "b", "c")] == ["A", "1 乙", "c"]
+def test_messages(spark):
+    tables = {"zh": {"a": "甲", "b": "{x} 乙"}, "en": {"a": "{n} item{s} {are} in {place}", "c": "{n} box{es}"}}
+    rows = [("a", "en", "1", "{x}"), ("c", "en", "2", None), ("b", "en", "1.0", "q"), ("b", "fr", "x", "{n}"), ("d", "en", None, "q"), (None, "en", "1", "q"), ("c", None, "1", "")]
+    own = spark.createDataFrame(rows, "key string, lang string, n string, x string")
+    got = own.select(messages.said(F.col("key"), tables, F.col("lang"), n=F.col("n"), x=F.col("x")).alias("t")).collect()
+    assert [r.t for r in got] == ["1 item is in {place}", "2 boxes", "q 乙", "{n} 乙", "d", None, "c"]
+    assert own.select(messages.filled(F.lit("{a}{x}"), x=F.col("x")).alias("t")).first().t == "{a}{x}"
+    assert own.select(messages.filled(F.lit("{a} b")).alias("t")).first().t == "{a} b"
+
+
+def test_name_and_description_columns(spark):
+    own = Categories({"Food": ["a meal"], "Shots": ["a screen"]}, {}, "Shots", "Food")
+    names = ["", None, " ", "ok", " ok ", "Food", "x" * 20, "x" * 21, "a/b", "a.b", "a\\b", "a\nb", categories.UNSORTED, "日" * 20, "two words"]
+    got = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").select("i", categories.name_fault(F.col("n"), own.names).alias("f")).orderBy("i").collect()
+    for n, r in zip(names, got):
+        try:
+            own.checked_name(n)
+            assert r.f is None, n
+        except ValueError as e:
+            assert (r.f or "none") in str(e) or r.f == "form", n
+    texts = ["cats\n\n dogs \n", "", None, "a\r\nb\x0bc", "\n".join(map(str, range(20))), "one"]
+    for t, r in zip(texts, spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", categories.descriptions(F.col("t")).alias("d")).orderBy("i").collect()):
+        try:
+            assert r.d == categories.clean_descriptions(t or "")
+        except ValueError:
+            assert r.d == []
 
 
 def test_settings_and_gazetteer(spark, tmp_path):
@@ -249,8 +277,8 @@ def test_ctc_and_boxes(spark):
     assert np.allclose(arrays.corners(square[[2, 0, 3, 1]]), square)
     flat, edge = np.full((8, 8), 7), np.tile([0, 0, 0, 0, 200, 200, 200, 200], (8, 1))
     assert arrays.sharpness(edge) > arrays.sharpness(flat)
-    v = arrays.test_vector("x", 64)
-    assert abs(np.linalg.norm(v) - 1) < 1e-6 and np.allclose(v, arrays.test_vector("x", 64)) and not np.allclose(v, arrays.test_vector("y", 64))
+    v = drawn_vector("x", 64)
+    assert abs(np.linalg.norm(v) - 1) < 1e-6 and np.allclose(v, drawn_vector("x", 64)) and not np.allclose(v, drawn_vector("y", 64))
     box = lambda text, left, top, height=10: (text, left, top, left + 5, top + height)
     # a line's first box is its anchor: c is within half a height of b, but not of a
     rows = [(1, [box("b", 20, 4), box("a", 0, 0), box("c", 40, 9), box("z", 0, 30)]), (2, []), (3, [box("q", 9, 0, 40), box("p", 0, 20, 10)])]
