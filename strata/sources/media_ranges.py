@@ -29,20 +29,20 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strata.constants import DOCUMENT_EXTENSIONS, IMAGE_EXTENSIONS, VIDEO_EXTENSIONS
 from strata.functions.text import kind_of
-from strata.sources import media_files as mf
+from strata.sources.media_files import IMAGE_FIELDS, SKIPPED_NAMES, TEXT_LIMIT, Ranges, created, decode_text, docx_text, image_header, movie_part
 
 PIECE, HEAD, HEADERS = 1 << 20, 1 << 18, 1 << 12  # bytes of a digest's step, of an image's first part, of a movie's headers as planned
 BYTES_A_TASK, FILES_A_TASK = 128 << 20, 10_000
 
-FACTS = {"created": T.LongType(), "moov": T.BinaryType(), "exif": T.StructType([T.StructField(n, T.ArrayType(T.DoubleType()) if n in ("lat", "lon") else T.StringType()) for n in mf.IMAGE_FIELDS]), "text": T.StringType(), "sha256": T.StringType()}
+FACTS = {"created": T.LongType(), "moov": T.BinaryType(), "exif": T.StructType([T.StructField(n, T.ArrayType(T.DoubleType()) if n in ("lat", "lon") else T.StringType()) for n in IMAGE_FIELDS]), "text": T.StringType(), "sha256": T.StringType()}
 
 
-def moov(source: mf.Ranges) -> bytes | None:
-    part = mf.movie_part(source)
+def moov(source: Ranges) -> bytes | None:
+    part = movie_part(source)
     return source.read(part[0], part[1] - part[0]) if part else None
 
 
-def digest(source: mf.Ranges) -> str:
+def digest(source: Ranges) -> str:
     out = hashlib.sha256()
     for at in range(0, source.size, PIECE):
         out.update(source.read(at, PIECE))
@@ -52,7 +52,7 @@ def digest(source: mf.Ranges) -> str:
 class _Document:
     """What zipfile needs of a file, counted by its Ranges."""
 
-    def __init__(self, source: mf.Ranges):
+    def __init__(self, source: Ranges):
         self.source, self.at = source, 0
 
     def seekable(self) -> bool:
@@ -71,17 +71,17 @@ class _Document:
         return found
 
 
-def text(source: mf.Ranges, name: str) -> str | None:
+def text(source: Ranges, name: str) -> str | None:
     """The beginning of a document's text; of DOCX the main part alone is unpacked; None for PDF."""
     low = name.lower()
     if low.endswith(".pdf"):
         return None
-    return mf.docx_text(_Document(source)) if low.endswith(".docx") else mf.decode_text(source.read(0, 4 * mf.TEXT_LIMIT + 1))
+    return docx_text(_Document(source)) if low.endswith(".docx") else decode_text(source.read(0, 4 * TEXT_LIMIT + 1))
 
 
 def _cost(name: str, size: int, asked: tuple[str, ...]) -> int:
     """About how many bytes a file's row takes."""
-    return size if "sha256" in asked else min(size, HEADERS + HEAD * ("exif" in asked) + 4 * mf.TEXT_LIMIT * ("text" in asked) + (1 << 20) * ("moov" in asked and _kind(name) == "video"))
+    return size if "sha256" in asked else min(size, HEADERS + HEAD * ("exif" in asked) + 4 * TEXT_LIMIT * ("text" in asked) + (1 << 20) * ("moov" in asked and _kind(name) == "video"))
 
 
 def _kind(name: str) -> str:
@@ -107,7 +107,7 @@ class MediaReader(DataSourceReader):
         found: dict[str, tuple] = {}
         for f in store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
             below = f.path[len(root.rstrip("/")) :].strip("/").split("/")
-            if f.type == fs.FileType.File and not any(x[:1] in (".", "$") for x in below) and f.base_name.lower() not in mf.SKIPPED_NAMES:
+            if f.type == fs.FileType.File and not any(x[:1] in (".", "$") for x in below) and f.base_name.lower() not in SKIPPED_NAMES:
                 row = (f.path, f.base_name, f.size, f.mtime)
                 found[f.path.lower()] = min(row, found.get(f.path.lower(), row))
         out, held, cost = [], [], 0
@@ -126,8 +126,8 @@ class MediaReader(DataSourceReader):
         for path, name, size, modified in partition.files:
             try:
                 with store.open_input_file(path) as f:
-                    source = mf.Ranges(f)
-                    how = {"created": lambda s: mf.created(s, mf.movie_part(s)), "moov": moov, "exif": lambda s: tuple(mf.image_header(s.read(0, HEAD)).values()), "text": lambda s: text(s, name), "sha256": digest}  # noqa: B023
+                    source = Ranges(f)
+                    how = {"created": lambda s: created(s, movie_part(s)), "moov": moov, "exif": lambda s: tuple(image_header(s.read(0, HEAD)).values()), "text": lambda s: text(s, name), "sha256": digest}  # noqa: B023
                     facts = [how[a](source) if _kind(name) in of_kind[a] else None for a in self.asked]
                     yield (path, name, source.size, modified.astimezone(timezone.utc) if modified else None, *facts, source.touched)
             except FileNotFoundError:
