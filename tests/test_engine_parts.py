@@ -58,6 +58,29 @@ def test_near_earlier(spark, monkeypatch, threshold, most):
     assert neighbours.near_earlier(table.limit(0), threshold).collect() == []
 
 
+def test_cells_prune(spark, monkeypatch):
+    """Clusters whose members have a cosine of 0.5: at 0.97 few pairs meet, though one vector is long, and few of those are multiplied whole."""
+    monkeypatch.setattr(neighbours, "ASKED_ROWS", 25)
+    monkeypatch.setattr(neighbours, "COPY", 20)
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(40, 64)) / 8
+    v = np.repeat(centres, 50, axis=0) + r.normal(size=(2000, 64)) / 8
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v[1::50] = v[::50] + 0.01 * r.normal(size=(40, 64))  # near copies
+    v[7] *= 50
+    own = spark.createDataFrame([(i, "x", x.tolist()) for i, x in enumerate(v)], "id long, label string, vec array<double>")
+    layouts = neighbours._layouts(own, 0.97)
+    asked, met = neighbours.in_cells(own, own, layouts, 0.97)
+    a, b = ({r.cell: r["count"] for r in df.groupBy("cell").count().collect()} for df in (asked, met))
+    assert sum(n * b.get(c, 0) for c, n in a.items()) < 0.2 * 2000**2 and sum(b.values()) <= 10 * 2000
+    got = {x.id: (x.other, round(x.sim, 9)) for x in neighbours.near_earlier(own.select("id", "vec"), 0.97).collect()}
+    assert got == {i: (j, s) for i, j, s in brute_near(list(enumerate(v)), 0.97, 1)} and len(got) >= 40
+    able = np.ones((500, 500), bool)
+    row, other, sim = neighbours._reaching(v[500:1000], v[1000:1500], able, layouts[64].axes, 0.97)
+    whole = v[500:1000] @ v[1000:1500].T
+    assert set(zip(row.tolist(), other.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(whole >= 0.97))))
+
+
 @pytest.mark.parametrize("held", [64 << 20, 900])
 def test_nearest_examples(spark, monkeypatch, held):
     monkeypatch.setattr(neighbours, "HELD_BYTES", held)
