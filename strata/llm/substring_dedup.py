@@ -15,8 +15,12 @@ node whose union, all bytes its stretches touch, has a partner holds nothing but
 repeats; any other is split, and its parts inherit the bucket identifier, refined
 by identifiers at their own offsets.
 
+Where a text repeats itself at a distance below SPAN, anchors would stand at every period: such runs are settled at once
+(see periodic).
+
 Defined results: a null text is empty; texts shorter than ``length`` keep all
-bytes; repeated rows are repeats of each other; matches never cross documents.
+bytes; repeated rows are repeats of each other; matches never cross documents. Rows are
+told apart by a 64-bit hash of id and text; of different rows with one hash each would lose the other's bytes too.
 """
 
 from __future__ import annotations
@@ -83,6 +87,28 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int)
     return at, full[at]
 
 
+def periodic(at: np.ndarray, bucket: np.ndarray, data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which anchors are needed, runs): anchors with one bucket at equal distances d mark a run (first, end) of period d.
+
+    In a run of ``length`` + d bytes or more every stretch is also found d bytes before or after, so all of it goes. As
+    partners of other texts' stretches the first d of its stretches are enough: anchors that answer for later ones alone are left out.
+    """
+    needed, runs = np.ones(len(at), bool), []
+    step = np.diff(at)
+    linked = (bucket[1:] == bucket[:-1]) & (step < SPAN) & (np.searchsorted(ends, at[1:], "right") == np.searchsorted(ends, at[:-1], "right"))
+    change = np.flatnonzero(np.diff(np.where(linked, step, 0), prepend=0, append=0))
+    for i, j in zip(change, change[1:]):  # links i to j - 1 are alike
+        if not linked[i] or at[j] + Q - at[i] < length + step[i]:
+            continue
+        first, end, d = int(at[i]), int(at[j]) + Q, int(step[i])
+        if not np.array_equal(data[first : end - d], data[first + d : end]):  # buckets are hashes
+            continue
+        runs.append((first, end))
+        own = slice(i, j + 1)
+        needed[own] &= (at[own] - (SPAN - 1) < first + d) | (at[own] > end - length)
+    return needed, np.array(runs, np.int64).reshape(-1, 2)
+
+
 def _blocks(texts: list[bytes], length: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Texts side by side in pieces of bounded size: (row of each stretch of text, its first byte's place in the text, data, starts, ends).
 
@@ -112,18 +138,24 @@ def _joined(rows: list[int], firsts: list[int], parts: list[bytes]):
     return rows, np.array(firsts, np.int64), np.frombuffer(b"".join(parts), np.uint8), ends - sizes, ends
 
 
-def text_anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place in the text, bucket) of all anchors, each once."""
-    found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)]
+def text_anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in the text, bucket) of all anchors, each once, and (row, first, end) of periodic runs."""
+    found, runs = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)], [np.zeros((0, 3), np.int64)]
     for rows, firsts, data, starts, ends in _blocks(texts, length):
         at, bucket = anchors(data, starts, ends, length)
+        needed, own = periodic(at, bucket, data, ends, length)
+        row = np.array(rows, np.int64)
+        if len(own):
+            k = np.searchsorted(ends, own[:, 0], side="right")
+            runs.append(np.column_stack([row[k], own + (firsts - starts)[k][:, None]]))
+        at, bucket = at[needed], bucket[needed]
         k = np.searchsorted(ends, at, side="right")
-        found.append((np.array(rows, np.int64)[k], at - starts[k] + firsts[k], bucket))
+        found.append((row[k], at - starts[k] + firsts[k], bucket))
     row, place, bucket = map(np.concatenate, zip(*found))
     if any(len(t) > PIECE for t in texts):  # the pieces of a long text overlap
         _, first = np.unique(np.column_stack([row, place]), axis=0, return_index=True)
         row, place, bucket = row[first], place[first], bucket[first]
-    return row, place, bucket
+    return row, place, bucket, np.concatenate(runs)
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -169,7 +201,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts, keys = as_bytes(batch.column("text")), batch.column("key").to_numpy()
-            row, place, bucket = text_anchors(texts, length)
+            row, place, bucket, runs = text_anchors(texts, length)
             union = np.empty(len(row), np.uint64)
             for i, (r, p) in enumerate(zip(row.tolist(), place.tolist())):
                 t = texts[r]
@@ -177,12 +209,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
                 union[i] = xxhash.xxh3_64_intdigest(t[lo:hi], seed=(p - lo) * 1024 + min(hi, len(t)) - p)
             for k in range(0, len(row), 1 << 17):
                 s = slice(k, k + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[row[s]]), pa.array(place[s]), pa.array(bucket[s].view(np.int64)), pa.array(union[s].view(np.int64))], names=["key", "place", "core", "union"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[row[s]]), pa.array(place[s]), pa.array(bucket[s].view(np.int64)), pa.array(union[s].view(np.int64)), pa.nulls(len(row[s]), pa.int64())], names=["key", "place", "core", "union", "until"])
+            none = pa.nulls(len(runs), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys[runs[:, 0]]), pa.array(runs[:, 1]), none, none, pa.array(runs[:, 2])], names=["key", "place", "core", "union", "until"])
 
     # Round 1: whole stretches around each anchor.
-    nodes = scratch.put(base.select("key", "text").mapInArrow(find, "key long, place long, core long, union long"))
-    shared = scratch.put(_shared(nodes))
-    row_nodes = nodes.join(shared, "core").groupBy("key").agg(F.collect_set(F.struct("place", "core", (F.col("least") == F.col("most")).alias("all"), "union")).alias("anchors"))  # bounded by the text's own anchors
+    nodes = scratch.put(base.select("key", "text").mapInArrow(find, "key long, place long, core long, union long, until long"))
+    shared = scratch.put(_shared(nodes.where("until is null")))
+    settled = nodes.where("until is not null").select("key", "place", "core", F.lit(True).alias("all"), "union", "until")
+    row_nodes = nodes.join(shared, "core").select("key", "place", "core", (F.col("least") == F.col("most")).alias("all"), "union", "until").unionByName(settled)
+    row_nodes = row_nodes.groupBy("key").agg(F.collect_set(F.struct("place", "core", "all", "union", "until")).alias("anchors"))  # bounded by the text's own anchors
     schema = f"doc_id {kind}, key long, {RESULT}, kept binary, text binary, spans binary, open array<struct<place:long,core:long,union:long>>"
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +228,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
             texts = as_bytes(batch.column("text"))
             spans, open_, finished = [], [], []
             for t, own in zip(texts, batch.column("anchors").to_pylist()):
-                known = [(max(0, a["place"] - reach), min(len(t), a["place"] + length)) for a in own or () if a["all"]]
+                known = [(a["place"], a["until"]) if a["until"] else (max(0, a["place"] - reach), min(len(t), a["place"] + length)) for a in own or () if a["all"]]
                 rest = [{"place": a["place"], "core": a["core"], "union": a["union"]} for a in own or () if not a["all"]]
                 spans.append(np.array(known, np.int64).reshape(-1, 2))
                 open_.append(rest or None)

@@ -67,15 +67,37 @@ def test_repeats_repeated_rows_null_ids_and_empty(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+@pytest.mark.parametrize("piece", [1 << 20, 900])
+def test_repeats_in_periodic_texts(spark, monkeypatch, piece):
+    monkeypatch.setattr(substring_dedup, "PIECE", piece)
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    units = ["A", "abc", word(7), word(100), word(190), word(191), word(192), word(193)]
+    texts = [word(300) + (u * 4000)[:n] + word(200) for u in units for n in (399, 401 + len(u), 790, 1700, 3100)]
+    texts += ["A" * 399, "A" * 400, "x" + "A" * 400 + "y", ("abc" * 200)[1:401], ("abc" * 200)[:402] + "abd" * 300, (units[5] * 5)[50:450], (units[3] * 9)[37:437] + word(30)]
+    texts += ["B" * 400, "C" * 401, ("-" * 1200 + word(3)) * 4, ("=" * 900 + "!") * 3, units[4] * 3 + word(50) + units[4] * 12, units[6] * 3]
+    got = substring_dedup.remove_repeats(table(spark, texts)).collect()
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got} == dict(enumerate(brute_repeats(texts)))
+
+
+def test_few_anchors_in_periodic_texts():
+    r = random.Random(2)
+    prose = bytes(r.choice(b"abcdefgh ") for _ in range(300_000))
+    usual = len(substring_dedup.text_anchors([prose], 400)[0])
+    for unit in (b"A", b"abc", prose[:191]):
+        row, place, _, runs = substring_dedup.text_anchors([b"x" * 3 + (unit * 300_000)[:300_000] + b"y" * 3], 400)
+        assert len(row) < min(usual, 800) and len(runs) == 1 and runs[0, 2] - runs[0, 1] > 299_000
+
+
 def test_repeats_long_text_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "PIECE", 700)
     r = random.Random(5)
     a = "".join(r.choice("abcdefgh") for _ in range(5000))
     texts = [a, "q" * 40 + a[1000:3100] + "r" * 500, a[4000:4500]]
     for t in texts:
-        want = {(p, b) for p, b in zip(*(x.tolist() for x in substring_dedup.text_anchors([t.encode()], 400)[1:]))}
+        want = {(p, b) for p, b in zip(*(x.tolist() for x in substring_dedup.text_anchors([t.encode()], 400)[1:3]))}
         monkeypatch.setattr(substring_dedup, "PIECE", 1 << 20)
-        assert want == {(p, b) for p, b in zip(*(x.tolist() for x in substring_dedup.text_anchors([t.encode()], 400)[1:]))}
+        assert want == {(p, b) for p, b in zip(*(x.tolist() for x in substring_dedup.text_anchors([t.encode()], 400)[1:3]))}
         monkeypatch.setattr(substring_dedup, "PIECE", 700)
 
 
