@@ -43,7 +43,7 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    return filter_urls(pages, RULES, blocklist_labels(pages))
+    return filter_urls(pages, RULES, blocklist_labels(pages), folds=5)  # the labels come from the judged URLs
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

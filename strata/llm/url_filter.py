@@ -10,7 +10,7 @@ read labels off the terms that a labelled list was made by.
 Defined results: a null URL, or one without ://, has an empty host and path and is
 judged by the trees; repeated rows are judged alike; without labelled URLs, or with
 one label alone, that label (else allow) holds for all; a URL that is labelled both
-ways counts both ways; columns beside the id and the URL are passed over,
+ways counts both ways; URLs of any length are read whole; columns beside the id and the URL are passed over,
 whatever their names.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import bounded_sample
+from strata.llm.common import bounded_sample, slices
 
 SPLIT = re.compile(r"^(.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$", re.S)
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -176,18 +177,41 @@ def labelled_sample(labelled: DataFrame, most_labelled: int) -> tuple[list[str],
     return [u for u, _ in rows], [v for _, v in rows]
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], labelled: DataFrame, url: str = "url", id_column: str = "page_id", most_labelled: int = 20_000, threshold: float = 0.5) -> DataFrame:
-    """(page_id, host, path, rule, verdict, score) per row; labelled has url and label (1: block)."""
-    model = fit(*labelled_sample(labelled, most_labelled))
+def site_fold(url: str | None, folds: int) -> int:
+    """By the last two labels of the host, so that a site lies in one fold."""
+    return zlib.crc32(suffixes(url)[1].encode("utf-8", "replace")) % folds
+
+
+def fit_folds(urls: list[str], labels: list[int], folds: int) -> list[Model]:
+    """A model for each fold, fitted on the others; for one fold, one on all."""
+    own = [site_fold(u, folds) for u in urls]
+    inside = [[i for i, f in enumerate(own) if folds == 1 or f != k] for k in range(folds)]
+    return [fit([urls[i] for i in some], [labels[i] for i in some]) for some in inside]
+
+
+def filter_urls(pages: DataFrame, rules: list[Rule], labelled: DataFrame, url: str = "url", id_column: str = "page_id", most_labelled: int = 20_000, threshold: float = 0.5, folds: int = 1) -> DataFrame:
+    """(page_id, host, path, rule, verdict, score) per row; labelled has url and label (1: block).
+
+    With several ``folds`` each URL is judged by trees that have seen no label of its site: where the judged URLs are
+    those that labels were drawn from, the verdicts then say what the trees know and not what they remember.
+    """
+    models = fit_folds(*labelled_sample(labelled, most_labelled), folds)
     book, least = Rules(rules), math.log(threshold / (1 - threshold))
     kind = pages.schema[id_column].dataType.simpleString()
 
+    def scored(urls: list[str | None]) -> np.ndarray:
+        out, fold = np.empty(len(urls)), np.array([site_fold(u, folds) for u in urls], np.int64)
+        for k in np.unique(fold).tolist():
+            own = np.flatnonzero(fold == k)
+            out[own] = models[k].score([urls[i] for i in own])
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             urls = batch.column(1).to_pylist()
             found = [parts(u) for u in urls]
             hits = [book.find(h, p) for h, p, _ in found]
-            scores = model.score(urls)
+            scores = scored(urls)
             verdict = [r.verdict if r else ("block" if s > least else "allow") for r, s in zip(hits, scores)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(x, pa.string()) for x in ([h for h, _, _ in found], [p for _, p, _ in found], [r.text if r else None for r in hits], verdict)), pa.array(scores)],

@@ -89,6 +89,25 @@ def test_url_rules(spark):
         assert got[i].verdict in ("allow", "block")
 
 
+def test_verdicts_out_of_fold(spark):
+    """Each URL is judged by trees that have seen no label of its site; what they say isn't what the list says."""
+    r = random.Random(6)
+    rows = [(i, f"http://{r.choice(['casino', 'pills', 'alpha', 'beta', 'news'])}{r.choice(['-', '.'])}{r.randint(0, 40)}.s{i % 60}.{r.choice(['com', 'net'])}/{'x' * r.randint(1, 9)}/{r.randint(1, 999)}") for i in range(500)]
+    rows += [(600, None), (601, "http://" + "y" * 300_000 + ".com/" + "z/" * 100_000), (1, rows[1][1])]
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
+    labelled = url_filter.blocklist_labels(pages)
+    got = url_filter.filter_urls(pages, [], labelled, folds=5).collect()
+    urls, labels = url_filter.labelled_sample(labelled, 20_000)
+    site = lambda u: zlib.crc32(".".join(url_filter.parts(u)[0].split(".")[-2:]).encode()) % 5
+    models = [url_filter.fit([u for u in urls if site(u) != k], [v for u, v in zip(urls, labels) if site(u) != k]) for k in range(5)]
+    want = {(i, u): float(models[site(u)].score([u])[0]) for i, u in rows}
+    assert len(got) == len(rows) and {x.page_id for x in got} == {i for i, _ in rows}
+    assert all(abs(x.score - want[x.page_id, dict(rows)[x.page_id]]) < 1e-9 and x.verdict == ("block" if x.score > 0 else "allow") for x in got)
+    listed = dict(zip(urls, labels))
+    same = [listed[dict(rows)[x.page_id]] == (x.verdict == "block") for x in got if dict(rows)[x.page_id]]
+    assert sum(same) < len(same)
+
+
 def test_trees_on_held_out_urls():
     r = random.Random(1)
     make = lambda bad: f"http://{'cheap-' * bad}{r.choice(['alpha', 'beta', 'gamma'])}{r.randint(0, 9)}.example.{r.choice(['net', 'com'])}/{'x' * r.randint(1, 9)}/{r.randint(1, 999)}{'?a=1&b=2' if r.random() < 0.3 + 0.4 * bad else ''}"
