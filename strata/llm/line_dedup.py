@@ -288,10 +288,10 @@ def _routed(docs: DataFrame, text: str, id_column: str, index: DataFrame, shards
         hit = p[shard.counts(p[:, 1], p[:, 2]) >= min_docs]
         return pd.DataFrame({"__row": hit[:, 0].view(np.int64), "__line": hit[:, 1].view(np.int64)})
 
-    packed = scratch.put(docs.select(key.alias("k"), F.col(text)).mapInArrow(pack, "shard long, probes binary, n long"))
+    packed = scratch.put(docs.select(key.alias("k"), F.col(text)).mapInArrow(pack, "shard long, probes binary, n long").withColumn("tag", F.monotonically_increasing_id()))  # written, so that a task that runs again deals alike
     parts = scratch.put(packed.groupBy("shard").agg(F.ceil(F.sum("n") / F.lit(float(PROBES_PER_TASK))).alias("parts")))  # one row per shard
     copies = index.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("shard", "part", "blob")
-    dealt = packed.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), "parts")).select("shard", "part", "probes")
+    dealt = packed.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("tag"), "parts")).select("shard", "part", "probes")
     hits = dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInPandas(probe, "__row long, __line long")
     per_row = hits.groupBy("__row").agg(F.collect_set("__line").alias("__lines"))  # bounded by a document's own lines
     named = Renamed(docs, __row=key)

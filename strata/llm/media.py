@@ -169,10 +169,10 @@ def resolve(sequences: DataFrame, media: DataFrame, keep: tuple[str, ...] = ("pa
     """
     own = sequences.select(*keep, F.explode("elements").alias("e")).where("e.kind = 'media'").select(*keep, "e.pos", "e.caption", "e.digest")
     scratch = Scratch(sequences.sparkSession, "references")
-    own = scratch.put(own)
+    own = scratch.put(own.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")))  # written, so that a task that runs again finds the same
     often = scratch.put(own.groupBy("digest").count().where(F.col("count") > SALTS).select("digest"))
     held = media.join(often.withColumn("often", F.lit(True)), "digest", "left").withColumn("salt", F.explode(F.when(F.col("often"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("often")
-    asked = own.join(often.withColumn("often", F.lit(True)), "digest", "left").withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("often")
+    asked = own.join(often.withColumn("often", F.lit(True)), "digest", "left").withColumn("salt", F.when(F.col("often"), F.col("salt")).otherwise(F.lit(0))).drop("often")
     return asked.join(held, ["digest", "salt"], "left").drop("salt")
 
 
