@@ -26,7 +26,7 @@ from strata.llm.common import Renamed, slices
 from strata.llm.html_tree import BLOCK, Node, parse, squeeze
 
 # Names of parts that aren't the article; fixed values.
-DROP_TAGS = frozenset("script style noscript template iframe noembed noframes svg math canvas object embed applet head title nav menu footer aside form button input select option textarea fieldset dialog audio video map search".split())
+DROP_TAGS = frozenset("script style noscript template iframe noembed noframes svg head title nav menu footer aside form button input select option textarea fieldset dialog search".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status tooltip".split())
 # What parts that aren't the article call themselves, by the kinds of part that the text is to be without.
 PARTS = {
