@@ -40,10 +40,9 @@ def last_batch(files: DataFrame, batches: DataFrame) -> DataFrame:
     newest = known.orderBy(F.desc("started_at"), "id").limit(1).select(F.col("id").alias("batch"), "started_at")
     own = live(files).join(F.broadcast(newest), "batch")
     seen = F.col("kind").isin("image", "video")
-    return own.groupBy("batch", "started_at").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("kind") == "image").alias("images"), F.count_if(F.col("kind") == "video").alias("videos"), F.count_if(~seen).alias("others"),
-        F.concat_ws(",", F.slice(F.sort_array(F.collect_list(F.when(seen, F.col("id")))), 1, 6)).alias("thumbs"),
-    )
+    totals = own.groupBy("batch", "started_at").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("kind") == "image").alias("images"), F.count_if(F.col("kind") == "video").alias("videos"), F.count_if(~seen).alias("others"))
+    first = own.where(seen).select("id").orderBy("id").limit(6).agg(F.concat_ws(",", F.sort_array(F.collect_list("id"))).alias("thumbs"))  # one row of six
+    return totals.crossJoin(F.broadcast(first))
 
 
 def places(files: DataFrame) -> DataFrame:

@@ -805,6 +805,17 @@ def k9_backup_restore(spark, d):
     return own.load("files")
 
 
+@query("SELECT id, CASE WHEN id % 50 = 3 THEN 'moved' ELSE name END AS name, size FROM files WHERE id % 50 <> 7")
+def k2_update_parts(spark, d):
+    from strata.sources.snapshots import Snapshots
+    from strata.streaming.ingest import stream_dir
+
+    own, f = Snapshots(spark, stream_dir(spark), part_ids=100), fx.files(spark, d).select("id", "name", "size")
+    own.commit({"files": f})
+    own.update("files", f.where("id % 50 = 3").withColumn("name", F.lit("moved")), f.where("id % 50 = 7").select("id"))
+    return own.load("files")
+
+
 # ---- dates, sizes, messages
 
 

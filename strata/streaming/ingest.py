@@ -34,8 +34,12 @@ def receive(arrivals: DataFrame, target: str, checkpoint: str, late: str = "1 ho
     once = checked(arrivals).withWatermark("at", late).dropDuplicatesWithinWatermark(["batch", "fid"])
 
     def commit(rows: DataFrame, number: int) -> None:
-        rows.where("why is null").drop("why").write.mode("overwrite").parquet(f"{target}/accepted/step={number}")
-        rows.where("why is not null").write.mode("overwrite").parquet(f"{target}/rejected/step={number}")
+        rows = rows.persist()  # both writes take it, and the once-only state is asked once
+        try:
+            rows.where("why is null").drop("why").write.mode("overwrite").parquet(f"{target}/accepted/step={number}")
+            rows.where("why is not null").write.mode("overwrite").parquet(f"{target}/rejected/step={number}")
+        finally:
+            rows.unpersist()
 
     return once.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 

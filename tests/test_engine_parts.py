@@ -270,6 +270,57 @@ def test_restore_backs_up(spark, tmp_path):
         own.restore("none")
 
 
+def paths(df):
+    return {f.split("/index/")[1].rsplit("/", 1)[0] for f in df.inputFiles()}
+
+
+def test_updates_write_touched_parts_alone(spark, tmp_path):
+    own = Snapshots(spark, f"{tmp_path}/index", part_ids=10)
+    rows = spark.range(95).select(F.when(F.col("id") >= 0, F.col("id")).alias("id"), F.concat(F.lit("n"), "id").alias("name"), F.array(F.col("id").cast("float")).alias("vec"))
+    segs = spark.range(40).select((F.col("id") % 20).alias("file_id"), F.col("id").cast("double").alias("t"))
+    one = own.commit({"files": rows, "segs": segs, "batches": spark.range(2)})
+    held = paths(own.load("files"))
+    assert len(held) == 10
+    five = rows.where(F.col("id").isin(3, 4, 25, 93)).withColumn("name", F.lit("new")).unionByName(spark.createDataFrame([(200, "added", [1.0]), (None, "none", None)], "id long, name string, vec array<float>"))
+    two = own.update("files", five, spark.createDataFrame([(26,), (999,)], "id long"))
+    after = paths(own.load("files"))
+    assert len(after - held) == 5 and len(held & after) == 7  # 0, 20, 90, 200 and the null key's; 999 had no part
+    want = {i: f"n{i}" for i in range(95) if i != 26} | {3: "new", 4: "new", 25: "new", 93: "new", 200: "added", None: "none"}
+    assert {r.id: r.name for r in own.load("files").collect()} == want and own.load("files").columns == ["id", "name", "vec"]
+    assert own.load("files", one).count() == 95 and own.load("files", one).where("name = 'new'").count() == 0  # the older version still loads
+    own.update("segs", spark.createDataFrame([(3, 0.5)], "file_id long, t double"))  # a file's segments are replaced together
+    assert [r.t for r in own.load("segs").where("file_id = 3").collect()] == [0.5] and own.load("segs").count() == 39 and own.load("segs", two).count() == 40
+    assert own.load("batches").count() == 2 and len(own.versions()) == 3
+    before = own.load("files")
+    own.update("files", rows.limit(0))
+    assert paths(own.load("files")) == paths(before)
+    own.update("files", rows.limit(0), own.load("files").select("id"))
+    assert own.load("files").collect() == [] and own.load("files").columns == rows.columns
+    with pytest.raises(ValueError):
+        own.update("files_", rows) if "files_" in own.keys else Snapshots(spark, f"{tmp_path}/none").update("files", rows)
+
+
+def test_pointer_survives_a_crash(spark, tmp_path, monkeypatch):
+    own = Snapshots(spark, f"{tmp_path}/index")
+    one = own.commit({"files": spark.range(3)})
+    (tmp_path / "index/pointers" / f"{1:012d}").write_text("half a vers")  # a writer died while it wrote
+    assert own.current() == one and own.load("files").count() == 3
+    two = own.commit({"files": spark.range(4)})
+    assert own.current() == two
+    monkeypatch.setattr(Snapshots, "_pointers", lambda self: [f"{1:012d}"])  # another writer was faster
+    with pytest.raises(Exception, match="exist"):
+        own._point(one)
+    monkeypatch.undo()
+    rename = monkeypatch.setattr(Snapshots, "_write_text", lambda self, path, text: (_ for _ in ()).throw(OSError("can't rename")))  # noqa: F841
+    with pytest.raises(OSError):
+        own.commit({"files": spark.range(9)})
+    monkeypatch.undo()
+    assert own.current() == two and own.load("files").count() == 4
+    for _ in range(12):
+        last = own.commit({"files": spark.range(1)})
+    assert own.current() == last and len(own._pointers()) <= 11
+
+
 def test_shared_dir_needs_a_name_on_clusters():
     class Conf:
         def get(self, *_):
