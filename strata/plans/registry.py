@@ -550,12 +550,12 @@ def j13_nearest_place(spark, d):
     return geo.nearest(points, places, 80.0).select("id", "place", F.round("km", 3).alias("km"))
 
 
-@query(""", v AS (SELECT o_orderkey AS id, o_totalprice / 500 AS dur FROM orders WHERE o_orderkey <= 2000),
+@query(""", v AS (SELECT p_partkey AS id, p_retailprice * (p_partkey % 7) / 10 AS dur FROM part),
 n AS (SELECT *, greatest(1, least(150, floor(dur / 4) + 1))::INT AS n FROM v),
 i AS (SELECT *, unnest(generate_series(0, n - 1))::INT AS i FROM n)
 SELECT id, i, floor(least(greatest(0.0, dur - 0.1), CASE WHEN n = 150 THEN dur / n ELSE 4.0 END * i + CASE WHEN n = 150 THEN dur / n / 2 ELSE 0 END) * 100 + 0.5) / 100 AS t FROM i""")
 def m9_frame_schedule(spark, d):
-    v = fx.table(spark, d, "orders").where("o_orderkey <= 2000").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 500).alias("dur"))
+    v = fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") * (F.col("p_partkey") % 7) / 10).alias("dur"))
     n = v.withColumn("n", media.frame_count(F.col("dur"), 4.0, 150))
     return n.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("id", "i", media.frame_time(F.col("dur"), F.col("n"), F.col("i"), 4.0, 150).alias("t"))
 
@@ -894,12 +894,12 @@ def m10_processing_size(spark, d):
 
 
 @query("""SELECT o_orderkey, string_agg(t, chr(10) ORDER BY line) AS text FROM (SELECT o_orderkey, line, string_agg(word, ' ' ORDER BY x) AS t FROM
-  (SELECT l_orderkey AS o_orderkey, l_linenumber // 3 AS line, (l_partkey * 7 + l_linenumber) AS x, l_shipmode_ AS word FROM (SELECT *, 'w' || l_linenumber AS l_shipmode_ FROM lineitem WHERE l_orderkey < 400)) GROUP BY 1, 2) GROUP BY 1""")
+  (SELECT l_orderkey AS o_orderkey, l_linenumber // 3 AS line, (l_partkey * 7 + l_linenumber) AS x, l_shipmode_ AS word FROM (SELECT *, 'w' || l_linenumber AS l_shipmode_ FROM lineitem)) GROUP BY 1, 2) GROUP BY 1""")
 def w12_reading_order(spark, d):
     n = F.col("l_linenumber")
     left, top = F.col("l_partkey") * 7 + n, F.floor(n / 3) * 40 + n % 3 * 4
     box = F.struct(F.concat(F.lit("w"), n.cast("string")).alias("text"), left.alias("left"), top.alias("top"), (left + 5).alias("right"), (top + 20).alias("bottom"))
-    own = fx.table(spark, d, "lineitem").where("l_orderkey < 400").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(box).alias("boxes"))
+    own = fx.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(box).alias("boxes"))
     return own.select("o_orderkey", arrays.reading_lines("boxes").alias("text"))
 
 
