@@ -119,6 +119,19 @@ def f3_text_hits(spark, d):
     return search.text_hits(fx.files(spark, d), "The, aner").select("id", "taken")
 
 
+@query("""SELECT q, id, taken FROM (VALUES (0, 'theaner'), (1, 'ing'), (2, 'query')) AS w(q, wanted), live WHERE contains(ocr_n, wanted)
+  QUALIFY row_number() OVER (PARTITION BY q ORDER BY coalesce(taken, '') DESC, id DESC) <= 200""")
+def f3_text_index(spark, d):
+    """Three text searches at once through the index of character pairs."""
+    from strata.operators.text_index import TextIndex
+    from strata.streaming.ingest import stream_dir
+
+    own = fx.files(spark, d).select("id", "taken", "removed", "ocr_n")
+    index = TextIndex(spark, f"{stream_dir(spark)}/index")
+    index.add(own)
+    return index.hits(own, ["The, aner", "ing", "Query"]).select("q", "id", "taken")
+
+
 @query("SELECT id FROM live WHERE ocr_done = 0 AND kind IN ('image', 'document') AND (mode = 'sort' OR vec IS NOT NULL) ORDER BY id DESC LIMIT 10")
 def f4_enrich_list(spark, d):
     return filters.enrich_list(fx.files(spark, d)).select("id")
@@ -282,6 +295,19 @@ def q3_ranked(spark, d):
     return top.select("id", F.round("sim", 6).alias("sim"), "t")
 
 
+@query(RANKED_SQL + "SELECT id, round(sim, 6) AS sim, seg_t AS t FROM sc ORDER BY sim DESC, id LIMIT 60")
+def q3_two_pass(spark, d):
+    """q3_ranked from tables with codes: whole vectors are read of candidates alone."""
+    from strata.operators import two_pass
+    from strata.streaming.ingest import stream_dir
+
+    root = stream_dir(spark)
+    for name, table, key in (("files", fx.files(spark, d).select("id", "kind", "removed", "vec"), "id"), ("segs", fx.segs(spark, d), "file_id")):
+        two_pass.with_codes(table).repartitionByRange(key).sortWithinPartitions(key).write.parquet(f"{root}/{name}")
+    asked = query_vector(spark, d).first()["__q"]
+    return two_pass.ranked_by_codes(spark.read.parquet(f"{root}/files"), spark.read.parquet(f"{root}/segs"), asked).select("id", F.round("sim", 6).alias("sim"), "t")
+
+
 @query(RANKED_SQL.replace("vec_id = 7", "vec_id = 12") + "SELECT id, round(sim, 6) AS sim FROM sc WHERE id <> 12 AND category = 'cat_2' AND duplicate_of IS NULL AND mode = 'sort' ORDER BY sim DESC, id LIMIT 60")
 def q4_similar(spark, d):
     return search.similar(fx.files(spark, d), fx.segs(spark, d), 12, DIM, Filter(cat="cat_2")).select("id", F.round("sim", 6).alias("sim"))
