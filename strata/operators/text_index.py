@@ -28,9 +28,8 @@ POSTING = "pair string, bucket long, bits binary"
 
 def pairs(text: Column) -> Column:
     """The distinct pairs of adjacent characters of a text that has two at least."""
-    chars = F.split(text, "")
-    n = F.size(chars)
-    return F.array_distinct(F.zip_with(F.slice(chars, 1, n - 1), F.slice(chars, 2, n - 1), lambda a, b: F.concat(a, b)))
+    each = lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda x, y: F.concat(x, y))
+    return F.array_distinct(F.flatten(F.transform(F.array(F.split(text, "")), each)))  # split once
 
 
 def postings(files: DataFrame) -> DataFrame:
@@ -61,8 +60,7 @@ class TextIndex:
 
     def add(self, files: DataFrame) -> None:
         """New rows, or changed ones again. Rows should lie by id (as snapshots do), so that few tasks share a bitmap."""
-        rows = postings(files).repartitionByRange("pair", "bucket").sortWithinPartitions("pair", "bucket")
-        rows.write.parquet(f"{self.root}/part={uuid.uuid4().hex}")
+        postings(files).sortWithinPartitions("pair", "bucket").write.parquet(f"{self.root}/part={uuid.uuid4().hex}")  # as grouping left them: no further shuffle
 
     def candidates(self, texts: list[str]) -> DataFrame:
         """(q, id): rows whose texts hold all pairs of the query of that position, and perhaps not in one piece."""

@@ -70,8 +70,8 @@ def bounds(code: str, vector: list[float]) -> Column:
     return run(F.col(code))
 
 
-def candidates(files: DataFrame, segs: DataFrame, vector: list[float], chosen: Filter = Filter(), k: int = 60, exclude: DataFrame | None = None) -> DataFrame:
-    """(id): all files that may be among the k best; files and segs have codes, and no vector is read."""
+def candidates(files: DataFrame, segs: DataFrame, vector: list[float], chosen: Filter = Filter(), k: int = 60, exclude: DataFrame | None = None) -> tuple[DataFrame, float]:
+    """(id) of all files that may be among the k best, and the score that those have at least; files and segs have codes, and no vector is read."""
     mine = F.col("code.dim") == len(vector)
     own = (files.where(chosen.column()) if chosen else live(files)).where(mine).select("id", "kind", bounds("code", vector).alias("b"))
     if exclude is not None:
@@ -81,10 +81,18 @@ def candidates(files: DataFrame, segs: DataFrame, vector: list[float], chosen: F
     video = video.select("id", F.when(F.col("b.low") > -INF, F.greatest("b.low", "s_low")).otherwise(F.lit(-INF)).alias("low"), F.greatest("b.high", "s_high").alias("high"))
     rows = written(own.where("kind IS NULL OR kind <> 'video'").select("id", "b.low", "b.high").unionByName(video))
     reached = rows.orderBy(F.desc("low")).limit(k).agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("n")).first()
-    return rows.where(F.col("high") >= (reached.least if reached.n == k else -INF)).select("id") if reached.n else rows.select("id")
+    least = reached.least if reached.n == k else -INF
+    return rows.where(F.col("high") >= least).select("id"), least
+
+
+def asked_whole(files: DataFrame, segs: DataFrame, vector: list[float], chosen: Filter = Filter(), k: int = 60, exclude: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of files and of segs whose vectors decide: of a candidate's segments, those alone that can reach the score."""
+    found, least = candidates(files, segs, vector, chosen, k, exclude)
+    best = written(found)
+    parts = narrowed(segs.where(F.col("code.dim") == len(vector)), "file_id", best).withColumn("__b", bounds("code", vector)).where(F.col("__b.high") >= least).drop("__b")
+    return narrowed(files, "id", best), parts
 
 
 def ranked_by_codes(files: DataFrame, segs: DataFrame, vector: list[float], chosen: Filter = Filter(), k: int = 60, exclude: DataFrame | None = None) -> DataFrame:
-    """``search.ranked`` for tables with codes (``with_codes``): whole vectors are read of candidates alone."""
-    best = written(candidates(files, segs, vector, chosen, k, exclude))
-    return ranked(narrowed(files, "id", best), narrowed(segs, "file_id", best), literal(vector), len(vector), chosen, k, exclude)
+    """``search.ranked`` for tables with codes (``with_codes``): whole vectors are multiplied of candidates alone."""
+    return ranked(*asked_whole(files, segs, vector, chosen, k, exclude), literal(vector), len(vector), chosen, k, exclude)

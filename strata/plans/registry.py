@@ -126,8 +126,9 @@ def f3_text_index(spark, d):
     from strata.operators.text_index import TextIndex
     from strata.streaming.ingest import stream_dir
 
-    own = fx.files(spark, d).select("id", "taken", "removed", "ocr_n")
-    index = TextIndex(spark, f"{stream_dir(spark)}/index")
+    root = stream_dir(spark)
+    fx.files(spark, d).select("id", "taken", "removed", "ocr_n").repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{root}/files")
+    own, index = spark.read.parquet(f"{root}/files"), TextIndex(spark, f"{root}/index")
     index.add(own)
     return index.hits(own, ["The, aner", "ing", "Query"]).select("q", "id", "taken")
 
