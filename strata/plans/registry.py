@@ -997,3 +997,23 @@ def x_sessions(spark, d):
     from strata.streaming.sessions import replay_sessions
 
     return replay_sessions(spark, d)
+
+
+@query("""SELECT batch, fid, status FROM (SELECT *, max(moment) OVER (PARTITION BY batch) AS last_at, max(moment) OVER () AS end_at FROM (
+  SELECT batch, fid, doc_id, doc_id // 20 * 640 + CASE WHEN doc_id % 3 <> 0 THEN 1 + doc_id % 20 ELSE 0 END AS moment FROM items)), (VALUES ('expected'), ('received'), ('expired')) AS s(status)
+  WHERE CASE status WHEN 'expected' THEN true WHEN 'received' THEN doc_id % 3 <> 0 ELSE doc_id % 3 = 0 AND last_at + 3600 < end_at - 600 END""")
+def x_session_expiry(spark, d):
+    from strata.streaming.sessions import replay_expiry
+
+    return replay_expiry(spark, d)
+
+
+@query("""SELECT fingerprint, unnest(CASE WHEN fresh AND left_ THEN ['new', 'gone'] WHEN fresh THEN ['new'] ELSE ['gone'] END) AS status, unnest(CASE WHEN fresh AND left_ THEN [ts, ts + INTERVAL 15 MINUTE] WHEN fresh THEN [ts] ELSE [ts + INTERVAL 15 MINUTE] END) AS at
+  FROM (SELECT *, coalesce(ts - before_ > INTERVAL 15 MINUTE, true) AS fresh, coalesce(after_ - ts > INTERVAL 15 MINUTE, ts + INTERVAL 15 MINUTE < end_ - INTERVAL 2 MINUTE) AS left_
+    FROM (SELECT *, lag(ts) OVER w AS before_, lead(ts) OVER w AS after_, max(ts) OVER () AS end_ FROM (SELECT event_id, 'p' || (user_id % 40) AS fingerprint, ts::TIMESTAMP AS ts FROM events) WINDOW w AS (PARTITION BY fingerprint ORDER BY ts, event_id)))
+  WHERE fresh OR left_""")
+def x_peers(spark, d):
+    """Comings and goings of peers, streamed, with two minutes of lateness."""
+    from strata.streaming.peers import replay_peers
+
+    return replay_peers(spark, d)

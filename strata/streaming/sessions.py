@@ -8,55 +8,93 @@ upload    -> received, or refused (no such session or file), repeated (already r
 cancel    -> cancelled, for every file still expected
 silence   -> expired, for every file still expected, once the watermark is IDLE past the last event
 
-A rejected file may be sent again. State goes with cancel and expiry, so later uploads are refused.
+A rejected file may be sent again. State goes with cancel and expiry, so later uploads are refused. Events without a time are left out,
+and so are announced fids that are null.
+
+Every file of a batch has an entry of its own in keyed state, so an event reads and writes one entry however many files
+its batch announced; cancel and expiry read them all once. State lies in RocksDB, which ``serve`` asks for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, MutableMapping
 from dataclasses import dataclass, field
 from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 IDLE = timedelta(hours=1)
 EVENTS = "batch string, at timestamp, kind string, fid string, files array<string>, size long, sha256 string, got_size long, got_sha256 string"
 ANSWERS = "batch string, fid string, at timestamp, status string"
-STATE = "open boolean, expected array<string>, done array<string>"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @dataclass
 class Session:
+    """A batch's session over ``files``: announced fids and whether they are received."""
+
     open: bool = False
-    expected: set[str] = field(default_factory=set)
-    done: set[str] = field(default_factory=set)
+    files: MutableMapping[str, bool] = field(default_factory=dict)
 
     def close(self) -> list[str]:
-        left = sorted(self.expected - self.done)
-        self.open, self.expected, self.done = False, set(), set()
+        left = sorted(f for f, done in self.files.items() if not done)
+        self.files.clear()
+        self.open = False
         return left
 
     def answer(self, kind: str, fid: str | None, files, same: bool) -> list[tuple[str | None, str]]:
         """(fid, status) rows for an event; ``same``: what was received is what was declared."""
         if kind == "open":
-            new = sorted(set(files) - self.expected) if files is not None else []
-            self.open, self.expected = self.open or bool(new), self.expected | set(new)
+            new = sorted(f for f in set(files) if f is not None and f not in self.files) if files is not None else []
+            self.files.update((f, False) for f in new)
+            self.open = self.open or bool(new)
             return [(f, "expected") for f in new]
         if kind == "cancel":
             return [(f, "cancelled") for f in self.close()] if self.open else []
-        if not self.open or fid not in self.expected:
+        done = self.files.get(fid) if self.open and fid is not None else None
+        if done is None:
             return [(fid, "refused")]
-        if fid in self.done:
+        if done:
             return [(fid, "repeated")]
         if not same:
             return [(fid, "rejected")]
-        self.done.add(fid)
+        self.files[fid] = True
         return [(fid, "received")]
 
 
+class KeyedFiles(MutableMapping):
+    """Map state (fid -> received) as a mapping."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def __getitem__(self, fid: str) -> bool:
+        if not self.state.containsKey((fid,)):
+            raise KeyError(fid)
+        return self.state.getValue((fid,))[0]
+
+    def __setitem__(self, fid: str, done: bool) -> None:
+        self.state.updateValue((fid,), (done,))
+
+    def __delitem__(self, fid: str) -> None:
+        self.state.removeKey((fid,))
+
+    def __iter__(self):
+        return (k[0] for k in self.state.keys())
+
+    def __len__(self) -> int:
+        return sum(1 for _ in self)
+
+    def items(self):  # one pass in place of a question for each
+        return ((k[0], v[0]) for k, v in self.state.iterator())
+
+    def clear(self) -> None:
+        self.state.clear()
+
+
 def _same(declared, got) -> bool:
     return pd.isna(declared) or (not pd.isna(got) and str(declared).lower() == str(got).lower())
 
@@ -65,31 +103,49 @@ def _size(x):
     return x if pd.isna(x) else int(x)
 
 
-def answers(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """The stream of answers to a stream of events; events of a batch in one trigger are taken in the order of their times."""
+class SessionState(StatefulProcessor):
+    """A batch's files in map state, and the time of its one timer, which exists while the session is open."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.files = handle.getMapState("files", "fid string", "done boolean")
+        self.timer = handle.getValueState("timer", "at long")
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = Session(state.get[0], set(state.get[1]), set(state.get[2])) if state.exists else Session()
-        if state.hasTimedOut:
-            at = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-            rows = [(key[0], f, at, "expired") for f in held.close()]
-            state.remove()
+    def _rows(self, rows: list) -> Iterator[pd.DataFrame]:
+        if rows:
             yield pd.DataFrame(rows, columns=["batch", "fid", "at", "status"])
-            return
-        rows, last = [], None
-        for x in pd.concat(list(batches)).sort_values(["at", "kind"], kind="stable").itertuples(index=False):
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        timer = self.timer.get()[0] if self.timer.exists() else None
+        held, out, last = Session(timer is not None, KeyedFiles(self.files)), [], None
+        for x in pd.concat(list(rows)).sort_values(["at", "kind"], kind="stable").itertuples(index=False):
             fine = _same(_size(x.size), _size(x.got_size)) and _same(x.sha256, x.got_sha256)
-            rows += [(key[0], f, x.at, s) for f, s in held.answer(x.kind, x.fid, x.files, fine)]
+            out += [(key[0], f, x.at, s) for f, s in held.answer(x.kind, x.fid, x.files, fine)]
             last = x.at
-        if held.open:
-            state.update((True, sorted(held.expected), sorted(held.done)))
-            idle = int((last + IDLE).timestamp() * 1000)
-            state.setTimeoutTimestamp(max(idle, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(rows, columns=["batch", "fid", "at", "status"])
+        due = max(int((last + IDLE).timestamp() * 1000), timerValues.getCurrentWatermarkInMs() + 1) if held.open else None
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is None:
+                self.timer.clear()
+            else:
+                self.handle.registerTimer(due)
+                self.timer.update((due,))
+        yield from self._rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+        left = Session(True, KeyedFiles(self.files)).close()
+        self.timer.clear()
+        yield from self._rows([(key[0], f, at, "expired") for f in left])
+
+    def close(self) -> None:
+        pass
 
-    return events.withWatermark("at", late).groupBy("batch").applyInPandasWithState(run, ANSWERS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+def answers(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """The stream of answers to a stream of events; events of a batch in one trigger are taken in the order of their times."""
+    return events.where("at is not null").withWatermark("at", late).groupBy("batch").transformWithStateInPandas(SessionState(), ANSWERS, "Append", "eventTime")
 
 
 def serve(events: DataFrame, target: str, checkpoint: str, late: str = "10 minutes"):
@@ -98,6 +154,7 @@ def serve(events: DataFrame, target: str, checkpoint: str, late: str = "10 minut
     def commit(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{target}/step={number}")
 
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # what map state and timers need; a stream goes on with what it began with
     return answers(events, late).writeStream.outputMode("append").foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
@@ -129,3 +186,19 @@ def replay_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(EVENTS).parquet(f"{where}/landing")
     serve(stream, f"{where}/out", f"{where}/checkpoint", "300 days").start().awaitTermination()
     return spark.read.parquet(f"{where}/out").select("batch", "fid", "status")
+
+
+def replay_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived items as sessions that open 640 seconds after each other; every third file is never sent, and ten minutes of lateness let silent sessions expire."""
+    from strata.plans import fixtures as fx
+    from strata.streaming.ingest import stream_dir
+
+    where = stream_dir(spark)
+    k = F.substring("fid", 2, 20).cast("long")
+    start = 1704067200 + F.floor(k / 20) * 640
+    own = fx.items(spark, sf_dir).select("batch", "fid", k.alias("k"), start.alias("start"), "got_size", "sha256")
+    opened = own.groupBy("batch", F.timestamp_seconds("start").alias("at")).agg(F.collect_list("fid").alias("files")).withColumn("kind", F.lit("open"))  # twenty at most
+    sent = own.where("k % 3 <> 0").select("batch", F.timestamp_seconds(F.col("start") + 1 + F.col("k") % 20).alias("at"), F.lit("upload").alias("kind"), "fid", F.col("got_size").alias("size"), "sha256", "got_size", F.col("sha256").alias("got_sha256"))
+    spark.createDataFrame([], EVENTS).unionByName(opened.unionByName(sent, allowMissingColumns=True), allowMissingColumns=True).write.parquet(f"{where}/landing")
+    serve(spark.readStream.schema(EVENTS).parquet(f"{where}/landing"), f"{where}/out", f"{where}/checkpoint").start().awaitTermination()
+    return spark.read.parquet(f"{where}/out").select("batch", "fid", "status")

@@ -180,6 +180,42 @@ def test_session_answers():
     assert s.answer("cancel", None, None, True) == [("b", "cancelled")] and s.answer("upload", "b", None, True) == [("b", "refused")]
 
 
+class CountedState:
+    """Map state in a dict, with the accesses counted."""
+
+    def __init__(self):
+        self.held, self.asked = {}, 0
+
+    def __getattr__(self, name):
+        self.asked += 1
+        return {"containsKey": self.held.__contains__, "getValue": self.held.get, "updateValue": self.held.__setitem__, "removeKey": self.held.pop, "iterator": lambda: iter(self.held.items()), "keys": lambda: iter(self.held), "clear": self.held.clear}[name]
+
+
+@pytest.mark.parametrize("n", [10, 100_000])
+def test_an_upload_costs_the_same_in_any_batch(n):
+    state = CountedState()
+    s = sessions.Session(files=sessions.KeyedFiles(state))
+    assert len(s.answer("open", None, [f"f{i}" for i in range(n)] + [None, "f1"], True)) == n
+    before = state.asked
+    assert s.answer("upload", "f7", None, True) == [("f7", "received")] and s.answer("upload", "f7", None, True) == [("f7", "repeated")] and s.answer("upload", "g", None, True) == [("g", "refused")]
+    assert state.asked - before == 6
+    assert len(s.answer("cancel", None, None, True)) == n - 1 and state.asked - before == 8
+
+
+def test_peers():
+    from strata.streaming.peers import heard
+
+    peer, out = heard(None, "a", 100, 50)
+    assert out == [("a", 100, "new")]
+    peer, out = heard(peer, "", 150, 50)
+    assert (peer, out) == (("a", 150), [])
+    peer, out = heard(peer, "b", 200, 50)
+    assert out == [("b", 200, "renamed")]
+    assert heard(peer, None, 190, 50) == (("b", 200), [])
+    peer, out = heard(peer, "", 251, 50)
+    assert out == [("b", 250, "gone"), ("", 251, "new")]
+
+
 def test_sessions_expire(spark, tmp_path):
     t = datetime(2024, 1, 1, 12)
     row = lambda batch, at, kind, fid=None, files=None, size=None, got=None: (batch, at, kind, fid, files, size, None, got, None)
