@@ -178,6 +178,17 @@ def a1_category_counts(spark, d):
     return rollups.category_counts(fx.files(spark, d))
 
 
+@query(f"SELECT {CAT} AS category, count(*) AS n FROM (SELECT * REPLACE (CASE WHEN id % 50 = 3 THEN 'moved' ELSE category END AS category) FROM live WHERE id % 50 <> 7) GROUP BY 1")
+def a1_kept_counts(spark, d):
+    """Counts by category that follow a change of some rows and the removal of others."""
+    from strata.operators import kept
+
+    f = fx.files(spark, d).select("id", "category", "duplicate_of", "removed")
+    old = f.where("id % 50 IN (3, 7)")
+    new = old.withColumns({"category": F.when(F.col("id") % 50 == 3, F.lit("moved")).otherwise(F.col("category")), "removed": F.col("removed") | (F.col("id") % 50 == 7)})
+    return kept.folded(rollups.category_counts(f), "category_counts", old, new)
+
+
 @query("SELECT count(*) AS total, coalesce(sum(size), 0)::BIGINT AS used FROM live")
 def a2_home_totals(spark, d):
     return rollups.totals(fx.files(spark, d))
