@@ -166,7 +166,7 @@ def home(files: DataFrame, batches: DataFrame, segs: DataFrame, dim: int) -> Dat
     """One row of figures for the start page."""
     from strata.operators.dedupe import duplicate_roots
 
-    pending = newest_batches(batch_list(files, batches, "pending"), 500).agg(F.count(F.lit(1)).alias("pending_batches"), F.coalesce(F.sum("n"), F.lit(0)).alias("pending_files"), F.coalesce(F.sum("doubts"), F.lit(0)).alias("doubts"))
+    pending = batch_list(files, batches, "pending").agg(F.count(F.lit(1)).alias("pending_batches"), F.coalesce(F.sum("n"), F.lit(0)).alias("pending_files"), F.coalesce(F.sum("doubts"), F.lit(0)).alias("doubts"))
     groups = duplicate_roots(files).agg(F.countDistinct("root").alias("dup_groups"))
     gone = files.agg(F.count_if("removed").alias("removed"))
     out = totals(files)

@@ -70,6 +70,13 @@ def test_batches_count_before_and_after_filters(spark):
     assert [(r.bid, r.total, r.n) for r in rollups.batch_list(table, none, "all", "b").collect()] == [("x", 2, 1)]
 
 
+def test_home_counts_every_pending_batch(spark):
+    table = files(spark, *(dict(id=i, batch=f"b{i}") for i in range(1, 604)))
+    none = spark.createDataFrame([], "id string, started_at double, sender string, mode string, count int")
+    found = rollups.home(table, none, spark.createDataFrame([], "file_id long, t double, vec array<float>"), 2).first()
+    assert (found.pending_batches, found.pending_files, found.total) == (603, 603, 603)
+
+
 def test_empty_index(spark):
     none = files(spark)
     segs = spark.createDataFrame([], "file_id long, t double, vec array<float>")
