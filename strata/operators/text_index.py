@@ -75,15 +75,15 @@ class TextIndex:
             held = held.where(either([F.col("pair") == p for p in wanted]))
         else:
             held = held.where(F.col("pair").between(wanted[0], wanted[-1]))
-        one = held.join(queries.select("pair").distinct(), "pair", "left_semi").groupBy("pair", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-        met = one.join(queries, "pair").groupBy("q", "bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
+        one = held.join(F.broadcast(queries.select("pair").distinct()), "pair", "left_semi").groupBy("pair", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+        met = one.join(F.broadcast(queries), "pair").groupBy("q", "bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
         return ids_of(met.where("k = n"))
 
     def hits(self, files: DataFrame, texts: list[str], chosen: Filter = Filter(), limit: int = 200) -> DataFrame:
         """files' rows with q, the query's position: for each query those that ``search.text_hits`` finds."""
         found = written(self.candidates(texts))
-        asked = self.spark.createDataFrame([(q, normalise(t)[0]) for q, t in enumerate(texts)], "q int, wanted string")
-        rows = narrowed(files, "id", found).where(chosen.column()).join(found, "id").join(asked, "q").where(F.col("ocr_n").contains(F.col("wanted"))).drop("wanted")
+        asked = self.spark.createDataFrame([(q, normalise(t)[0]) for q, t in enumerate(texts)], "q int, wanted string")  # the request; dealt by q, all texts with a frequent word would meet in one task
+        rows = narrowed(files, "id", found).where(chosen.column()).join(found, "id").join(F.broadcast(asked), "q").where(F.col("ocr_n").contains(F.col("wanted"))).drop("wanted")
         if len(texts) == 1:
             return newest_first(rows, limit)
         newest = Window.partitionBy("q").orderBy(F.coalesce("taken", F.lit("")).desc(), F.col("id").desc())

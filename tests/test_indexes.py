@@ -90,6 +90,16 @@ def test_texts_are_read_by_range(spark, tmp_path):
     assert narrow.spans(table, "id") == [(0, 200_703)]
 
 
+def test_texts_are_not_dealt_by_query(spark, tmp_path):
+    table = spark.range(2000).select("id", F.concat(F.lit("common"), F.col("id").cast("string")).alias("ocr_n"), F.lit(False).alias("removed"), F.lit(None).cast("string").alias("taken"))
+    index = TextIndex(spark, f"{tmp_path}/index")
+    index.add(table)
+    hits = index.hits(table, ["common", "common19", "zz"], limit=5)
+    plan = hits._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [q#" not in plan and "ShuffledHashJoin [q#" not in plan
+    assert sorted((x.q, x.id) for x in hits.collect()) == [(0, i) for i in range(1995, 2000)] + [(1, i) for i in range(1995, 2000) if str(i).startswith("19")]
+
+
 def test_spans(spark, monkeypatch):
     ids = spark.createDataFrame([(x,) for x in (5, 1030, 9_000_000, -3, None)], "id long")
     assert narrow.spans(ids, "id") == [(-1024, 2047), (8_999_936, 9_000_959)]
