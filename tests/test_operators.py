@@ -101,6 +101,21 @@ def test_text_matching():
     assert text.excerpt("abc", "zz") is None and text.excerpt(None, "a") is None and text.excerpt("abc", " ,") is None
 
 
+def test_texts_are_normalised_in_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(3)
+    rows = [None, "", " ,", "İstanbul ﬁ Å Å ㎏ ẞ ｶﾞ", "臺灣"] + ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(160, 0xD800), r.randrange(0xE000, 0x20000)])) for _ in range(r.randrange(90))) for _ in range(300)]
+    monkeypatch.setattr(text, "BYTES_AT_ONCE", 100)
+    parts = list(text._sliced(iter([pa.array(rows, pa.string())])))
+    assert sum(parts, []) == rows and max(sum(len((t or "").encode()) for t in p) for p in parts if len(p) > 1) <= 100 and len(parts) > 100
+    assert list(text._sliced(iter([pa.array([], pa.string())]))) == [[]]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i long, t string")
+    for simplify in (None, {"臺": "台"}):
+        got = {x.i: x.n for x in table.select("i", text.norm_full(simplify)("t").alias("n")).collect()}
+        assert got == {i: None if t is None else text.normalise(t, simplify)[0] for i, t in enumerate(rows)}
+
+
 def test_search_prefers_better_segments(spark):
     table = files(spark, dict(id=1, kind="video", vec=[0.0, 1.0]), dict(id=2, vec=[0.8, 0.6]), dict(id=3, vec=[1.0, 0.0], removed=True), dict(id=4, kind="video", vec=[0.6, 0.8]), dict(id=5, vec=[1.0]), dict(id=6, vec=[0.0, 1.0], ocr="The Text", ocr_n="thetext"))
     segs = spark.createDataFrame([(1, 4.0, [1.0, 0.0]), (1, 8.0, [1.0, 0.0]), (4, 0.0, [0.6, 0.8])], "file_id long, t double, vec array<float>")
