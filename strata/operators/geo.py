@@ -14,7 +14,8 @@ def nearest(points: DataFrame, gazetteer: DataFrame, within_km: float) -> DataFr
     """(id, place, km): the nearest gazetteer point (columns place, lat, lon) within the distance.
 
     Both sides go to cells of a latitude-longitude grid as wide as the distance;
-    a position meets only the cells around its own, so this is an equi-join.
+    a position meets only the cells around its own, so this is an equi-join. What was
+    met is dealt by id before it is grouped: a task that scans holds no groups.
     """
     import math
 
@@ -25,10 +26,11 @@ def nearest(points: DataFrame, gazetteer: DataFrame, within_km: float) -> DataFr
     edge = F.least(F.lit(90.0), F.greatest(F.abs(F.col("r") * step), F.abs((F.col("r") + 1) * step)) + step)
     cells = F.when(edge >= 89.0, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(F.cos(F.radians(edge)) * 360 / step))).cast("long")
     column = lambda lon, n: F.least(n - 1, F.floor((lon + 180) / 360 * n).cast("long"))
-    asked = rows.withColumn("n", cells).withColumn("c", F.explode(F.expr("array(-1, 0, 1)"))).withColumn("c", F.pmod(column(F.col("lon"), F.col("n")) + F.col("c"), F.col("n"))).select("id", "r", "c", "lat", "lon").distinct()
+    near = F.array_distinct(F.array(*(F.pmod(column(F.col("lon"), F.col("n")) + k, F.col("n")) for k in (-1, 0, 1))))  # few cells in a row may be the same one
+    asked = rows.withColumn("n", cells).select("id", "r", F.explode(near).alias("c"), "lat", "lon")
     known = gazetteer.select("place", F.col("lat").alias("glat"), F.col("lon").alias("glon")).withColumn("r", row(F.col("glat"))).withColumn("n", cells).withColumn("c", column(F.col("glon"), F.col("n"))).drop("n")
     met = asked.join(known, ["r", "c"]).withColumn("km", km(dot(xyz("lat", "lon"), xyz("glat", "glon")))).where(F.col("km") <= within_km)
-    best = met.groupBy("id").agg(F.min(F.struct("km", "place")).alias("m"))
+    best = met.repartition("id").groupBy("id").agg(F.min(F.struct("km", "place")).alias("m"))
     return best.select("id", F.col("m.place").alias("place"), F.col("m.km").alias("km"))
 
 

@@ -173,6 +173,16 @@ def test_nearest_place_matches_brute_force(spark):
     assert {x.id: x.place for x in got.collect()} == want and {990, 991} <= set(want)
 
 
+def test_nearest_place_groups_nothing_before_dealing(spark):
+    points = spark.createDataFrame([(1, 89.9, 10.0), (1, 89.9, 10.0), (2, -40.0, 179.99), (2, -40.0, -179.99), (3, 0.0, 0.0)], "id long, lat double, lon double")
+    places = spark.createDataFrame([("pole", 90.0, -170.0), ("line", -40.0, -179.9), ("far", 5.0, 5.0)], "place string, lat double, lon double")
+    got = geo.nearest(points, places, 80.0)
+    assert sorted((x.id, x.place, round(x.km, 2)) for x in got.collect()) == [(1, "pole", 11.12), (2, "line", 7.67)]
+    plan = got._jdf.queryExecution().sparkPlan().toString()  # the last operators first
+    assert "Aggregate" in plan and "Aggregate" not in plan[plan.index("Exchange") if "Exchange" in plan else 0 :]
+
+
+
 def test_places_prefer_near_districts(spark):
     points = spark.createDataFrame([(1, 10.0, 10.0), (2, 10.0, 11.0), (3, 50.0, 50.0), (4, 0.0, 0.0)], "id long, lat double, lon double")
     kind = "place struct<p1:string,p2:string>, lat double, lon double"
