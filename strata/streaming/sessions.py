@@ -12,7 +12,8 @@ A rejected file may be sent again. State goes with cancel and expiry, so later u
 and so are announced fids that are null.
 
 Every file of a batch has an entry of its own in keyed state, so an event reads and writes one entry however many files
-its batch announced; cancel and expiry read them all once. State lies in RocksDB, which ``serve`` asks for.
+its batch announced; cancel and expiry read them all once. Of events that arrive together an entry is read and written once.
+State lies in RocksDB, which ``serve`` asks for.
 """
 
 from __future__ import annotations
@@ -95,6 +96,56 @@ class KeyedFiles(MutableMapping):
         self.state.clear()
 
 
+class Held(MutableMapping):
+    """A mapping's entries while a session's events are answered: each is asked once at most and written once; ``empty``: there is nothing to ask."""
+
+    def __init__(self, kept: MutableMapping[str, bool], empty: bool):
+        self.kept, self.empty, self.whole = kept, empty, empty
+        self.known: dict[str, bool | None] = {}  # None: not there
+        self.changed: dict[str, None] = {}
+        self.wiped = False
+
+    def __getitem__(self, fid: str) -> bool:
+        if fid not in self.known and not self.whole:
+            self.known[fid] = self.kept.get(fid)
+        done = self.known.get(fid)
+        if done is None:
+            raise KeyError(fid)
+        return done
+
+    def __setitem__(self, fid: str, done: bool) -> None:
+        self.known[fid] = done
+        self.changed[fid] = None
+
+    def __delitem__(self, fid: str) -> None:
+        self[fid]
+        self[fid] = None
+
+    def items(self):
+        if not self.whole:
+            self.known, self.whole = dict(self.kept.items()) | self.known, True
+        return ((f, done) for f, done in self.known.items() if done is not None)
+
+    def __iter__(self):
+        return (f for f, _ in self.items())
+
+    def __len__(self) -> int:
+        return sum(1 for _ in self)
+
+    def clear(self) -> None:
+        self.known, self.changed, self.whole, self.wiped = {}, {}, True, not self.empty
+
+    def flush(self) -> None:
+        if self.wiped:
+            self.kept.clear()
+        for fid in self.changed:
+            done = self.known[fid]
+            if done is not None:
+                self.kept[fid] = done
+            elif not self.empty and not self.wiped and fid in self.kept:
+                del self.kept[fid]
+
+
 def _same(declared, got) -> bool:
     return pd.isna(declared) or (not pd.isna(got) and str(declared).lower() == str(got).lower())
 
@@ -117,11 +168,13 @@ class SessionState(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         timer = self.timer.get()[0] if self.timer.exists() else None
-        held, out, last = Session(timer is not None, KeyedFiles(self.files)), [], None
+        files = Held(KeyedFiles(self.files), timer is None)  # every question to the state is a round trip between worker and JVM
+        held, out, last = Session(timer is not None, files), [], None
         for x in pd.concat(list(rows)).sort_values(["at", "kind"], kind="stable").itertuples(index=False):
             fine = _same(_size(x.size), _size(x.got_size)) and _same(x.sha256, x.got_sha256)
             out += [(key[0], f, x.at, s) for f, s in held.answer(x.kind, x.fid, x.files, fine)]
             last = x.at
+        files.flush()
         due = max(int((last + IDLE).timestamp() * 1000), timerValues.getCurrentWatermarkInMs() + 1) if held.open else None
         if due != timer:
             if timer is not None:

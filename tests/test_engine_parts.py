@@ -5,6 +5,7 @@ import hashlib
 import io
 import json
 import os
+import random
 import struct
 import zipfile
 from datetime import datetime, timedelta
@@ -202,6 +203,37 @@ def test_an_upload_costs_the_same_in_any_batch(n):
     assert len(s.answer("cancel", None, None, True)) == n - 1 and state.asked - before == 8
 
 
+def test_entries_are_asked_and_written_once():
+    state = CountedState()
+    files = sessions.Held(sessions.KeyedFiles(state), True)
+    s = sessions.Session(files=files)
+    s.answer("open", None, ["a", "b", "c"], True)
+    assert s.answer("upload", "a", None, True) == [("a", "received")] and s.answer("upload", "a", None, True) == [("a", "repeated")] and s.answer("upload", "d", None, True) == [("d", "refused")]
+    assert state.asked == 0
+    files.flush()
+    assert state.asked == 3 and state.held == {("a",): (True,), ("b",): (False,), ("c",): (False,)}
+    files = sessions.Held(sessions.KeyedFiles(state), False)  # a later trigger
+    s = sessions.Session(True, files)
+    assert s.answer("upload", "b", None, False) == [("b", "rejected")] and s.answer("upload", "b", None, True) == [("b", "received")] and s.answer("upload", "a", None, True) == [("a", "repeated")]
+    files.flush()
+    assert state.asked == 8 and state.held[("b",)] == (True,)
+
+
+def test_held_entries_equal_plain_ones():
+    r = random.Random(5)
+    for _ in range(300):
+        state, plain, on = CountedState(), sessions.Session(), False
+        for _ in range(4):  # triggers
+            files = sessions.Held(sessions.KeyedFiles(state), not on)
+            s = sessions.Session(on, files)
+            for _ in range(r.randrange(6)):
+                event = (r.choice(["open", "upload", "upload", "upload", "cancel"]), r.choice("abcd"), r.sample("abcd", r.randrange(4)), r.random() < 0.8)
+                assert s.answer(*event) == plain.answer(*event)
+            files.flush()
+            on = s.open
+            assert on == plain.open and {k[0]: v[0] for k, v in state.held.items()} == plain.files
+
+
 def test_peers():
     from strata.streaming.peers import heard
 
