@@ -58,15 +58,19 @@ def ingest(
     kind, what has no vector as other), and may be near duplicates, which keep their category. path becomes the
     folder where the file belongs and its name; the move itself is the caller's.
     """
-    first = next_id(files, last_id).first().id
+    # what the steps ask of the index is computed once, and so are the arrivals without their texts
+    known = written(files.select("id", "name", "path", "kind", "category", "sha256", "size", "corrected", "removed", "vec"))
+    probe = written(probe.select("path", "exists", "size", "opens", "sha256"))
+    first = next_id(known, last_id).first().id
     new = written(numbered(arrivals, "seq", first).withColumn("kind", kind_of(F.col("name"))))
-    own = new.where("mode = 'sort'")
-    exact = written(exact_originals(new, files, probe).join(own.select("id"), "id", "left_semi"))
-    rest = own.join(exact, "id", "left_anti")
-    items = rest.withColumn("text_len", F.length(norm(F.coalesce("ocr", F.lit(""))))).where(F.col("vec").isNotNull() & (F.col("kind") != "document"))
-    judged = classify.cascade(items, files, protos, names, dim, screenshot, document, vote)
-    alike = near_originals(rest, files, probe, dim, first, near).select("id", F.col("other").alias("near"))
-    placed = geo.place_of(new.where("lat is not null and lon is not null").select("id", "lat", "lon"), districts, cities)
+    judgeable = F.col("vec").isNotNull() & (F.col("kind") != "document")
+    slim = written(new.withColumn("text_len", F.when((F.col("mode") == "sort") & judgeable, F.length(norm(F.coalesce("ocr", F.lit("")))))).drop("ocr"))
+    own = slim.where("mode = 'sort'")
+    exact = written(exact_originals(slim, known, probe).join(own.select("id"), "id", "left_semi"))
+    rest = written(own.join(exact, "id", "left_anti"))
+    judged = classify.cascade(rest.where(judgeable), known, protos, names, dim, screenshot, document, vote)
+    alike = near_originals(rest, known, probe, dim, first, near).select("id", F.col("other").alias("near"))
+    placed = geo.place_of(slim.where("lat is not null and lon is not null").select("id", "lat", "lon"), districts, cities)
     fresh = new.join(exact, "id", "left").join(judged.withColumnsRenamed({"category": "j_category", "reason": "j_reason", "confidence": "j_score", "second": "j_second", "second_score": "j_second_score"}), "id", "left")
     fresh = fresh.join(alike, "id", "left").join(placed, "id", "left")
 
